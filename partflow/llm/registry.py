@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, token_files
+from . import exact_dedup, jaccard_join, mixing, quality, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op3_quality": quality.op3_quality,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
 }
 
 SQL = {
+    "op3_quality": quality.OP3_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op7_source_mixing": mixing.OP7_SQL,
 }
