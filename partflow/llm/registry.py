@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, mixing, quality, token_files
+from . import decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, quality, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -10,10 +10,13 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 SQL = {
     "op3_quality": quality.OP3_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op7_source_mixing": mixing.OP7_SQL,
+    "op9_line_dedup": line_dedup.OP9_SQL,
 }
