@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, repeats, token_files
+from . import attention_lm, decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, repeats, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_private_data": pii.op2_private_data,
     "op3_quality": quality.op3_quality,
     "op4_repeated_passages": repeats.op4_repeated_passages,
+    "op5_lm_scores": attention_lm.op5_lm_scores,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,

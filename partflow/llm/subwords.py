@@ -41,6 +41,10 @@ class Subwords:
         raw, edge = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
         return [raw[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
 
+    def spell(self, words: list[str]) -> list[bytes]:
+        """Ids of words (no space inside, not empty), each with a space in front; nothing is remembered."""
+        return [ids for k in range(0, len(words), 20_000) for ids in self._fresh(words[k : k + 20_000])]
+
     def _learn(self, words: set[str]) -> None:
         if len(self.young) > YOUNG:
             self.young, self.old = {}, self.young
