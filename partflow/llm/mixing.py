@@ -29,11 +29,16 @@ def _unit(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
 
 
+def place(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    """A document's seeded place in its source."""
+    return _unit(F.lit(str(seed)), F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), F.md5(text.cast("binary")))
+
+
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(f"({WORD})")).cast("long").alias("size"),
-        _unit(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(text.cast("binary"))).alias("place"),
+        place(F.col("doc_id"), text, seed).alias("place"),
     )
 
 
