@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from partflow.operators.components import connected_components
 
-from .common import flat, mix, ship, shuffle_partitions, slices, stored, table, words_of
+from .common import flat, mix, salted_lookup, ship, shuffle_partitions, slices, stored, table, words_of
 
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 LINES = 8  #: longs in the smallest sketch
@@ -228,7 +228,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -
     most = F.floor((rule.den - rule.num) * (F.col("nu") + F.col("nv")) / (rule.den + rule.num))
     pairs = stored(pairs.filter((F.least("nu", "nv") * rule.den >= F.greatest("nu", "nv") * rule.num) & (_bits(F.col("ku"), F.col("kv")) <= most)).select("u", "v", "nu", "nv"), "pairs")
     wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(rule), "doc_id bigint, s array<bigint>").dropDuplicates(["doc_id"]), "sets")
+    sets = stored(docs.hint("merge").join(wanted, "doc_id", "left_semi").mapInArrow(_sets(rule), "doc_id bigint, s array<bigint>").dropDuplicates(["doc_id"]), "sets")
     # a node with many partners is dealt over copies of its set
     hub = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("copies"))
     hubs = hub.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("su")), "u").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
@@ -247,13 +247,10 @@ def jaccard_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     known = stored(docs.mapInArrow(_nodes(rule), "doc_id bigint, n_shingles bigint, one bigint, two bigint, sketch array<bigint>"), "nodes")
     live = known.filter("doc_id is not null and n_shingles > 0")
     nodes = live.dropDuplicates(["doc_id"])
-    # identical sets: chained through the smallest id of their class
+    # identical sets: each to the smallest id of its class
     classes = live.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n"))
-    dups = classes.filter("_n > 1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.least(F.lit(63), F.floor(F.col("_n") / 1024)).cast("int"))))
-    rows = live.select("doc_id", "n_shingles", "one", "two").withColumn("_h", F.xxhash64("doc_id"))
-    wide = dups.groupBy("n_shingles", "one", "two").agg(F.max("_salt").alias("_top"))
-    rows = rows.join(wide, ["n_shingles", "one", "two"]).withColumn("_salt", F.pmod("_h", F.col("_top") + 1).cast("int"))
-    equal = rows.join(dups, ["n_shingles", "one", "two", "_salt"]).select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+    dups = classes.filter("_n > 1").drop("_n")
+    equal = salted_lookup(live.select("doc_id", "n_shingles", "one", "two"), dups, ["n_shingles", "one", "two"], "doc_id").filter("rep is not null").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     signed = docs.mapInArrow(_signed(rule), "sig bigint, node bigint")
     group = Window.partitionBy("sig")
     met = signed.withColumn("least", F.min("node").over(group)).withColumn("most", F.max("node").over(group)).filter("least <> most").select("sig", "node", "least")
