@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import queries
+
+QUERIES: dict = dict(queries.QUERIES)
+SQL: dict = dict(queries.SQL)
