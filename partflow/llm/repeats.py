@@ -8,8 +8,11 @@ ranks):
    Equal windows have equal anchors at equal distance, so a window whose anchor's rank is unique is unique and its positions go.
 2. offset of a run: neighbouring windows with one anchor are a run; runs pair their anchor's rank with the rank of all their bytes.
    A run whose pair occurs twice is repeated as a whole, and one run stands for all.
-3. offsets LENGTH/2 and LENGTH, at the positions of the runs that are left where an anchor's rank is shared by different runs: a
-   position's rank at LENGTH is the pair of its rank and that of the position LENGTH/2 on; those not unique are repeated.
+3. offsets LENGTH - STEP and LENGTH + STEP, for blocks of STEP windows of the runs that are left (an anchor's rank shared by different
+   runs): the bytes that all windows of a block hold, and those that any of them holds. A block whose first rank is unique holds no
+   repeated window and goes; one whose second rank occurs twice is repeated as a whole.
+4. offsets LENGTH/2 and LENGTH, at the positions of the blocks that are left: a position's rank at LENGTH is the pair of its rank and
+   that of the position LENGTH/2 on; those not unique are repeated.
 
 Before every shuffle a task ranks its own rows, so a passage that a third of all documents hold is one row a task. Ranks at LENGTH pair
 two names, 128 bits, so texts differ where ranks do and, but for chance of 2**-128 a pair, agree where ranks agree.
@@ -32,6 +35,7 @@ from .common import Rolling, flat, mix, ship, slices, stored, table
 
 LENGTH = 400
 GRAM = 64
+STEP = 16  #: windows of a block
 HELD = 400_000  #: rows a task ranks among themselves before it hands them on
 _ROLL: dict[int, Rolling] = {}
 _C = np.uint64(0xFF51AFD7ED558CCD)
@@ -54,9 +58,9 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(row, first window, last window, anchor's rank, run's rank) of the runs of all rows; windows count from their row's start."""
+    """(row, first window, last window, anchor, anchor's rank, run's rank) of the runs of all rows; windows count from their row's start."""
     if len(data) < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     roll = _roll(11)
     pre = roll.prefix(data)
     n = len(data) - gram + 1
@@ -82,85 +86,146 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     start, end = start[mine], end[mine] - 1
     row = np.searchsorted(offsets, start, "right") - 1
     whole = mix(roll.of(pre, start, end + length) ^ mix((end - start).astype(np.uint64)))
-    return row, start - offsets[row], end - offsets[row], rank[anchor[start]], whole
-
-
-def _ranked(held: list[tuple[np.ndarray, ...]]):
-    """Rank a task's rows (rank a, rank b, key, first, last, flag): one row for each pair of ranks with its count, and all rows of pairs that occur twice."""
-    a, b, key, first, last, flag = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((b, a))
-    a, b, key, first, last, flag = a[order], b[order], key[order], first[order], last[order], flag[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(a)))
-    twice = np.repeat(count > 1, count) & flag
-    single = np.add.reduceat(flag.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-    # of a pair's rows one that may still have to go stands for it, if there is one
-    head = at.copy()
-    some = np.flatnonzero((single > 0) & ~flag[at]) if len(at) else at
-    for k in some.tolist():
-        head[k] = at[k] + int(np.argmax(flag[at[k] : at[k] + count[k]]))
-    yield _rows(0, a[head], b[head], key[head], first[head], last[head], flag[head], count)
-    if twice.any():
-        yield _rows(1, a[twice], b[twice], key[twice], first[twice], last[twice], flag[twice], np.full(int(twice.sum()), 2))
-
-
-RANKS = "kind int, a bigint, b bigint, k bigint, first int, last int, open boolean, n bigint"
-
-
-def _rows(kind, a, b, key, first, last, flag, n) -> pa.RecordBatch:
+    return row, start - offsets[row], end - offsets[row], anchor[start] - offsets[row], rank[anchor[start]], whole
+
+
+RANKS = "kind int, a bigint, b bigint, k bigint, first int, last int, at int, open boolean, n bigint"
+
+
+class Held:
+    """A task's rows (rank a, rank b, key, first and last window, a place, open: may have to go), ranked among themselves: one row for
+    each pair of ranks with its count (kind 0), and all open rows of pairs that occur twice (kind 1)."""
+
+    def __init__(self):
+        self.parts, self.n = [], 0
+
+    def add(self, *columns: np.ndarray):
+        self.parts.append(columns)
+        self.n += len(columns[0])
+        if self.n > HELD:
+            yield from self.ranked()
+
+    def ranked(self):
+        if not self.n:
+            return
+        cols = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+        self.parts, self.n = [], 0
+        order = np.lexsort((~cols[6], cols[1], cols[0]))  # open rows first, so that one stands for its pair
+        cols = [c[order] for c in cols]
+        a, b, open_ = cols[0], cols[1], cols[6]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        head = np.flatnonzero(new)
+        count = np.diff(np.append(head, len(a)))
+        yield _rows(0, [c[head] for c in cols], count)
+        twice = np.repeat(count > 1, count) & open_
+        if twice.any():
+            yield _rows(1, [c[twice] for c in cols], np.full(int(twice.sum()), 2))
+
+
+def _rows(kind: int, cols: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+    a, b, key, first, last, at, open_ = cols
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(key), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(flag), pa.array(n.astype(np.int64))],
-        names=["kind", "a", "b", "k", "first", "last", "open", "n"],
+        [pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(key.astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in (first, last, at)), pa.array(open_), pa.array(n.astype(np.int64))],
+        names=["kind", "a", "b", "k", "first", "last", "at", "open", "n"],
     )
 
 
 def _sampled(length: int, gram: int):
     def run(batches):
-        held, n = [], 0
+        held = Held()
         for batch in batches:
             for b in slices(batch, 1, 1_000_000):
-                row, first, last, a, whole = runs_of(*flat(b.column(1)), length, gram)
-                keys = np.asarray(b.column(0))[row]
-                held.append((a, whole, keys, first, last, np.ones(len(row), bool)))
-                n += len(row)
-                if n > HELD:
-                    yield from _ranked(held)
-                    held, n = [], 0
-        if n:
-            yield from _ranked(held)
+                row, first, last, at, a, whole = runs_of(*flat(b.column(1)), length, gram)
+                yield from held.add(a, whole, np.asarray(b.column(0))[row], first, last, at, np.ones(len(row), bool))
+        yield from held.ranked()
 
     return run
 
 
-def _surviving(length: int):
+SEGMENTS = "k bigint, first int, last int, at int, open boolean, bytes binary"
+
+
+def _segments(length: int):
+    """The bytes of the runs that are left, so that the texts aren't needed again."""
+
     def run(batches):
-        held, n = [], 0
         for batch in batches:
             for key, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
+                data = text.as_py()
+                spans = {(s["first"], s["last"]): s for s in spans}.values()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * len(spans), pa.int64()), *(pa.array([s[n] for s in spans], pa.int32()) for n in ("first", "last", "at")), pa.array([s["open"] for s in spans]), pa.array([data[s["first"] : s["last"] + length] for s in spans], pa.binary())],
+                    names=["k", "first", "last", "at", "open", "bytes"],
+                )
+
+    return run
+
+
+def _blocks(length: int, step: int):
+    def run(batches):
+        held = Held()
+        for batch in batches:
+            for b in slices(batch, 5, 1_000_000):
+                data, edge = flat(b.column(5))
+                key, first, last, at = (np.asarray(b.column(c)).astype(np.int64) for c in range(4))
+                open_ = np.asarray(b.column(4))
+                low, high = (at - last) // step, (at - first) // step  # blocks by the anchor's distance: equal windows have equal ones
+                n = high - low + 1
+                seg = np.repeat(np.arange(len(n)), n)
+                block = low[seg] + np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
+                begin = np.maximum(first[seg], at[seg] - block * step - step + 1)
+                end = np.minimum(last[seg], at[seg] - block * step)
+                move = edge[seg] - first[seg]  # from places in the text to places in the slice
+                one = _roll(14)
+                pre = one.prefix(data)
+                core = at[seg] - block * step + move
+                a = mix(one.of(pre, core, core + length - step + 1) ^ mix(block.astype(np.uint64)))
+                whole = mix(one.of(pre, begin + move, end + length + move) ^ mix(((at[seg] - begin) * 65536 + at[seg] - end).astype(np.uint64)))
+                yield from held.add(a, whole, key[seg], begin, end, first[seg], open_[seg])
+        yield from held.ranked()
+
+    return run
+
+
+def _positions(length: int):
+    def run(batches):
+        held = Held()
+        for batch in batches:
+            for b in slices(batch, 2, 500_000):
+                data, edge = flat(b.column(2))
+                key, start = np.asarray(b.column(0)), np.asarray(b.column(1)).astype(np.int64)
+                spans = b.column(3).to_pylist()
+                seg = np.repeat(np.arange(len(spans)), [len(x) for x in spans])
+                first, last, open_ = (np.array([s[n] for x in spans for s in x]) for n in ("first", "last", "open"))
+                size = last - first + 1
+                p = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                seg = np.repeat(seg, size)
+                at = p + edge[seg] - start[seg]
                 one, two = _roll(12), _roll(13)
                 p1, p2 = one.prefix(data), two.prefix(data)
-                first = np.array([s["first"] for s in spans], np.int64)
-                last = np.array([s["last"] for s in spans], np.int64)
-                size = last - first + 1
-                at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                 half = length // 2
                 # the rank at the whole length pairs those of the position and of the one half the length on
                 a = mix(one.of(p1, at, at + half)) + mix(two.of(p2, at, at + half) ^ _C)
-                b = mix(one.of(p1, at + half, at + length) ^ _C) + mix(two.of(p2, at + half, at + length))
-                held.append((a, b, np.full(len(at), key, np.int64), at, at, np.repeat(np.array([s["open"] for s in spans], bool), size)))
-                n += len(at)
-                if n > HELD:
-                    yield from _ranked(held)
-                    held, n = [], 0
-        if n:
-            yield from _ranked(held)
+                z = mix(one.of(p1, at + half, at + length) ^ _C) + mix(two.of(p2, at + half, at + length))
+                yield from held.add(a, z, key[seg], p, p, p, np.repeat(open_.astype(bool), size))
+        yield from held.ranked()
 
     return run
 
 
+def _settled(ranks: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(repeated rows, rows to look at closer) of ranked rows. Open rows whose pair (a, b) occurs twice are repeated. Where rows differ
+    under one a and an open one is single, one row of each kind is looked at; of them the single ones are still open."""
+    by_a, by_both = Window.partitionBy("a"), Window.partitionBy("a", "b")
+    rows = ranks.filter("kind = 0").withColumn("all", F.sum("n").over(by_both)).withColumn("nth", F.row_number().over(by_both.orderBy("k", "first", "last")))
+    rows = rows.withColumn("waits", F.max((F.col("open") & (F.col("all") == 1)).cast("int")).over(by_a)).withColumn("low", F.min("b").over(by_a)).withColumn("high", F.max("b").over(by_a))
+    rows = rows.select("k", "first", "last", "at", ((F.col("all") > 1) & (F.col("n") == 1) & F.col("open")).alias("repeated"), ((F.col("waits") == 1) & (F.col("low") != F.col("high")) & (F.col("nth") == 1)).alias("look"), ((F.col("all") == 1) & F.col("open")).alias("open"))
+    rows = stored(rows.filter("repeated or look"), name)
+    gone = ranks.filter("kind = 1").select("k", "first", "last").unionByName(rows.filter("repeated").select("k", "first", "last"))
+    return gone, rows.filter("look").select("k", "first", "last", "at", "open")
+
+
 def _finish(length: int, texts: bool):
     def run(batches):
         for batch in batches:
@@ -201,20 +266,15 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts:
     ship(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text).alias("k"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    ranks = stored(rows.select("k", "text").mapInArrow(_sampled(length, gram), RANKS), "ranks")
-    by_anchor, by_run = Window.partitionBy("a"), Window.partitionBy("a", "b")
-    runs = ranks.filter("kind = 0").select("a", "b", "k", "first", "last", "n").withColumn("all", F.sum("n").over(by_run))
-    runs = runs.withColumn("nth", F.row_number().over(by_run.orderBy("k", "first"))).withColumn("least", F.min("all").over(by_anchor)).withColumn("low", F.min("b").over(by_anchor)).withColumn("high", F.max("b").over(by_anchor))
-    # repeated runs go as they are; where runs differ under one anchor and some are single, one of each kind is looked at by position
-    left = stored(runs.filter("all > 1 or low <> high").select("k", "first", "last", F.when((F.col("all") > 1) & (F.col("n") == 1), True).otherwise(False).alias("repeated"),
-                  ((F.col("low") != F.col("high")) & (F.col("least") == 1) & (F.col("nth") == 1)).alias("look"), (F.col("all") == 1).alias("open")), "runs")
-    look = left.filter("look").groupBy("k").agg(F.collect_list(F.struct("first", "last", "open")).alias("spans"))
-    # equal rows have equal keys: one of them is enough here
-    where = rows.select("k", "text").hint("merge").join(look, "k").dropDuplicates(["k"]).select("k", "text", "spans")
-    names = stored(where.mapInArrow(_surviving(length), RANKS), "names")
-    late = names.filter("kind = 0").select("a", "b", "k", "first", "last", "open", "n").withColumn("all", F.sum("n").over(by_run)).filter("all > 1 and n = 1 and open")
-    gone = ranks.filter("kind = 1").select("k", "first", "last").unionByName(left.filter("repeated").select("k", "first", "last"))
-    gone = gone.unionByName(names.filter("kind = 1 and open").select("k", "first", "last")).unionByName(late.select("k", "first", "last"))
+    gone, look = _settled(stored(rows.select("k", "text").mapInArrow(_sampled(length, gram), RANKS), "ranks"), "runs")
+    look = look.groupBy("k").agg(F.collect_list(F.struct("first", "last", "at", "open")).alias("spans"))
+    where = rows.select("k", "text").hint("merge").join(look, "k").select("k", "text", "spans")
+    segments = stored(where.mapInArrow(_segments(length), SEGMENTS).dropDuplicates(["k", "first", "last"]), "segments")  # equal rows have equal keys
+    more, look = _settled(stored(segments.mapInArrow(_blocks(length, min(STEP, length - gram)), RANKS), "blocks"), "block_runs")
+    look = look.groupBy("k", F.col("at").alias("first")).agg(F.collect_list(F.struct(F.col("first"), "last", "open")).alias("spans"))
+    late = segments.join(look, ["k", "first"]).select("k", "first", "bytes", "spans").mapInArrow(_positions(length), RANKS)
+    last, _ = _settled(stored(late, "positions"), "position_runs")
+    gone = gone.unionByName(more).unionByName(last)
     spans = gone.distinct().groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     both = rows.hint("merge").join(spans, "k", "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_finish(length, texts), RESULT + (", kept_text binary, removed array<bigint>" if texts else ""))
