@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries
+from . import queries, queries_search  # the second adds to the first's tables
 
-QUERIES: dict = dict(queries.QUERIES)
-SQL: dict = dict(queries.SQL)
+QUERIES: dict = dict(queries_search.QUERIES)
+SQL: dict = dict(queries_search.SQL)
