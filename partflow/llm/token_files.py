@@ -63,19 +63,20 @@ def encode_ids(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
         line[whole, : n - whole * block] = values[whole * block :]
     line = line.ravel()
     bits = bit_widths(line) if n and values.max() >> np.uint64(32) else _small_widths(line)
-    selector, escapes = np.zeros(len(line), np.uint8), []
+    misfit, escapes = np.ones(len(line), np.uint8), []
     top, span = bits, 1  # the most bits among the `span` ids from each place
     spans = {1: bits}
     while span < 128:
         top = np.maximum(top, np.concatenate([top[span:], np.full(min(span, len(top)), 255, np.uint8)]))
         span *= 2
         spans[span] = top
-    for s in range(15, 0, -1):  # later selectors hold more ids and overwrite
+    for s in range(1, 16):  # where a selector fits all behind it do, so the first that fits follows from how many don't
         c, w = COUNTS[s], WIDTHS[s]
         p = 1 << (c.bit_length() - 1)
         shifted = spans[p][c - p :]
-        fits = np.maximum(spans[p][: len(shifted)], shifted) <= w
-        selector[: len(fits)][fits] = s
+        misfit[: len(shifted)] += np.maximum(spans[p][: len(shifted)], shifted) > w
+        misfit[len(shifted) :] += 1
+    selector = misfit & 15
     counts = np.array(COUNTS, np.uint8)
     jump = counts[selector].tobytes()
     starts: list[int] = []
