@@ -91,6 +91,12 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], row_id: s
     return left.join(right, on, "left").drop("_s", "_salt", *[f"_k_{k}" for k in keys])
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs, all their columns, whose doc_id isn't among `ids` (one column, doc_id); a null doc_id stays."""
+    gone = ids.select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, and the offsets of its rows; null is empty."""
     if col.null_count:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, mix, ship, slices, table, words_of
+from .common import flat, mix, ship, slices, table, without, words_of
 
 K1, B = 1.2, 0.75
 THETA = 0.6  #: share of an item's own score at which a passage is a hit
@@ -260,7 +260,7 @@ def _search(shard):
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id leaks no item, all their columns."""
-    return docs.join(leaks(docs, items).select("doc_id").distinct().withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left_anti")
+    return without(docs, leaks(docs, items).select("doc_id").distinct())
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, salted_lookup, stored, table
+from .common import WORD, salted_lookup, stored, table, without
 
 BINS = 12
 KEEP = 0.5
@@ -116,8 +116,7 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that stay, all their columns. Rows with one doc_id are judged together: by the best of their texts."""
     best = posteriors(docs, labels).groupBy("doc_id").agg(F.max("keep").alias("_keep"))
-    drop = best.filter("not _keep and doc_id is not null").select(F.col("doc_id").alias("_id"))
-    return docs.join(drop, docs["doc_id"] == drop["_id"], "left_anti")
+    return without(docs, best.filter("not _keep and doc_id is not null"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
