@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partflow.llm import decontaminate, jaccard_join, mixing, quality, token_files
-from partflow.llm.common import WORD, scratch, stored, table
+from partflow.llm.common import WORD, scratch, stored, table, without
 
 #: Near duplicates: shingles of five words, similarity 0.8 or more.
 NEAR = jaccard_join.Rule(n=5, num=80, den=100, n2=2, k2=1)
@@ -23,8 +23,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest doc_id stays (rows with one doc_id are one document)."""
-    gone = jaccard_join.jaccard_classes(docs, NEAR).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = jaccard_join.jaccard_classes(docs, NEAR).filter("doc_id <> component_id").select("doc_id").distinct()
+    return without(docs, gone)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +39,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = mixing.mix(sizes).filter("taken > 0").select(
         F.col("doc_id").alias("_id"), "place", "size", "start", "passes", "rest", "phase", "blocks", (F.col("taken") - F.col("passes") * F.col("size")).alias("part")
     ).distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("_p", mixing.place(F.col("doc_id"), text))
-    rows = rows.join(plan, rows["doc_id"].eqNullSafe(plan["_id"]) & (rows["_p"] == plan["place"]))
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))  # apart from the plan's names
+    rows = rows.withColumn("_p", mixing.place(F.col("doc.doc_id"), text))
+    rows = rows.join(plan, rows["doc"]["doc_id"].eqNullSafe(plan["_id"]) & (rows["_p"] == plan["place"]))
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
 
     def picked(_, i):
@@ -51,8 +52,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     part = F.when(F.col("part") == F.col("size"), text).otherwise(F.array_join(F.filter(words, picked), " "))
     copies = F.concat(F.array_repeat(text, F.col("passes").cast("int")), F.when(F.col("part") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
     out = rows.withColumn("_text", F.explode(copies))
-    columns = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast(dict(docs.dtypes)["n_chars"]).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    kinds = dict(docs.dtypes)
+    new = {"text": F.col("_text"), "n_chars": F.length("_text")}
+    return out.select(*[new.get(c, F.col("doc")[c]).cast(kinds[c]).alias(c) for c in docs.columns])
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
