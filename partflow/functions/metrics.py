@@ -256,6 +256,26 @@ def signed_modularity(layers: DataFrame, membership: DataFrame, weights: dict[in
     return out.agg(F.sum("q").alias("signed_modularity"))
 
 
+def signed_move_gains(layers: DataFrame, membership: DataFrame, weights: dict[int, float], resolution: float = 1.0) -> DataFrame:
+    """(node, to, gain) of moving a node to another community that it touches in any layer: what inserting it there is worth less what it
+    is worth at home, each layer by its weight."""
+    sign = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+    back = layers.select("layer", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    s = layers.filter("src <> dst").select("layer", "src", "dst", "w").unionByName(back.filter("src <> dst"))
+    k = s.groupBy("layer", F.col("src").alias("node")).agg(F.sum("w").alias("k"))
+    twice = k.groupBy("layer").agg(F.sum("k").alias("l2"))
+    total = k.join(membership, "node").groupBy("layer", "community").agg(F.sum("k").alias("deg"))
+    into = s.join(membership.select(F.col("node").alias("dst"), "community"), "dst").groupBy("layer", F.col("src").alias("node"), "community").agg(F.sum("w").alias("kic"))
+    touched = into.select("node", "community").distinct().unionByName(membership.select("node", "community")).distinct()
+    rows = touched.join(k, "node").join(twice, "layer").join(total, ["layer", "community"], "left").join(into, ["layer", "node", "community"], "left")
+    rows = rows.join(membership.select("node", F.col("community").alias("home")), "node")
+    deg = F.coalesce("deg", F.lit(0.0)) - F.when(F.col("community") == F.col("home"), F.col("k")).otherwise(F.lit(0.0))
+    worth = sign[F.col("layer")] * (F.coalesce("kic", F.lit(0.0)) - resolution * deg * F.col("k") / F.col("l2"))
+    value = rows.groupBy("node", "home", "community").agg(F.sum(worth).alias("worth"))
+    stay = value.filter("community = home").select("node", F.col("worth").alias("stay"))
+    return value.filter("community <> home").join(stay, "node").select("node", F.col("community").alias("to"), (F.col("worth") - F.col("stay")).alias("gain"))
+
+
 def be_score(edges: DataFrame, coreness: DataFrame, binary: bool = True) -> DataFrame:
     """One row `score`: Pearson correlation over node pairs of A_ij with max(c_i, c_j) (binary) or c_i c_j, from sums alone; 0 if either is constant."""
     e = edges.filter("src <> dst")

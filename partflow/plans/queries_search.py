@@ -14,6 +14,7 @@ from partflow.functions import metrics as me
 from partflow.functions.lp import maximise
 from partflow.functions.metrics import tidy
 from partflow.operators import community as cm
+from partflow.operators import contract as co
 from partflow.operators import kernels as ke
 from partflow.sources import casestudies as cs
 from partflow.sources import graphs as gr
@@ -407,7 +408,38 @@ def _evaluation(s, d):
     return wf.evaluate(s, e, truth, ("spectral",))
 
 
-SQL["prob_dbscan"] = with_("soft", "SELECT 25::BIGINT AS nodes")
-query("prob_dbscan")(lambda s, d: cm.label_by_density(QUERIES["soft_membership"](s, d)).agg(F.count(F.lit(1)).alias("nodes")))
+SQL["prob_dbscan"] = with_("soft", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + """, q AS (SELECT node, sum(share * share) AS q FROM soft GROUP BY 1),
+d AS (SELECT a.node AS u, b.node AS v, sum(a.share * b.share) AS dot FROM soft a JOIN soft b ON a.community = b.community GROUP BY 1, 2),
+near AS (SELECT u, v FROM d JOIN q x ON x.node = u JOIN q y ON y.node = v WHERE x.q + y.q - 2 * dot <= 0.02 * 0.02 + 1e-12),
+core AS (SELECT u FROM near GROUP BY 1 HAVING count(*) >= 3),
+e AS (SELECT near.u, v FROM near JOIN core ON core.u = near.u JOIN core c2 ON c2.u = near.v),
+r AS (SELECT u AS node, u AS reach FROM core UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.reach),
+c AS (SELECT node, min(reach) AS c FROM r GROUP BY 1),
+f AS (SELECT q.node, coalesce((SELECT min(c.c) FROM near JOIN c ON c.node = near.v WHERE near.u = q.node), -1) AS c FROM q),
+rare AS (SELECT c AS r FROM f GROUP BY 1 ORDER BY count(*), c LIMIT 1)
+SELECT node, CASE WHEN c = r OR c < 0 THEN -1 ELSE c END::BIGINT AS label FROM f, rare"""
+query("prob_dbscan")(lambda s, d: cm.label_by_density(QUERIES["soft_membership"](s, d), 0.02, 3))
 query("prob_gmm")(lambda s, d: cm.label_by_mixture(QUERIES["soft_membership"](s, d)))
 query("orbits", "", "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT), (1, 1), (2, 1), (3, 0)) t(node, orbit)")(lambda s, d: cm.orbits(s, np.array([[0, 1, 0, 0], [1, 0, 1, 0], [0, 1, 0, 1], [0, 0, 1, 0]], float)))
+
+_SL = """SELECT CASE WHEN w > q THEN 0 ELSE 1 END AS layer, src, dst, abs(w - q) AS w FROM sym, med WHERE w <> q"""
+SQL["signed_gain"] = with_("sym med mem", "").rstrip() + f""", s AS ({_SL}), k AS (SELECT layer, src AS node, sum(w) AS k FROM s GROUP BY 1, 2), l AS (SELECT layer, sum(k) AS l2 FROM k GROUP BY 1),
+t AS (SELECT layer, community, sum(k) AS deg FROM k JOIN mem USING (node) GROUP BY 1, 2), i AS (SELECT layer, src AS node, community, sum(w) AS kic FROM s JOIN mem ON dst = mem.node GROUP BY 1, 2, 3),
+v AS (SELECT h.node, h.community AS home, t.community, sum((CASE t.layer WHEN 0 THEN 1 ELSE -1 END) * (coalesce(kic, 0) - (deg - CASE WHEN t.community = h.community THEN k ELSE 0 END) * k / l2)) AS worth
+ FROM mem h JOIN k ON k.node = h.node JOIN l USING (layer) JOIN t USING (layer) LEFT JOIN i ON i.layer = t.layer AND i.node = h.node AND i.community = t.community GROUP BY 1, 2, 3)
+SELECT a.node, a.community AS "to", round(a.worth - b.worth, 6) + 0.0 AS gain FROM v a JOIN v b ON a.node = b.node AND b.community = b.home WHERE a.community <> a.home AND EXISTS (SELECT 1 FROM i z WHERE z.node = a.node AND z.community = a.community)"""
+query("signed_gain")(lambda s, d: me.signed_move_gains(QUERIES["signed_layers"](s, d), tb.regions(s, d), {0: 1.0, 1: -1.0}).withColumn("gain", tidy(F.col("gain"), 6)))
+
+
+SQL["contract_worthy"] = with_("edges nodes", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + """, x AS (SELECT src AS u, dst AS v FROM edges WHERE (src + dst) % 23 = 0),
+y AS (SELECT u, v FROM x UNION ALL SELECT v, u FROM x), r AS (SELECT node, node AS reach FROM nodes UNION SELECT r.node, y.v FROM r JOIN y ON r.reach = y.u),
+c AS (SELECT node, dense_rank() OVER (ORDER BY m) - 1 AS comp FROM (SELECT node, min(reach) AS m FROM r GROUP BY 1))
+SELECT least(a.comp, b.comp) AS src, greatest(a.comp, b.comp) AS dst, sum(CASE WHEN a.comp = b.comp THEN 2 * w ELSE w END) AS w FROM edges JOIN c a ON src = a.node JOIN c b ON dst = b.node GROUP BY 1, 2"""
+
+
+@query("contract_worthy")
+def _contract_by_worth(s, d):
+    e = tb.nation_trade(s, d)
+    worthy = e.filter("(src + dst) % 23 <> 0").select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    links = co.unworthy_edges(e, worthy).select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    return co.contract_graph(e, co.link_components(tb.nation_nodes(s, d), links)).select(F.col("src").cast("long"), F.col("dst").cast("long"), "w")
