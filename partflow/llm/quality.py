@@ -103,9 +103,8 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = evidence(known, ratios).withColumn("p", 1 / (1 + F.exp(-(F.col("llr") + F.log(F.lit(rate / (1 - rate)))))))
     paths = rows.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
     hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    top = hosts.agg((F.sum("s") / F.sum("n")).alias("mu"), _strength(hosts).alias("k_host")).crossJoin(paths.agg(_strength(paths).alias("k_path")))
-    g = top.first()  # three numbers
-    mu, kh, kp = (g["mu"] if g["mu"] is not None else rate), g["k_host"] or MOST, g["k_path"] or MOST
+    over_hosts, over_paths = hosts.agg((F.sum("s") / F.sum("n")).alias("mu"), _strength(hosts).alias("k")).first(), paths.agg(_strength(paths).alias("k")).first()  # three numbers
+    mu, kh, kp = (over_hosts["mu"] if over_hosts["mu"] is not None else rate), over_hosts["k"] or MOST, over_paths["k"] or MOST
     hosts = hosts.select(F.col("host").alias("_host"), ((F.col("s") + kh * mu) / (F.col("n") + kh)).alias("host_rate"))
     sites = paths.join(hosts, paths["host"].eqNullSafe(hosts["_host"])).select("host", "path", "host_rate", ((F.col("s") + kp * F.col("host_rate")) / (F.col("n") + kp)).alias("path_rate"))
     out = salted_lookup(rows, sites, ["host", "path"], "doc_id")
