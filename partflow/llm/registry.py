@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_private_data": pii.OP2_SQL,
     "op3_quality": quality.OP3_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op7_source_mixing": mixing.OP7_SQL,
