@@ -27,7 +27,8 @@ from .common import binaries, scratch, ship, shuffle_partitions, slices, table
 from .subwords import subwords
 
 BLOCK = 4096
-SEGMENT = 1 << 18  #: ids in a segment, about
+SLICE = 4_000_000  #: bytes of text encoded at once, about
+SEGMENT = 1 << 16  #: ids in a segment, about
 #: Selector -> (ids in a word, bits of each). Fixed by the 60 payload bits; 0 is the escape.
 COUNTS = (1, 240, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -167,24 +168,31 @@ def _writer(path: str, end: int):
         from pyspark import TaskContext
 
         coder, shard = subwords(path), TaskContext.get().partitionId()
-        tail = np.array([end], "<u4").tobytes()
         ids, counts, parts, held, segment, first = [], [], [], 0, 0, 0
 
         def row():
-            values = np.frombuffer(b"".join(parts), "<u4")
+            values = np.concatenate(parts)
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([first], pa.int64()), pa.array([len(values)], pa.int64()), pa.array([len(ids)], pa.int32()), binaries([pack_segment(ids, counts, values)])],
                 names=["shard", "segment", "first_id", "n_ids", "n_docs", "payload"],
             )
 
         for batch in batches:
-            for b in slices(batch, 1):
-                texts = [t or "" for t in b.column(1).to_pylist()]
-                for i, coded in zip(b.column(0).to_pylist(), coder.encode(texts), strict=True):
-                    ids.append(i)
-                    parts.append(coded + tail)
-                    counts.append(len(coded) // 4 + 1)
-                    held += counts[-1]
+            for b in slices(batch, 1, SLICE):
+                coded, sizes = coder.encode_column(b.column(1))
+                coded = np.insert(coded, np.cumsum(sizes), end)
+                sizes = sizes + 1
+                upto = np.cumsum(sizes)
+                names = b.column(0).to_pylist()
+                k = 0
+                while k < len(names):  # whole documents until the segment is full
+                    begin = int(upto[k] - sizes[k])
+                    to = min(len(names), int(np.searchsorted(upto, begin + SEGMENT - held)) + 1)
+                    ids += names[k:to]
+                    counts += sizes[k:to].tolist()
+                    parts.append(coded[begin : upto[to - 1]])
+                    held += int(upto[to - 1]) - begin
+                    k = to
                     if held >= SEGMENT:
                         yield row()
                         segment, first = segment + 1, first + held
