@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,7 +22,7 @@ def connect(sf_dir=SF):
 def plain(x):
     if hasattr(x, "item"):
         x = x.item()
-    if x is None or x != x:
+    if pd.isna(x) if not isinstance(x, (list, dict)) else False:
         return None
     return int(x) if isinstance(x, (bool, float)) and float(x).is_integer() else x
 
