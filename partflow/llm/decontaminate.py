@@ -5,7 +5,10 @@ threshold fits all items. Passages are windows of words that overlap by half and
 twice: of every item the commonest terms, up to a known share of its score, cannot reach the threshold alone, so a passage must hold
 enough of the others, and a batch's passages are tested for that in one vectorised step; those that pass go through block-max WAND,
 which returns every item over the threshold. A hit counts if enough of the question's and of the answer's shingles of five words stand
-in the document.
+in the document, or nearly all of the whole item's. A part's shingles are its own, or those of the item that begin in the question or
+end in the answer, whichever stand there more: a short part is one shingle of its own, lost with one word that is glued to other text.
+
+A word is compared without the ASCII marks at its ends; a word of marks alone stays as it is.
 
 Items come in shards of SHARD_WORDS words at most (one item alone may be larger), so an index is bounded whatever the table's size; the
 documents are read once for each shard. An item's answer is its last line, or its last quarter of words if it has one line.
@@ -29,6 +32,7 @@ THETA = 0.6  #: share of an item's own score at which a passage is a hit
 COMMON = 0.3  #: share of an item's score that its commonest terms may hold and be left out of the first test
 WINDOW = 96  #: words of a passage at least
 GRAM, QUESTION, ANSWER = 5, 0.5, 0.5
+WHOLE = 0.9  #: share of the whole item's shingles that is a hit whatever its parts hold
 SHARD_WORDS = 1_000_000
 POSTING_BLOCK = 32
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -56,9 +60,41 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+
+
+def bare_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all rows without the marks at their ends, and for each row the index of its first word (one more at the end)."""
+    words, starts, ends, first = words_of(data, offsets)
+    odd = np.flatnonzero(_MARK[data[starts]] | _MARK[data[ends - 1]])
+    if len(odd):
+        body = np.flatnonzero(~_MARK[data])
+        a, b = starts[odd], ends[odd]
+        left, right = np.searchsorted(body, a), np.searchsorted(body, b) - 1
+        some = (left <= right) & (left < len(body))
+        odd, left, right = odd[some], body[left[some]], body[right[some]] + 1
+        if len(odd):
+            # the bodies one behind another, a space between them, as a text of its own
+            size = right - left + 1
+            ahead = np.cumsum(size) - size
+            at = np.repeat(left - ahead, size) + np.arange(int(size.sum()))
+            text = data[np.minimum(at, len(data) - 1)].copy()
+            text[ahead + size - 1] = 32
+            words = words.copy()
+            words[odd] = words_of(text, np.array([0, len(text)]))[0]
+    return words, first
+
+
 def _hash_words(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode(), np.uint8)
-    return words_of(raw, np.array([0, len(raw)]))[0]
+    return bare_words(raw, np.array([0, len(raw)]))[0]
+
+
+def shingles_of(question: np.ndarray, answer: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(words of a shingle, shingles): of the question, of the answer, and of the whole item."""
+    whole = np.concatenate([question, answer])
+    return [(min(GRAM, len(w)), grams(w)) for w in (question, answer, whole)]
 
 
 class ItemIndex:
@@ -70,7 +106,8 @@ class ItemIndex:
         self.ids = [items[k][0] for k in keep]
         words = [words[k] for k in keep]
         parts = [[_hash_words(p) for p in question_and_answer(items[k][1])] for k in keep]
-        self.parts = [[(min(GRAM, len(w)), grams(w)) for w in p] for p in parts]  # (words of a shingle, shingles) of question and answer
+        self.parts = [shingles_of(*p) for p in parts]
+        self.sizes = [[len(w) for w in p] for p in parts]  # words of question and answer
         n = len(words)
         length = np.array([len(w) for w in words], float)
         self.window = max(WINDOW, 2 * int(length.max(initial=0)))
@@ -183,7 +220,7 @@ def _windows(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def find_leaks(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float, float]]:
     """(row, item number, best score, question overlap, answer overlap) of the rows' leaked items."""
-    words, _, _, first = words_of(data, offsets)
+    words, first = bare_words(data, offsets)
     term = index.lookup(words)
     row, begin = _windows(first, index.window)
     end = np.minimum(begin + index.window, first[row + 1])
@@ -202,13 +239,16 @@ def find_leaks(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> list[
     for (r, item), score in sorted(best.items()):
         if r != now:
             now, by = r, {}
-        overlap = []
+        held = []
         for n, part in index.parts[item]:
             if n not in by:
                 w = words[first[r] : first[r + 1]]
                 by[n] = grams(w, n) if 0 < n <= len(w) else np.zeros(0, np.uint64)
-            overlap.append(float(np.isin(part, by[n]).mean()) if n else 1.0)
-        if overlap[0] >= QUESTION and overlap[1] >= ANSWER:
+            held.append(np.isin(part, by[n]))
+        whole = held.pop()
+        across = (whole[: index.sizes[item][0]], whole[max(0, len(whole) - index.sizes[item][1]) :])
+        overlap = [max(float(own.mean()), float(run.mean())) if len(own) else 1.0 for own, run in zip(held, across, strict=True)]
+        if (overlap[0] >= QUESTION and overlap[1] >= ANSWER) or whole.mean() >= WHOLE:
             out.append((r, item, score, *overlap))
     return out
 

@@ -54,3 +54,46 @@ def test_every_planted_item_by_brute_force(spark):
     want = {(i, k) for i, t in texts for k, g in of.items() if g and len(g & grams(t)) >= 0.9 * len(g)}
     got = {(r.doc_id, r.item_id) for r in d.op10_decontaminate(spark, sf).collect()}
     assert want and want <= got and len(got - want) <= 1
+
+
+def test_short_answers_glued_to_other_text():
+    import pyarrow as pa
+
+    from partflow.llm.common import flat
+
+    question = " ".join(f"ask{k}" for k in range(12))
+    index = d.ItemIndex([(1, f"{question}\nred"), (2, f"{question.upper()[::-1]}\nit is quite small today"), *((k, f"other{k} item{k} number{k}") for k in range(3, 9))])
+    one, two = f"before {question} red", f"before {question.upper()[::-1]} it is quite small today"
+    texts = [one + ".%%%", one + "?", two + ".&&& after", two + "Next", "before (" + two[7:], one[:-3] + "green", two[: -len("it is quite small today")] + "nothing like that at all", "%%% &&& .", ""]
+    assert {(r, index.ids[item]) for r, item, *_ in d.find_leaks(index, *flat(pa.array(texts)))} == {(0, 1), (1, 1), (2, 2), (3, 2), (4, 2)}
+
+
+def test_bare_words():
+    def of(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return d.bare_words(raw, np.array([0, len(raw)]))[0].tolist()
+
+    assert of("(One) two.%% é\u00e9!! --- a-b 'x") == of("one two é\u00e9 --- a-b x") and len(of("... !")) == 2 and of("...") != of("!") and of("") == []
+
+
+def test_every_planted_item_of_the_larger_table(spark):
+    from tests.helpers import SF, connect
+
+    sf = SF.replace("0.001", "0.1")
+    c = connect(sf)
+
+    def grams(t):
+        w = words(t)
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    of = {i: grams(t) for i, t in c.sql("SELECT item_id, text FROM benchmark").fetchall()}
+    items_with = {}
+    for i, g in of.items():
+        for x in g:
+            items_with.setdefault(x, []).append(i)
+    want = set()
+    for i, t in c.sql("SELECT doc_id, text FROM documents").fetchall():
+        held = [k for x in grams(t) for k in items_with.get(x, ())]
+        want |= {(i, k) for k in set(held) if held.count(k) >= 0.9 * len(of[k])}
+    got = {(r.doc_id, r.item_id) for r in d.op10_decontaminate(spark, sf).collect()}
+    assert len(want) > 200 and want <= got and len(got - want) <= 1
