@@ -215,11 +215,21 @@ def _detect(name: str, kernel):
 
 for _n, _f in (
     ("louvain", lambda a, b: ke.louvain(b)), ("leiden", lambda a, b: ke.louvain(b, 0, True)), ("greedy_modularity", lambda a, b: ke.greedy_merges(b)), ("spectral_bisection", lambda a, b: ke.spectral(b)),
-    ("rccs", lambda a, b: ke.multistart(b)), ("spinglass", lambda a, b: ke.anneal(b)), ("girvan_newman", lambda a, b: ke.girvan_newman(a, b, 3)), ("signed_louvain", lambda a, b: ke.best_moves(b, ke.louvain(b, 1), np.random.default_rng(1))),
+    ("rccs", lambda a, b: ke.multistart(b)), ("spinglass", lambda a, b: ke.anneal(b)), ("girvan_newman", lambda a, b: ke.girvan_newman(a, b, 3)),
 ):
     _detect(_n, _f)
 
 
+@query("signed_louvain", "", "SELECT 0::BIGINT AS mismatches, 0::BIGINT AS worse_than_singles")
+def _signed_louvain(s, d):
+    layers, nodes, weights = QUERIES["signed_layers"](s, d), tb.nation_nodes(s, d), {0: 1.0, 1: -1.0}
+    graphs = [(w, Graph(layers.filter(F.col("layer") == k).select("src", "dst", "w"), nodes)) for k, w in weights.items()]
+    b = sum(w * ke.score_matrix(g.a) for w, g in graphs)
+    labels = ke.signed_louvain([(w, g.a) for w, g in graphs])[-1]
+    again = me.signed_modularity(layers, graphs[0][1].membership(s, labels), weights).first()["signed_modularity"]
+    return _report(s, mismatches=abs(again - ke.score(b, labels)) > 1e-9, worse_than_singles=ke.score(b, labels) < b.trace() - 1e-12)
+
+
 @query("louvain_dual", "", "SELECT 0::BIGINT AS mismatches, 0::BIGINT AS worse_than_singles")
 def _louvain_dual(s, d):
     g = Graph(tb.nation_trade(s, d))

@@ -157,3 +157,17 @@ def test_small_steps(spark):
     with pytest.raises(ValueError):
         me.balance_bounds(10)
     assert me.balance_bounds(24, 3, 0) == (8, 8) and list(me.feasible_counts(10, 3, 5)) == [2, 3]
+
+
+def test_signed_louvain_parts_what_the_negative_layer_parts():
+    one, two = np.zeros((6, 6)), np.zeros((6, 6))
+    for u, v in [(0, 1), (2, 3), (4, 5), (1, 2), (3, 4)]:
+        one[u, v] = one[v, u] = 1
+    two[0, 3] = two[3, 0] = two[1, 2] = two[2, 1] = 5
+    labels = ke.signed_louvain([(1.0, one), (-1.0, two)])[-1]
+    assert labels[1] != labels[2] and labels[0] != labels[3] and labels[0] == labels[1]
+    b = ke.score_matrix(one) - ke.score_matrix(two)
+    assert ke.score(b, labels) >= ke.score(b, ke.louvain(ke.score_matrix(one))) - 1e-12
+    path = np.diag(np.ones(4), 1) + np.diag(np.ones(4), -1)
+    assert [x.tolist() for x in ke.within_hops(path, 2)] == [[1, 2], [0, 2, 3], [0, 1, 3, 4], [1, 2, 4], [2, 3]]
+    assert ke.signed_louvain([(1.0, np.zeros((3, 3))), (-1.0, np.zeros((3, 3)))])[-1].tolist() == [0, 1, 2]
