@@ -6,9 +6,12 @@ of BLOCK words go to sources, then to each source's shards, by highest quotients
 seeded order on a line of words cut into blocks; its quota is whole passes over the line and a remainder of blocks picked at even
 steps from a seeded start, so what a document gives is a closed form of its place on the line: no block is ever a row.
 
+A line's last block may be short. Shards of under SMALL blocks are cut into quarter blocks, their quotas into as many, so that a short
+block stays little beside the quota.
+
 Defined cases: null text has size 0; a null source is a source of its own, last in order; words are counted, so empty texts take
-nothing; rows with equal doc_id are told apart by their text, and equal rows share a place on the line and get equal amounts; an
-empty table gives no rows; other columns are ignored.
+nothing; rows with equal doc_id are told apart by their text; equal rows stand one after another on the line, so their amounts may
+differ, but reruns give the same amounts to as many of them; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import WORD, salted_lookup, stored, table
 
 BLOCK = 32  #: words
+SMALL = 64  #: blocks; shards below are cut more finely
+FINER = 4
 SHARD_WORDS = 500_000  #: of a source in one shard, about
 CEILING = 3
 SEED = 20_24
@@ -34,11 +39,12 @@ def place(doc_id: Column, text: Column, seed: int = SEED) -> Column:
     return _unit(F.lit(str(seed)), F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), F.md5(text.cast("binary")))
 
 
-def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def sized(docs: DataFrame, seed: int = SEED, extra: dict[str, Column] | None = None) -> DataFrame:
+    """What the mix needs of every row; extra: columns to carry along."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(f"({WORD})")).cast("long").alias("size"),
-        place(F.col("doc_id"), text, seed).alias("place"),
+        place(F.col("doc_id"), text, seed).alias("place"), *[c.alias(n) for n, c in (extra or {}).items()],
     )
 
 
@@ -91,9 +97,10 @@ def block_quotas(sizes: DataFrame, weights=(1, 2, 3), ceiling: int = CEILING, bl
     dealt = dealt.withColumn("shard", F.pmod(F.col("place"), F.col("shards")).cast("int"))
     per = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"), F.first("target").alias("target"))
     per = apportion(per, ["source"], "shard_size", "seats", ["shard"], "quota")
-    blocks = F.ceil(F.col("shard_size") / block).cast("long")
-    per = per.withColumn("blocks", blocks).withColumn("quota", F.least(F.col("quota"), ceiling * F.col("blocks")))
-    return dealt, per.select("source", "shard", "quota", "blocks", "shard_size")
+    per = per.withColumn("unit", F.when(F.col("shard_size") < SMALL * block, max(1, block // FINER)).otherwise(block).cast("long"))
+    per = per.withColumn("blocks", F.ceil(F.col("shard_size") / F.col("unit")).cast("long"))
+    per = per.withColumn("quota", F.least(F.floor(F.col("quota") * block / F.col("unit")).cast("long"), ceiling * F.col("blocks")))
+    return dealt, per.select("source", "shard", "quota", "unit", "blocks", "shard_size")
 
 
 def mix(sizes: DataFrame, weights=(1, 2, 3), ceiling: int = CEILING, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
@@ -101,12 +108,12 @@ def mix(sizes: DataFrame, weights=(1, 2, 3), ceiling: int = CEILING, block: int
     dealt, per = block_quotas(sizes, weights, ceiling, block, shard_words)
     line = Window.partitionBy("source", "shard").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0)))
-    per = per.select(F.col("source").alias("_src"), F.col("shard").alias("_shd"), "quota", "blocks")
+    per = per.select(F.col("source").alias("_src"), F.col("shard").alias("_shd"), "quota", "unit", "blocks")
     placed = placed.join(per, placed["source"].eqNullSafe(per["_src"]) & (placed["shard"] == per["_shd"]))
     placed = placed.withColumn("passes", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(F.lit(0)).cast("long"))
     placed = placed.withColumn("rest", (F.col("quota") - F.col("passes") * F.col("blocks")).cast("long"))
     placed = placed.withColumn("phase", F.when(F.col("blocks") > 0, F.pmod(_unit(F.lit(str(seed)), F.coalesce(F.col("source"), F.lit("")), F.col("shard").cast("string")), F.col("blocks"))).otherwise(F.lit(0)))
-    return placed.withColumn("taken", taken_before(F.col("start") + F.col("size"), block) - taken_before(F.col("start"), block)).drop("_src", "_shd", "seats", "shards")
+    return placed.withColumn("taken", taken_before(F.col("start") + F.col("size")) - taken_before(F.col("start"))).drop("_src", "_shd", "seats", "shards")
 
 
 def picked_before(j: Column) -> Column:
@@ -114,11 +121,11 @@ def picked_before(j: Column) -> Column:
     return F.when(F.col("blocks") > 0, F.floor((j * F.col("rest") + F.col("phase")) / F.col("blocks"))).otherwise(F.lit(0)).cast("long")
 
 
-def taken_before(x: Column, block: int) -> Column:
-    """Words taken of the first x words of the shard's line."""
-    j = F.floor(x / block).cast("long")
-    part = x - j * block
-    return (F.col("passes") * x + picked_before(j) * block + part * (picked_before(j + 1) - picked_before(j))).cast("long")
+def taken_before(x: Column) -> Column:
+    """Words taken of the first x words of the shard's line, which is cut into blocks of `unit` words."""
+    j = F.floor(x / F.col("unit")).cast("long")
+    part = x - j * F.col("unit")
+    return (F.col("passes") * x + picked_before(j) * F.col("unit") + part * (picked_before(j + 1) - picked_before(j))).cast("long")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,16 +164,17 @@ dealt AS (SELECT s.*, source_size, target, seats, place % greatest(1, ceil(sourc
   FROM sizes s JOIN by_source b ON s.source IS NOT DISTINCT FROM b.source),
 shards AS (SELECT source, shard, sum(size)::BIGINT AS shard_size, first(seats) AS seats FROM dealt GROUP BY source, shard),
 {_seats_sql("shards", "source", "shard_size", "seats", "shard", "quota0", "by_shard")},
-quotas AS (SELECT *, ceil(shard_size / {BLOCK}.0::DOUBLE)::BIGINT AS blocks, least(quota0, {CEILING} * ceil(shard_size / {BLOCK}.0::DOUBLE)::BIGINT) AS quota FROM by_shard),
+units AS (SELECT *, CASE WHEN shard_size < {SMALL * BLOCK} THEN {BLOCK // FINER} ELSE {BLOCK} END::BIGINT AS unit FROM by_shard),
+quotas AS (SELECT *, ceil(shard_size / unit::DOUBLE)::BIGINT AS blocks, least(quota0 * {BLOCK} // unit, {CEILING} * ceil(shard_size / unit::DOUBLE)::BIGINT) AS quota FROM units),
 placed AS (
-  SELECT d.*, blocks, coalesce(sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a,
+  SELECT d.*, blocks, unit, coalesce(sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a,
          CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS passes, CASE WHEN blocks > 0 THEN quota % blocks ELSE 0 END AS rest,
          CASE WHEN blocks > 0 THEN ('0x' || substr(md5('{SEED}:' || coalesce(d.source, '') || ':' || d.shard::VARCHAR), 1, 15))::BIGINT % blocks ELSE 0 END AS phase
   FROM dealt d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source AND d.shard = q.shard),
 ends AS (SELECT *, a + size AS b FROM placed),
-cut AS (SELECT *, CASE WHEN blocks > 0 THEN ((a // {BLOCK}) * rest + phase) // blocks ELSE 0 END AS pa, CASE WHEN blocks > 0 THEN ((a // {BLOCK} + 1) * rest + phase) // blocks ELSE 0 END AS pa1,
-         CASE WHEN blocks > 0 THEN ((b // {BLOCK}) * rest + phase) // blocks ELSE 0 END AS pb, CASE WHEN blocks > 0 THEN ((b // {BLOCK} + 1) * rest + phase) // blocks ELSE 0 END AS pb1 FROM ends)
+cut AS (SELECT *, CASE WHEN blocks > 0 THEN ((a // unit) * rest + phase) // blocks ELSE 0 END AS pa, CASE WHEN blocks > 0 THEN ((a // unit + 1) * rest + phase) // blocks ELSE 0 END AS pa1,
+         CASE WHEN blocks > 0 THEN ((b // unit) * rest + phase) // blocks ELSE 0 END AS pb, CASE WHEN blocks > 0 THEN ((b // unit + 1) * rest + phase) // blocks ELSE 0 END AS pb1 FROM ends)
 SELECT doc_id, source, size::BIGINT AS size, source_size, target,
-       (passes * size + (pb * {BLOCK} + (b % {BLOCK}) * (pb1 - pb)) - (pa * {BLOCK} + (a % {BLOCK}) * (pa1 - pa)))::BIGINT AS taken
+       (passes * size + (pb * unit + (b % unit) * (pb1 - pb)) - (pa * unit + (a % unit) * (pa1 - pa)))::BIGINT AS taken
 FROM cut
 """

@@ -56,3 +56,22 @@ def test_seats_are_the_highest_quotients(spark):
         k = max(seats, key=lambda k: (votes[k] / (2 * seats[k] + 1), -ord(k)))
         seats[k] += 1
     assert got == seats
+
+
+def test_a_small_source_comes_near_its_target(spark):
+    rows = [(1, "w " * 100, "a"), (2, "x " * 900, "b"), (3, "y " * 60, "b"), (4, None, "c"), (5, " ", "c")]
+    got = m.mix(m.sized(docs(spark, rows))).collect()
+    taken = defaultdict(int)
+    for g in got:
+        taken[g["source"]] += g["taken"]
+        assert 0 <= g["taken"] <= 3 * g["size"]
+    target = {g["source"]: g["target"] for g in got}
+    assert taken["c"] == 0 == target["c"] and all(abs(taken[k] - target[k]) <= m.BLOCK for k in "ab")
+
+
+def test_equal_rows_together(spark):
+    rows = [(i // 4, "one two three four five " * 9, "a") for i in range(40)] + [(100, "z " * 700, "b")]
+    got = m.mix(m.sized(docs(spark, rows))).collect()
+    again = m.mix(m.sized(docs(spark, rows).repartition(3))).collect()
+    key = lambda g: (g["doc_id"], g["taken"])
+    assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == 41

@@ -1,5 +1,6 @@
 """The pipeline against its stages done by hand."""
 
+import re
 import zlib
 from collections import Counter
 
@@ -10,8 +11,88 @@ from partflow.llm import decontaminate, mixing, quality
 from partflow.llm.common import stored, table
 from partflow.llm.token_files import tokenizer_path
 from tests.helpers import SF
-from tests.llm.common import words
+from tests.llm.common import corpus, docs, words
 from tests.llm.test_jaccard_join import brute
+from tests.llm.test_mixing import targets
+
+
+def in_order(part, whole):
+    """The words of `part` stand in `whole` in this order."""
+    rest = iter(whole)
+    return all(w in rest for w in part)
+
+
+def by_hand(rows):
+    """Texts that the mix takes of (doc_id, text, source): every source's share, shards, places and picked blocks step by step."""
+    import hashlib
+
+    def unit(*parts):
+        return int(hashlib.md5(":".join(parts).encode()).hexdigest()[:15], 16)
+
+    def seats(votes, n):
+        """Highest quotients; ties to the first."""
+        out = [0] * len(votes)
+        for _ in range(n if any(votes) else 0):
+            out[max(range(len(votes)), key=lambda k: (votes[k] / (2 * out[k] + 1), -k))] += 1
+        return out
+
+    sizes, lines = Counter(), {}
+    for i, text, source in rows:
+        w = re.findall(mixing.WORD, text or "")
+        sizes[source] += len(w)
+        place = unit(str(mixing.SEED), "-" if i is None else str(i), hashlib.md5((text or "").encode()).hexdigest())
+        lines.setdefault(source, []).append((place, -1 if i is None else i, text or "", w))
+    sources = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = targets(sizes)
+    granted = seats([float(want[s]) for s in sources], round(sum(sizes.values()) / mixing.BLOCK))
+    out = []
+    for source, quota in zip(sources, granted, strict=True):
+        n = sizes[source]
+        assert n <= mixing.SHARD_WORDS  # one shard
+        step = mixing.BLOCK // mixing.FINER if n < mixing.SMALL * mixing.BLOCK else mixing.BLOCK
+        blocks = -(-n // step)
+        if not blocks:
+            continue
+        quota = min(quota * mixing.BLOCK // step, mixing.CEILING * blocks)
+        passes, rest = divmod(quota, blocks)
+        phase = unit(str(mixing.SEED), source or "", "0") % blocks
+        at = 0
+        for _, i, text, w in sorted(lines[source], key=lambda x: x[:2]):
+            picked = [x for k, x in enumerate(w) if (((at + k) // step + 1) * rest + phase) // blocks > ((at + k) // step * rest + phase) // blocks]
+            at += len(w)
+            out += [(i, text)] * (passes if w else 0)
+            if picked:
+                out.append((i, text if len(picked) == len(w) else " ".join(picked)))
+    return sorted(out)
+
+
+def odd_rows():
+    rows = [r for r in corpus(5) if r[0] != 905]
+    return [*rows, rows[0], rows[0], rows[1], (None, "no id at all", "b"), (None, "no id at all", "b"), (903, "another text of one id", "a"), (700, "x " * 3000, "b"), (700, "x " * 3000, "b")]
+
+
+def test_mixed_texts_by_hand(spark):
+    rows = odd_rows()
+    got = c.mix_sources(spark, docs(spark, rows).repartition(5), SF)
+    assert got.columns == docs(spark, rows).columns
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in got.collect())
+    assert got == by_hand(rows)
+    taken = sum(r["taken"] for r in mixing.mix(mixing.sized(docs(spark, rows))).collect())
+    assert sum(len(words(t)) for _, t in got) == taken
+    assert c.mix_sources(spark, docs(spark, []), SF).count() == 0
+
+
+def test_odd_rows_through_all_stages(spark):
+    frame = docs(spark, odd_rows())
+    for name, stage in c.STAGES:
+        out = stored(stage(spark, frame, SF), "odd")
+        if name != "tokens":
+            assert out.columns == frame.columns
+            frame = out
+    assert out.count() == frame.count()
+    empty = docs(spark, [])
+    for _, stage in c.STAGES:
+        assert stage(spark, empty, SF).count() == 0
 
 
 def test_stages(spark):
@@ -39,7 +120,7 @@ def test_stages(spark):
     got = Counter()
     for r in e.collect():
         got[r.doc_id] += len(words(r.text))
-        assert r.n_chars == len(r.text) and set(words(r.text)) <= set(words(rows[r.doc_id]))
+        assert r.n_chars == len(r.text) and (r.text == rows[r.doc_id] or in_order(words(r.text), words(rows[r.doc_id])))
     assert e.columns == columns and got == Counter({i: n for i, n in taken.items() if n})
 
     tok = Tokenizer.from_file(tokenizer_path())
