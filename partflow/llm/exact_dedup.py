@@ -2,8 +2,10 @@
 
 Each scan task keeps an index of live digests; a filter hit is verified against the full digest stored in the hit bucket, and an
 overflow rebuilds a larger index from the stored keys. A task reduces its rows to chunks (digest, largest id, count, ids), so a
-digest that a third of all rows share becomes one row for every CHUNK of its rows before anything is shuffled. A second index, for
-each partition of digests, merges the chunks; the decision is joined back to the chunks, hot digests over salts.
+digest that a third of all rows share becomes one row for every CHUNK of its rows before anything is shuffled. Chunks are merged in
+order of their digests, one at a time; the decision is joined back to the chunks, hot digests over salts.
+
+The index as a table is these chunks with their ids, so a digest's keep follows deletions: documents go out by digest and id.
 
 Defined cases: null text counts as empty (null and "" are one group); null doc_ids sort below all others and keep_id is null only if
 all of a group are; of rows with equal id and text exactly one is kept; an empty table gives no rows; other columns are ignored.
@@ -166,20 +168,26 @@ def _chunks(batches):
 
 
 def _merge(batches):
-    index = CuckooIndex()
+    """Chunks, sorted by digest, to one row a digest; a task holds the rows it is about to hand on."""
+    out, last = [], None
+
+    def batch(part):
+        return pa.RecordBatch.from_arrays([binaries([d for d, _ in part]), *(pa.array([v[j] for _, v in part], pa.int64()) for j in range(3))], names=["digest", "keep", "n", "uid"])
+
     for b in batches:
         for digest, keep, n, uid in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-            v = index.find(digest)
-            if v is None:
-                index.insert(digest, [keep, n, uid])
+            if digest != last:
+                if len(out) >= 10_000:
+                    yield batch(out)
+                    out = []
+                last, v = digest, [keep, n, uid]
+                out.append((digest, v))
                 continue
             v[1] += n
             if (_rank(keep), -uid) > (_rank(v[0]), -v[2]):  # the chunk that holds the row that stays: of equals the first
                 v[0], v[2] = keep, uid
-    out = list(index.items())
-    for k in range(0, len(out), 10_000):
-        part = out[k : k + 10_000]
-        yield pa.RecordBatch.from_arrays([binaries([d for d, _ in part]), *(pa.array([v[j] for _, v in part], pa.int64()) for j in range(3))], names=["digest", "keep", "n", "uid"])
+    if out:
+        yield batch(out)
 
 
 def digest_chunks(docs: DataFrame) -> DataFrame:
@@ -189,7 +197,7 @@ def digest_chunks(docs: DataFrame) -> DataFrame:
 
 
 def merge_chunks(chunks: DataFrame) -> DataFrame:
-    return chunks.select("digest", "keep", "n", "uid").repartition(shuffle_partitions(chunks.sparkSession), "digest").mapInArrow(_merge, MERGED)
+    return chunks.select("digest", "keep", "n", "uid").repartition(shuffle_partitions(chunks.sparkSession), "digest").sortWithinPartitions("digest").mapInArrow(_merge, MERGED)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -209,38 +217,36 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "keep_id", "group_size", (F.col("_pos") + 1 == F.col("_at")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+INDEX = "digest binary, keep bigint, n bigint, uid bigint, ids array<bigint>"
+
+
 def live_index(docs: DataFrame) -> DataFrame:
-    """The index as a table of stored keys: (digest, keep, n, uid), one row a live digest."""
-    return stored(merge_chunks(digest_chunks(docs)), "index").select("digest", "keep", "n")
+    """The index as a table of stored keys: chunks (digest, keep, n, uid, ids) of the live rows, each of CHUNK ids at most."""
+    return stored(digest_chunks(docs), "index")
+
+
+def live_groups(index: DataFrame) -> DataFrame:
+    """(digest, keep, n) of every live digest."""
+    return merge_chunks(index).select("digest", "keep", "n")
 
 
 def apply_changes(index: DataFrame, inserts: DataFrame, deletes: DataFrame) -> DataFrame:
-    """The live index after documents came and documents went (deletes: doc_id, text as once inserted). A digest leaves with its last
-    document; keep is the largest id inserted, as the index doesn't hold the others."""
+    """The live index after documents came and documents went (deletes: doc_id, text as once inserted; one row takes out one row, and
+    rows that aren't live take out nothing). A digest leaves with its last document; keep is the largest id that is left.
+
+    Only digests with deletes are opened: their ids are counted against the deleted ones, digest and id together, so a digest of very
+    many rows is spread over many tasks."""
     ship(index.sparkSession)
-    came = live_index(inserts).select("digest", "keep", "n", F.lit(1).alias("sign"))
-    went = live_index(deletes).select("digest", "keep", "n", F.lit(-1).alias("sign"))
-    rows = index.select("digest", "keep", "n", F.lit(1).alias("sign")).unionByName(came).unionByName(went)
-
-    def fold(batches):
-        live, owed = CuckooIndex(), []
-        for b in batches:
-            for digest, keep, n, sign in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if sign < 0:
-                    owed.append((digest, n))
-                elif (v := live.find(digest)) is None:
-                    live.insert(digest, [keep, n])
-                else:
-                    v[0], v[1] = max(v[0], keep, key=_rank), v[1] + n
-        for digest, n in owed:
-            if (v := live.find(digest)) is not None:
-                v[1] -= n
-                if v[1] <= 0:
-                    live.delete(digest)
-        out = list(live.items())
-        yield pa.RecordBatch.from_arrays([binaries([d for d, _ in out]), *(pa.array([v[j] for _, v in out], pa.int64()) for j in range(2))], names=["digest", "keep", "n"])
-
-    return rows.repartition(shuffle_partitions(index.sparkSession), "digest").mapInArrow(fold, "digest binary, keep bigint, n bigint")
+    came, went = live_index(inserts), live_index(deletes)
+    both = index.unionByName(came)
+    touched = went.select("digest").distinct()
+    marked = stored(both.join(touched.withColumn("_hit", F.lit(True)), "digest", "left"), "marked")
+    rest = marked.filter("_hit is null").select("digest", "keep", "n", "uid", "ids")
+    one = lambda df, sign: df.select("digest", F.explode("ids").alias("doc_id"), F.lit(sign).alias("sign"))
+    rows = one(marked.filter("_hit"), 1).unionByName(one(went, -1)).groupBy("digest", "doc_id")
+    left = rows.agg(F.greatest(F.sum("sign"), F.lit(0)).cast("int").alias("n")).filter("n > 0")
+    opened = left.select("digest", F.explode(F.array_repeat("doc_id", F.col("n"))).alias("doc_id")).mapInArrow(_chunks, INDEX)
+    return stored(rest.unionByName(opened), "index")
 
 
 def sha256_of(text: str | None) -> str:

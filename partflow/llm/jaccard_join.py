@@ -5,14 +5,18 @@ partitioned at two levels: of n1 first-level parts one has at most k2 difference
 equal; a signature is the hash of a set restricted to such a subset of parts, for every first-level part and every subset. A set also
 signs for the next band if it is large enough to have partners there. Two sets over the threshold share a signature, always.
 
-No group of a signature is turned into all its pairs. First every member is tested with the group's smallest member; classes so far
-come from connected components. Then only members of different classes are compared, by parity sketches of the sets: the number of
-bits in which two sketches differ never exceeds the number of elements in which the sets differ, so a pair above the limit is out for
-certain. What is left is tested on the sets themselves. Identical sets are one node, found by the two 64-bit sums of their elements.
+No group of a signature is turned into all its pairs. First every member is tested with the group's smallest member, those of a group of
+over MANY members with PIVOTS of them; classes so far come from connected components. Then only members of different classes are
+compared, by parity sketches of the sets: the number of bits in which two sketches differ never exceeds the number of elements in which
+the sets differ, so a pair above the limit is out for certain. What is left is tested on the sets themselves. Identical sets are one
+node, found by the two 64-bit sums of their elements.
+
+A task compares at most two tiles of TILE members: members of a large group, in order of their sets' sizes, are cut into tiles, and
+only tiles with sizes near enough to hold a link meet, each pair of tiles as a group of its own.
 
 Defined cases: null text is empty; a document without words has no shingle and links with nothing; with fewer words than a shingle
-takes, the whole sequence is the one shingle; rows with equal doc_id count as one document (their links are joined); a null doc_id
-takes part in no link and has a null component_id; an empty table gives no rows; other columns are ignored.
+takes, the whole sequence is the one shingle; rows with equal doc_id count as one document: their sets are nodes of their own and their
+links are joined; a null doc_id takes part in no link and has a null component_id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667
 LINES = 8  #: longs in the smallest sketch
 MOST_LINES = 1024
 BLOCK = 512
+MANY, PIVOTS = 64, 8
+TILE = 1024
 
 
 class Rule:
@@ -124,6 +130,19 @@ def _nodes(rule: Rule):
     return run
 
 
+def _named(rule: Rule):
+    """Texts with what names their sets."""
+
+    def run(batches):
+        for batch in batches:
+            for b in slices(batch, 1, 1_000_000):
+                sets = list(shingle_sets(*flat(b.column(1)), rule.n))
+                sums = [pa.array([int(np.sum(mix(s ^ _STEP[k]), dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()) for k in (0, 4)]
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array([len(s) for s in sets], pa.int64()), *sums], names=["doc_id", "text", "n_shingles", "one", "two"])
+
+    return run
+
+
 def _signed(rule: Rule):
     def run(batches):
         seen: set = set()
@@ -172,49 +191,65 @@ def _wide(x: np.ndarray, lines: int) -> np.ndarray:
 
 
 def _compare(rule: Rule):
-    """Of each signature's members, sorted: pairs of different classes that the sketches let through, those with the smallest member aside."""
+    """Of the members of each group (sig, pair), by side: pairs of different classes that the sketches let through. Rows come sorted by
+    group; a group has one tile (side 0, all its pairs) or two (side 0 against side 1)."""
 
-    def pairs(node, comp, size, sketches):
+    def pairs(rows):
+        side, node, comp, size = (np.array([r[k] for r in rows]) for k in range(2, 6))
         order = np.argsort(size, kind="stable")
-        node, comp, size = node[order], comp[order], size[order]
-        sketches = [sketches[i] for i in order]
-        lines = min(len(x) for x in sketches)
-        grid = np.stack([_wide(x, lines) for x in sketches]).view(np.uint64)
-        least = node.min()
+        side, node, comp, size = side[order], node[order], comp[order], size[order]
+        lines = min(len(r[6]) for r in rows)
+        grid = np.stack([_wide(np.array(rows[i][6], np.int64), lines) for i in order.tolist()]).view(np.uint64)
+        two = bool(side.any())
         for i in range(len(node)):
-            if node[i] == least:
-                continue
             end = int(np.searchsorted(size, size[i] * rule.den // rule.num, "right"))
             for at in range(i + 1, end, BLOCK):
                 j = np.arange(at, min(end, at + BLOCK))
-                j = j[(comp[j] != comp[i]) & (node[j] != least)]
+                j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (not two))]
                 if len(j):
                     bits = np.bitwise_count(grid[j] ^ grid[i]).sum(axis=1)
                     for y in node[j[bits <= (rule.den - rule.num) * (size[i] + size[j]) // (rule.den + rule.num)]].tolist():
                         yield (min(y, int(node[i])), max(y, int(node[i])))
 
     def run(batches):
-        sig, held = None, []
+        group, held = None, []
         found: set = set()
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(5)]
-            for row in zip(*cols, strict=True):
-                if row[0] != sig:
+            for row in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                if row[:2] != group:
                     if held:
-                        found.update(pairs(*[np.array(x) for x in list(zip(*held, strict=True))[1:4]], [np.array(r[4], np.int64) for r in held]))
-                    sig, held = row[0], []
+                        found.update(pairs(held))
+                    group, held = row[:2], []
                 held.append(row)
-            if len(found) > 50_000:
-                yield _pair_batch(found)
-                found = set()
+                if len(found) > 50_000:
+                    yield _pair_batch(found)
+                    found = set()
         if held:
-            found.update(pairs(*[np.array(x) for x in list(zip(*held, strict=True))[1:4]], [np.array(r[4], np.int64) for r in held]))
+            found.update(pairs(held))
         if found:
             yield _pair_batch(found)
 
     return run
 
 
+def _tiled(members: DataFrame, rule: Rule) -> DataFrame:
+    """Rows (sig, pair, side, ...) of the comparisons: a group of up to TILE members is one; the tiles of a larger one, dealt by place in
+    order of size, meet if the ratio of their sizes allows a link."""
+    count = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
+    rows = members.join(count, "sig")
+    cols = ["node", "component", "n_shingles", "sketch"]
+    one = F.lit(0)
+    small = rows.filter(F.col("m") <= TILE).select("sig", one.cast("long").alias("pair"), one.alias("side"), *cols)
+    placed = rows.filter(F.col("m") > TILE).withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("sig").orderBy("n_shingles", "node")) - 1) / TILE).cast("long"))
+    tiles = placed.groupBy("sig", "tile").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    other = tiles.select("sig", F.col("tile").alias("t2"), F.col("low").alias("low2"))
+    met = tiles.join(other, "sig").filter((F.col("t2") >= F.col("tile")) & (F.col("low2") * rule.num <= F.col("high") * rule.den))
+    met = met.select("sig", "tile", "t2", (F.col("tile") * (1 << 31) + F.col("t2") + 1).alias("pair"))
+    first = placed.join(met.select("sig", "tile", "pair"), ["sig", "tile"]).select("sig", "pair", one.alias("side"), *cols)
+    second = placed.join(met.filter("t2 > tile").select("sig", F.col("t2").alias("tile"), "pair"), ["sig", "tile"]).select("sig", "pair", F.lit(1).alias("side"), *cols)
+    return small.unionByName(first).unionByName(second)
+
+
 def _pair_batch(found: set) -> pa.RecordBatch:
     at = np.array(sorted(found), np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["u", "v"])
@@ -238,6 +273,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -
     return dealt.withColumn("common", common).filter(F.col("common") * rule.den >= rule.num * (F.col("nu") + F.col("nv") - F.col("common"))).select("u", "v")
 
 
+def _several(docs: DataFrame, live: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame] | None:
+    """For doc_ids that stand for several sets: (doc_id, one, two, n_shingles, node) of their sets, and docs with a node in place of every
+    doc_id. None if no doc_id does. Nodes of such sets are numbers above all doc_ids."""
+    edges = [f(c).alias(f"{n}_{c}") for c in ("n_shingles", "one", "two") for n, f in (("low", F.min), ("high", F.max))]
+    differ = " or ".join(f"low_{c} <> high_{c}" for c in ("n_shingles", "one", "two"))
+    shared = stored(live.groupBy("doc_id").agg(*edges).filter(differ).select("doc_id"), "shared")
+    if shared.isEmpty():
+        return None
+    kinds = stored(live.join(shared, "doc_id", "left_semi").select("doc_id", "n_shingles", "one", "two").distinct(), "kinds")
+    most = live.agg(F.max("doc_id")).first()[0]
+    kinds = kinds.withColumn("_i", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_i", 33))
+    kinds = stored(kinds.withColumn("_i", F.col("_i").bitwiseAND((1 << 33) - 1)), "numbered")
+    tasks, last = kinds.agg(F.max("_p"), F.max("_i")).first()
+    if most + 1 + (tasks + 1) * (last + 1) >= 1 << 63:
+        raise ValueError("repeated doc_ids that stand for several texts need numbers above the largest doc_id")
+    kinds = kinds.select("doc_id", "n_shingles", "one", "two", (F.lit(most + 1) + F.col("_i") * (tasks + 1) + F.col("_p")).alias("node"))
+    own = docs.join(shared, "doc_id", "left_semi")
+    own = own.mapInArrow(_named(rule), "doc_id bigint, text string, n_shingles bigint, one bigint, two bigint").join(kinds, ["doc_id", "n_shingles", "one", "two"])
+    own = stored(own.select(F.col("node").alias("doc_id"), "text"), "own")
+    return kinds, docs.join(shared, "doc_id", "left_anti").unionByName(own)
+
+
 def jaccard_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row."""
     rule = rule or Rule()
@@ -246,7 +303,15 @@ def jaccard_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = stored(docs.mapInArrow(_nodes(rule), "doc_id bigint, n_shingles bigint, one bigint, two bigint, sketch array<bigint>"), "nodes")
     live = known.filter("doc_id is not null and n_shingles > 0")
-    nodes = live.dropDuplicates(["doc_id"])
+    several = _several(docs, live, rule)
+    joined = None
+    if several:
+        kinds, docs = several
+        joined = kinds.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))  # the sets of one doc_id are linked through it
+        left = live.join(kinds.select("doc_id").distinct(), "doc_id", "left_anti")
+        again = live.join(kinds, ["doc_id", "n_shingles", "one", "two"]).drop("doc_id").withColumnRenamed("node", "doc_id")
+        live = stored(left.unionByName(again), "live")
+    nodes = live.dropDuplicates(["doc_id"])  # rows that are left with one doc_id have one set
     # identical sets: each to the smallest id of its class
     classes = live.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n"))
     dups = classes.filter("_n > 1").drop("_n")
@@ -255,13 +320,22 @@ def jaccard_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     group = Window.partitionBy("sig")
     met = signed.withColumn("least", F.min("node").over(group)).withColumn("most", F.max("node").over(group)).filter("least <> most").select("sig", "node", "least")
     met = stored(met, "met")
-    stars = met.filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
-    links = stored(equal.filter("u <> v").unionByName(_verified(stars, docs, nodes, rule)), "links")
+    stars = met.filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    big = met.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > MANY).select("sig")
+    large = met.join(big, "sig").select("sig", "node", F.xxhash64("sig", "node").alias("h")).distinct()
+    # of large groups further members as well, picked by their hash: an aggregate of PIVOTS rounds keeps the smallest
+    pivots = large.groupBy("sig").agg(F.min(F.struct("h", "node")).alias("p0"), *[F.min(F.when(F.pmod(F.shiftright("h", 3), F.lit(PIVOTS)) == k, F.struct("h", "node"))).alias(f"p{k + 1}") for k in range(PIVOTS - 2)])
+    pivots = pivots.select("sig", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS - 1)])).alias("p")).filter("p is not null").select("sig", F.col("p.node").alias("pivot")).distinct()
+    spokes = large.select("sig", "node").join(pivots, "sig").filter("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
+    stars = stars.unionByName(spokes).distinct()
+    same = equal.filter("u <> v")
+    links = stored((same.unionByName(joined) if joined is not None else same).unionByName(_verified(stars, docs, nodes, rule)), "links")
     comp = stored(connected_components(links), "classes")
     seen = met.select("sig", "node").distinct().join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = seen.withColumn("a", F.min("component").over(group)).withColumn("b", F.max("component").over(group)).withColumn("m", F.count(F.lit(1)).over(group)).filter("a <> b and m > 2")
-    open_ = open_.select("sig", "node", "component").join(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "sketch"), "node").select("sig", "node", "component", "n_shingles", "sketch")
-    more = open_.repartition(shuffle_partitions(spark), "sig").sortWithinPartitions("sig", "node").mapInArrow(_compare(rule), "u bigint, v bigint").distinct()
+    mixed = seen.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("m")).filter("a <> b and m > 2").select("sig")
+    open_ = seen.join(mixed, "sig").select("sig", "node", "component").join(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "sketch"), "node").select("sig", "node", "component", "n_shingles", "sketch")
+    tiled = _tiled(open_, rule).repartition(shuffle_partitions(spark), "sig", "pair").sortWithinPartitions("sig", "pair")
+    more = tiled.mapInArrow(_compare(rule), "u bigint, v bigint").distinct().join(stars, ["u", "v"], "left_anti")
     late = stored(_verified(more, docs, nodes, rule), "late")
     if not late.isEmpty():
         comp = stored(connected_components(links.unionByName(late)), "classes")

@@ -50,8 +50,32 @@ def test_odd_rows_and_hot_groups(spark, monkeypatch):
     assert e.exact_dedup(docs(spark, [])).count() == 0
 
 
+def state(index):
+    named = {hashlib.sha256(t.encode()).digest(): t for t in ("a", "b", "c", "h", "")}
+    return {(named[bytes(r.digest)], r.keep, r.n) for r in e.live_groups(index).collect()}
+
+
 def test_changes_to_a_live_index(spark):
     index = e.live_index(docs(spark, [(1, "a"), (2, "a"), (3, "b")]))
-    out = e.apply_changes(index, docs(spark, [(4, "c"), (9, "a")]), docs(spark, [(3, "b"), (1, "a")])).collect()
-    named = {hashlib.sha256(t.encode()).digest(): t for t in "abc"}
-    assert {(named[bytes(r.digest)], r.keep, r.n) for r in out} == {("a", 9, 2), ("c", 4, 1)}
+    out = e.apply_changes(index, docs(spark, [(4, "c"), (9, "a")]), docs(spark, [(3, "b"), (1, "a")]))
+    assert state(out) == {("a", 9, 2), ("c", 4, 1)}
+
+
+def test_keep_follows_deletions(spark, monkeypatch):
+    monkeypatch.setattr(e, "CHUNK", 3)
+    index = e.live_index(docs(spark, [(1, "h"), (9, "h")]))
+    assert state(e.apply_changes(index, docs(spark, []), docs(spark, [(9, "h"), (77, "h"), (5, "a")]))) == {("h", 1, 1)}
+    r = random.Random(4)
+    live, index = [], e.live_index(docs(spark, []))
+    for _ in range(3):
+        came = [(r.choice([None, *range(8)]), r.choice(["a", "b", "h", None])) for _ in range(40)]
+        went = r.sample(live + came, 20) + [(99, "a")]
+        index = e.apply_changes(index, docs(spark, came), docs(spark, went).repartition(3))
+        live = live + came
+        for x in went[:-1]:
+            live.remove(x)
+        want = set()
+        for t in {x[1] or "" for x in live}:
+            ids = [i for i, y in live if (y or "") == t]
+            want.add((t, max((i for i in ids if i is not None), default=None), len(ids)))
+        assert state(index) == want

@@ -69,3 +69,47 @@ def test_null_and_repeated_ids(spark):
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in j.jaccard_classes(docs(spark, rows)).collect())
     assert got == sorted([("1", 3, 1), ("1", 3, 1), ("2", 3, 1), ("None", 3, None), ("3", 0, 3), ("4", 3, 1)])
     assert j.jaccard_classes(docs(spark, [])).count() == 0
+
+
+def test_a_doc_id_with_several_texts_joins_their_links(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "pq")
+    rows = [(5, a), (5, b), (5, b), (6, a + " more"), (7, b + " more"), (7, ""), (8, "something else entirely here"), (8, None), (None, a)]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in j.jaccard_classes(docs(spark, rows).repartition(3)).collect()}
+    assert got == {(5, 38, 5), (6, 39, 5), (7, 39, 5), (7, 0, 5), (8, 2, 8), (8, 0, 8), (None, 38, None)}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_random_repeated_ids_by_brute_force(spark, seed):
+    r = np.random.default_rng(seed)
+    rows = [(int(r.integers(0, 40)) if r.random() < 0.5 else 100 + k, x[1]) for k, x in enumerate(corpus(seed)) if len(x[1] or "") < 3000]
+    one = brute([(k, t) for k, (_, t) in enumerate(rows)], 3, 90, 100)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for k, (i, _) in enumerate(rows):  # a document is linked with the class of each of its texts
+        x, y = find(("set", one[k][1])), find(i)
+        if one[k][0]:
+            root[max(x, y, key=str)] = min(x, y, key=str)
+    least = {}
+    for i, _ in rows:
+        least[find(i)] = min(i, least.get(find(i), i))
+    want = sorted((i, one[k][0], least[find(i)]) for k, (i, _) in enumerate(rows))
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in j.jaccard_classes(docs(spark, rows)).collect())
+    assert got == want
+
+
+def test_large_groups_meet_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(j, "TILE", 5)
+    monkeypatch.setattr(j, "MANY", 4)
+    r = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(60):  # one passage that all share, and as much of their own that some are near the limit
+        own = [f"o{i // 2}x{k}" for k in range(int(r.integers(8, 30)))]
+        rows.append((i, " ".join(base + own + [f"z{i}" for _ in range(int(r.integers(0, 4)))])))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in j.jaccard_classes(docs(spark, rows), j.Rule(5, 80, 100, 2, 1)).collect()}
+    assert got == brute(rows, 5, 80, 100)
