@@ -23,6 +23,7 @@ from .common import binaries, ship, shuffle_partitions, stored, table
 
 CHUNK = 4096  #: ids in one row of a group at most
 LIVE = 200_000  #: digests a scan task holds before it hands its chunks on
+ROWS = 2_000_000  #: rows likewise
 SALTS = 16
 
 
@@ -143,9 +144,10 @@ def _chunks(batches):
             names=["digest", "keep", "n", "uid", "ids"],
         )
 
-    index = CuckooIndex()
+    index, held = CuckooIndex(), 0
     for b in batches:
         full = []
+        held += b.num_rows
         for digest, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             v = index.find(digest)
             if v is None:
@@ -157,9 +159,9 @@ def _chunks(batches):
             if len(v[1]) == CHUNK:  # the digest stays live; its rows so far leave
                 full.append((digest, [v[0], v[1]]))
                 v[1] = []
-        if index.size > LIVE:
+        if index.size > LIVE or held > ROWS:
             full += rows(index)
-            index = CuckooIndex()
+            index, held = CuckooIndex(), 0
         if full:
             yield batch(full, uid)
             uid += len(full)

@@ -89,11 +89,11 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return row, start - offsets[row], end - offsets[row], anchor[start] - offsets[row], rank[anchor[start]], whole
 
 
-RANKS = "kind int, a bigint, b bigint, k bigint, first int, last int, at int, open boolean, n bigint"
+RANKS = "kind int, a bigint, b bigint, doc bigint, k bigint, first int, last int, at int, open boolean, n bigint"
 
 
 class Held:
-    """A task's rows (rank a, rank b, key, first and last window, a place, open: may have to go), ranked among themselves: one row for
+    """A task's rows (rank a, rank b, doc_id and key, first and last window, a place, open: may have to go), ranked among themselves: one row for
     each pair of ranks with its count (kind 0), and all open rows of pairs that occur twice (kind 1)."""
 
     def __init__(self):
@@ -110,9 +110,9 @@ class Held:
             return
         cols = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
         self.parts, self.n = [], 0
-        order = np.lexsort((~cols[6], cols[1], cols[0]))  # open rows first, so that one stands for its pair
+        order = np.lexsort((~cols[7], cols[1], cols[0]))  # open rows first, so that one stands for its pair
         cols = [c[order] for c in cols]
-        a, b, open_ = cols[0], cols[1], cols[6]
+        a, b, open_ = cols[0], cols[1], cols[7]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         head = np.flatnonzero(new)
@@ -124,10 +124,10 @@ class Held:
 
 
 def _rows(kind: int, cols: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
-    a, b, key, first, last, at, open_ = cols
+    a, b, doc, key, first, last, at, open_ = cols
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(key.astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in (first, last, at)), pa.array(open_), pa.array(n.astype(np.int64))],
-        names=["kind", "a", "b", "k", "first", "last", "at", "open", "n"],
+        [pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(key.astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in (first, last, at)), pa.array(open_), pa.array(n.astype(np.int64))],
+        names=["kind", "a", "b", "doc", "k", "first", "last", "at", "open", "n"],
     )
 
 
@@ -135,15 +135,15 @@ def _sampled(length: int, gram: int):
     def run(batches):
         held = Held()
         for batch in batches:
-            for b in slices(batch, 1, 1_000_000):
-                row, first, last, at, a, whole = runs_of(*flat(b.column(1)), length, gram)
-                yield from held.add(a, whole, np.asarray(b.column(0))[row], first, last, at, np.ones(len(row), bool))
+            for b in slices(batch, 2, 1_000_000):
+                row, first, last, at, a, whole = runs_of(*flat(b.column(2)), length, gram)
+                yield from held.add(a, whole, np.asarray(b.column(0))[row], np.asarray(b.column(1))[row], first, last, at, np.ones(len(row), bool))
         yield from held.ranked()
 
     return run
 
 
-SEGMENTS = "k bigint, first int, last int, at int, open boolean, bytes binary"
+SEGMENTS = "doc bigint, k bigint, first int, last int, at int, open boolean, bytes binary"
 
 
 def _segments(length: int):
@@ -151,12 +151,12 @@ def _segments(length: int):
 
     def run(batches):
         for batch in batches:
-            for key, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for doc, key, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 data = text.as_py()
                 spans = {(s["first"], s["last"]): s for s in spans}.values()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(spans), pa.int64()), *(pa.array([s[n] for s in spans], pa.int32()) for n in ("first", "last", "at")), pa.array([s["open"] for s in spans]), pa.array([data[s["first"] : s["last"] + length] for s in spans], pa.binary())],
-                    names=["k", "first", "last", "at", "open", "bytes"],
+                    [pa.array([doc] * len(spans), pa.int64()), pa.array([key] * len(spans), pa.int64()), *(pa.array([s[n] for s in spans], pa.int32()) for n in ("first", "last", "at")), pa.array([s["open"] for s in spans]), pa.array([data[s["first"] : s["last"] + length] for s in spans], pa.binary())],
+                    names=["doc", "k", "first", "last", "at", "open", "bytes"],
                 )
 
     return run
@@ -166,10 +166,10 @@ def _blocks(length: int, step: int):
     def run(batches):
         held = Held()
         for batch in batches:
-            for b in slices(batch, 5, 1_000_000):
-                data, edge = flat(b.column(5))
-                key, first, last, at = (np.asarray(b.column(c)).astype(np.int64) for c in range(4))
-                open_ = np.asarray(b.column(4))
+            for b in slices(batch, 6, 1_000_000):
+                data, edge = flat(b.column(6))
+                doc, key, first, last, at = (np.asarray(b.column(c)).astype(np.int64) for c in range(5))
+                open_ = np.asarray(b.column(5))
                 low, high = (at - last) // step, (at - first) // step  # blocks by the anchor's distance: equal windows have equal ones
                 n = high - low + 1
                 seg = np.repeat(np.arange(len(n)), n)
@@ -182,7 +182,7 @@ def _blocks(length: int, step: int):
                 core = at[seg] - block * step + move
                 a = mix(one.of(pre, core, core + length - step + 1) ^ mix(block.astype(np.uint64)))
                 whole = mix(one.of(pre, begin + move, end + length + move) ^ mix(((at[seg] - begin) * 65536 + at[seg] - end).astype(np.uint64)))
-                yield from held.add(a, whole, key[seg], begin, end, first[seg], open_[seg])
+                yield from held.add(a, whole, doc[seg], key[seg], begin, end, first[seg], open_[seg])
         yield from held.ranked()
 
     return run
@@ -192,10 +192,10 @@ def _positions(length: int):
     def run(batches):
         held = Held()
         for batch in batches:
-            for b in slices(batch, 2, 500_000):
-                data, edge = flat(b.column(2))
-                key, start = np.asarray(b.column(0)), np.asarray(b.column(1)).astype(np.int64)
-                spans = b.column(3).to_pylist()
+            for b in slices(batch, 3, 500_000):
+                data, edge = flat(b.column(3))
+                doc, key, start = (np.asarray(b.column(c)).astype(np.int64) for c in range(3))
+                spans = b.column(4).to_pylist()
                 seg = np.repeat(np.arange(len(spans)), [len(x) for x in spans])
                 first, last, open_ = (np.array([s[n] for x in spans for s in x]) for n in ("first", "last", "open"))
                 size = last - first + 1
@@ -208,7 +208,7 @@ def _positions(length: int):
                 # the rank at the whole length pairs those of the position and of the one half the length on
                 a = mix(one.of(p1, at, at + half)) + mix(two.of(p2, at, at + half) ^ _C)
                 z = mix(one.of(p1, at + half, at + length) ^ _C) + mix(two.of(p2, at + half, at + length))
-                yield from held.add(a, z, key[seg], p, p, p, np.repeat(open_.astype(bool), size))
+                yield from held.add(a, z, doc[seg], key[seg], p, p, p, np.repeat(open_.astype(bool), size))
         yield from held.ranked()
 
     return run
@@ -216,14 +216,20 @@ def _positions(length: int):
 
 def _settled(ranks: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """(repeated rows, rows to look at closer) of ranked rows. Open rows whose pair (a, b) occurs twice are repeated. Where rows differ
-    under one a and an open one is single, one row of each kind is looked at; of them the single ones are still open."""
-    by_a, by_both = Window.partitionBy("a"), Window.partitionBy("a", "b")
-    rows = ranks.filter("kind = 0").withColumn("all", F.sum("n").over(by_both)).withColumn("nth", F.row_number().over(by_both.orderBy("k", "first", "last")))
-    rows = rows.withColumn("waits", F.max((F.col("open") & (F.col("all") == 1)).cast("int")).over(by_a)).withColumn("low", F.min("b").over(by_a)).withColumn("high", F.max("b").over(by_a))
-    rows = rows.select("k", "first", "last", "at", ((F.col("all") > 1) & (F.col("n") == 1) & F.col("open")).alias("repeated"), ((F.col("waits") == 1) & (F.col("low") != F.col("high")) & (F.col("nth") == 1)).alias("look"), ((F.col("all") == 1) & F.col("open")).alias("open"))
-    rows = stored(rows.filter("repeated or look"), name)
-    gone = ranks.filter("kind = 1").select("k", "first", "last").unionByName(rows.filter("repeated").select("k", "first", "last"))
-    return gone, rows.filter("look").select("k", "first", "last", "at", "open")
+    under one a and an open one is single, one row of each pair is looked at; of them the single ones are still open.
+
+    Pairs are sorted and summed with partial aggregates, and so are the pairs of one a, so a rank that very many rows share is a row a
+    task; what follows for the rows comes back by joins, which Spark can split."""
+    place = F.struct("doc", "k", "first", "last", "at")
+    rows = ranks.filter("kind = 0")
+    pairs = rows.groupBy("a", "b").agg(F.sum("n").alias("all"), F.min(place).alias("place"), F.max(F.col("open").cast("int")).alias("opens"))
+    pairs = stored(pairs, name)
+    waits = pairs.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max(F.when(F.col("all") == 1, F.col("opens")).otherwise(0)).alias("waits"))
+    waits = waits.filter("waits = 1 and low <> high").select("a")
+    look = pairs.join(waits, "a").select("place.*", ((F.col("all") == 1) & (F.col("opens") == 1)).alias("open"))
+    twice = pairs.filter("all > 1").select("a", "b")
+    found = rows.filter("n = 1 and open").join(twice, ["a", "b"]).select("doc", "k", "first", "last")
+    return ranks.filter("kind = 1").select("doc", "k", "first", "last").unionByName(found), look
 
 
 def _finish(length: int, texts: bool):
@@ -265,18 +271,21 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts:
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text).alias("k"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    gone, look = _settled(stored(rows.select("k", "text").mapInArrow(_sampled(length, gram), RANKS), "ranks"), "runs")
-    look = look.groupBy("k").agg(F.collect_list(F.struct("first", "last", "at", "open")).alias("spans"))
-    where = rows.select("k", "text").hint("merge").join(look, "k").select("k", "text", "spans")
-    segments = stored(where.mapInArrow(_segments(length), SEGMENTS).dropDuplicates(["k", "first", "last"]), "segments")  # equal rows have equal keys
+    doc = F.col("doc_id").cast("long")
+    # a row's key: its doc_id, and for repeated and null doc_ids a hash of which and of its text
+    rows = docs.select(F.coalesce(doc, F.lit(0)).alias("doc"), F.xxhash64(doc.isNull(), text).alias("k"), text.alias("text"), doc.alias("doc_id"))
+    key = ["doc", "k"]
+    gone, look = _settled(stored(rows.select(*key, "text").mapInArrow(_sampled(length, gram), RANKS), "ranks"), "runs")
+    look = look.groupBy(*key).agg(F.collect_list(F.struct("first", "last", "at", "open")).alias("spans"))
+    where = rows.select(*key, "text").hint("merge").join(look, key).select(*key, "text", "spans")
+    segments = stored(where.mapInArrow(_segments(length), SEGMENTS).dropDuplicates([*key, "first", "last"]), "segments")  # equal rows have equal keys
     more, look = _settled(stored(segments.mapInArrow(_blocks(length, min(STEP, length - gram)), RANKS), "blocks"), "block_runs")
-    look = look.groupBy("k", F.col("at").alias("first")).agg(F.collect_list(F.struct(F.col("first"), "last", "open")).alias("spans"))
-    late = segments.join(look, ["k", "first"]).select("k", "first", "bytes", "spans").mapInArrow(_positions(length), RANKS)
+    look = look.groupBy(*key, F.col("at").alias("first")).agg(F.collect_list(F.struct(F.col("first"), "last", "open")).alias("spans"))
+    late = segments.join(look, [*key, "first"]).select(*key, "first", "bytes", "spans").mapInArrow(_positions(length), RANKS)
     last, _ = _settled(stored(late, "positions"), "position_runs")
     gone = gone.unionByName(more).unionByName(last)
-    spans = gone.distinct().groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    both = rows.hint("merge").join(spans, "k", "left").select("doc_id", "text", "spans")
+    spans = gone.distinct().groupBy(*key).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    both = rows.hint("merge").join(spans, key, "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_finish(length, texts), RESULT + (", kept_text binary, removed array<bigint>" if texts else ""))
 
 

@@ -49,3 +49,12 @@ def test_corpus_at_full_length(spark):
     out = r.find_repeats(docs(spark, rows), texts=True).filter("n_removed > 0").first()
     assert out and len(out.kept_text) == out.n_bytes - out.n_removed
     assert r.find_repeats(docs(spark, [])).count() == 0
+
+
+def test_the_whole_table_by_brute_force(spark):
+    from tests.helpers import SF
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(x.doc_id, x.text) for x in d.collect()]
+    got = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in r.op4_repeated_passages(spark, SF).collect())
+    assert got == brute(rows, r.LENGTH) and any(x[2] for x in got)
