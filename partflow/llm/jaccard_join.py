@@ -5,11 +5,10 @@ partitioned at two levels: of n1 first-level parts one has at most k2 difference
 equal; a signature is the hash of a set restricted to such a subset of parts, for every first-level part and every subset. A set also
 signs for the next band if it is large enough to have partners there. Two sets over the threshold share a signature, always.
 
-No group of a signature is turned into all its pairs. First every member is tested with the group's smallest member, those of a group of
-over MANY members with PIVOTS of them; classes so far come from connected components. Then only members of different classes are
-compared, by parity sketches of the sets: the number of bits in which two sketches differ never exceeds the number of elements in which
-the sets differ, so a pair above the limit is out for certain. What is left is tested on the sets themselves. Identical sets are one
-node, found by the two 64-bit sums of their elements.
+No group of a signature is turned into all its pairs. First every member is tested with the group's smallest member; classes so far
+come from connected components. Then only members of different classes are compared, by parity sketches of the sets: the number of
+bits in which two sketches differ never exceeds the number of elements in which the sets differ, so a pair above the limit is out for
+certain. What is left is tested on the sets themselves. Identical sets are one node, found by the two 64-bit sums of their elements.
 
 A task compares at most two tiles of TILE members: members of a large group, in order of their sets' sizes, are cut into tiles, and
 only tiles with sizes near enough to hold a link meet, each pair of tiles as a group of its own.
@@ -37,7 +36,6 @@ _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667
 LINES = 8  #: longs in the smallest sketch
 MOST_LINES = 1024
 BLOCK = 512
-MANY, PIVOTS = 64, 8
 TILE = 1024
 
 
@@ -176,14 +174,29 @@ def _sets(rule: Rule):
     return run
 
 
-def _bits(a, b):
-    """In how many bits two sketches differ, both folded to the smaller one's length (native)."""
-    k = F.least(F.size(a), F.size(b))
+def _matrix(col: pa.Array, rows: np.ndarray, lines: int) -> np.ndarray:
+    """The sketches of some rows that have `lines` longs each."""
+    at = np.asarray(col.offsets)[rows].astype(np.int64)
+    return np.asarray(col.values)[at[:, None] + np.arange(lines)]
 
-    def fold(x, i):
-        return F.aggregate(F.filter(x, lambda _, j: F.pmod(j, k) == i), F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(v))
 
-    return F.aggregate(F.sequence(F.lit(0), k - 1), F.lit(0), lambda acc, i: acc + F.bit_count(fold(a, i).bitwiseXOR(fold(b, i))))
+def _let_through(rule: Rule):
+    """Pairs (u, v, nu, nv) whose sketches, the larger folded to the smaller one's length, differ in few enough bits."""
+
+    def run(batches):
+        for b in batches:
+            nu, nv = np.asarray(b.column(2)), np.asarray(b.column(3))
+            size = [np.diff(np.asarray(b.column(k).offsets)) for k in (4, 5)]
+            stays = np.zeros(len(nu), bool)
+            for lu, lv in np.unique(np.stack(size, 1), axis=0).tolist():
+                rows = np.flatnonzero((size[0] == lu) & (size[1] == lv))
+                lines = min(lu, lv)
+                x, y = (np.bitwise_xor.reduce(_matrix(b.column(k), rows, n).reshape(len(rows), -1, lines), axis=1) for k, n in ((4, lu), (5, lv)))
+                bits = np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1)
+                stays[rows] = bits <= (rule.den - rule.num) * (nu[rows] + nv[rows]) // (rule.den + rule.num)
+            yield b.select(["u", "v", "nu", "nv"]).filter(pa.array(stays))
+
+    return run
 
 
 def _wide(x: np.ndarray, lines: int) -> np.ndarray:
@@ -260,8 +273,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -
     light = nodes.select("doc_id", "n_shingles", "sketch")
     for side in ("u", "v"):
         pairs = pairs.join(light.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("sketch").alias(f"k{side}")), side)
-    most = F.floor((rule.den - rule.num) * (F.col("nu") + F.col("nv")) / (rule.den + rule.num))
-    pairs = stored(pairs.filter((F.least("nu", "nv") * rule.den >= F.greatest("nu", "nv") * rule.num) & (_bits(F.col("ku"), F.col("kv")) <= most)).select("u", "v", "nu", "nv"), "pairs")
+    pairs = pairs.filter(F.least("nu", "nv") * rule.den >= F.greatest("nu", "nv") * rule.num).select("u", "v", "nu", "nv", "ku", "kv")
+    pairs = stored(pairs.mapInArrow(_let_through(rule), "u bigint, v bigint, nu bigint, nv bigint"), "pairs")
     wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
     sets = stored(docs.hint("merge").join(wanted, "doc_id", "left_semi").mapInArrow(_sets(rule), "doc_id bigint, s array<bigint>").dropDuplicates(["doc_id"]), "sets")
     # a node with many partners is dealt over copies of its set
@@ -320,14 +333,7 @@ def jaccard_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     group = Window.partitionBy("sig")
     met = signed.withColumn("least", F.min("node").over(group)).withColumn("most", F.max("node").over(group)).filter("least <> most").select("sig", "node", "least")
     met = stored(met, "met")
-    stars = met.filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
-    big = met.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > MANY).select("sig")
-    large = met.join(big, "sig").select("sig", "node", F.xxhash64("sig", "node").alias("h")).distinct()
-    # of large groups further members as well, picked by their hash: an aggregate of PIVOTS rounds keeps the smallest
-    pivots = large.groupBy("sig").agg(F.min(F.struct("h", "node")).alias("p0"), *[F.min(F.when(F.pmod(F.shiftright("h", 3), F.lit(PIVOTS)) == k, F.struct("h", "node"))).alias(f"p{k + 1}") for k in range(PIVOTS - 2)])
-    pivots = pivots.select("sig", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS - 1)])).alias("p")).filter("p is not null").select("sig", F.col("p.node").alias("pivot")).distinct()
-    spokes = large.select("sig", "node").join(pivots, "sig").filter("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
-    stars = stars.unionByName(spokes).distinct()
+    stars = met.filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
     same = equal.filter("u <> v")
     links = stored((same.unionByName(joined) if joined is not None else same).unionByName(_verified(stars, docs, nodes, rule)), "links")
     comp = stored(connected_components(links), "classes")

@@ -104,7 +104,6 @@ def test_random_repeated_ids_by_brute_force(spark, seed):
 
 def test_large_groups_meet_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(j, "TILE", 5)
-    monkeypatch.setattr(j, "MANY", 4)
     r = np.random.default_rng(9)
     base = [f"w{k}" for k in range(60)]
     rows = []
