@@ -250,7 +250,7 @@ def _tiled(members: DataFrame, rule: Rule) -> DataFrame:
     order of size, meet if the ratio of their sizes allows a link."""
     count = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
     rows = members.join(count, "sig")
-    cols = ["node", "component", "n_shingles", "sketch"]
+    cols = ["node", "component", "n_shingles"]
     one = F.lit(0)
     small = rows.filter(F.col("m") <= TILE).select("sig", one.cast("long").alias("pair"), one.alias("side"), *cols)
     placed = rows.filter(F.col("m") > TILE).withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("sig").orderBy("n_shingles", "node")) - 1) / TILE).cast("long"))
@@ -339,8 +339,9 @@ def jaccard_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     comp = stored(connected_components(links), "classes")
     seen = met.select("sig", "node").distinct().join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = seen.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("m")).filter("a <> b and m > 2").select("sig")
-    open_ = seen.join(mixed, "sig").select("sig", "node", "component").join(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "sketch"), "node").select("sig", "node", "component", "n_shingles", "sketch")
-    tiled = _tiled(open_, rule).repartition(shuffle_partitions(spark), "sig", "pair").sortWithinPartitions("sig", "pair")
+    open_ = seen.join(mixed, "sig").select("sig", "node", "component").join(nodes.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
+    tiled = _tiled(stored(open_.select("sig", "node", "component", "n_shingles"), "open"), rule).join(nodes.select(F.col("doc_id").alias("node"), "sketch"), "node")
+    tiled = tiled.select("sig", "pair", "side", "node", "component", "n_shingles", "sketch").repartition(shuffle_partitions(spark), "sig", "pair").sortWithinPartitions("sig", "pair")
     more = tiled.mapInArrow(_compare(rule), "u bigint, v bigint").distinct().join(stars, ["u", "v"], "left_anti")
     late = stored(_verified(more, docs, nodes, rule), "late")
     if not late.isEmpty():
