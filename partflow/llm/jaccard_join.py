@@ -35,8 +35,7 @@ from .common import flat, mix, salted_lookup, ship, shuffle_partitions, slices,
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 LINES = 8  #: longs in the smallest sketch
 MOST_LINES = 1024
-BLOCK = 512
-TILE = 1024
+TILE = 8192
 
 
 class Rule:
@@ -199,52 +198,80 @@ def _let_through(rule: Rule):
     return run
 
 
-def _wide(x: np.ndarray, lines: int) -> np.ndarray:
-    return np.bitwise_xor.reduce(x.reshape(-1, lines), axis=0)
+
+def _fold(col: pa.Array, rows: np.ndarray, size: np.ndarray, lines: int) -> np.ndarray:
+    """The sketches of some rows, `size` longs each, folded to `lines`."""
+    out = np.zeros((len(rows), lines), np.int64)
+    for n in np.unique(size[rows]).tolist():
+        at = np.flatnonzero(size[rows] == n)
+        out[at] = np.bitwise_xor.reduce(_matrix(col, rows[at], n).reshape(len(at), -1, lines), axis=1)
+    return out
+
+
+AT_ONCE = 1_000_000  #: pairs compared together
 
 
 def _compare(rule: Rule):
     """Of the members of each group (sig, pair), by side: pairs of different classes that the sketches let through. Rows come sorted by
-    group; a group has one tile (side 0, all its pairs) or two (side 0 against side 1)."""
-
-    def pairs(rows):
-        side, node, comp, size = (np.array([r[k] for r in rows]) for k in range(2, 6))
-        order = np.argsort(size, kind="stable")
-        side, node, comp, size = side[order], node[order], comp[order], size[order]
-        lines = min(len(r[6]) for r in rows)
-        grid = np.stack([_wide(np.array(rows[i][6], np.int64), lines) for i in order.tolist()]).view(np.uint64)
-        two = bool(side.any())
-        for i in range(len(node)):
-            end = int(np.searchsorted(size, size[i] * rule.den // rule.num, "right"))
-            for at in range(i + 1, end, BLOCK):
-                j = np.arange(at, min(end, at + BLOCK))
-                j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (not two))]
-                if len(j):
-                    bits = np.bitwise_count(grid[j] ^ grid[i]).sum(axis=1)
-                    for y in node[j[bits <= (rule.den - rule.num) * (size[i] + size[j]) // (rule.den + rule.num)]].tolist():
-                        yield (min(y, int(node[i])), max(y, int(node[i])))
+    group and size; a group has one tile (side 0, all its pairs) or two (side 0 against side 1)."""
+
+    def pairs(b: pa.RecordBatch, new: np.ndarray):
+        side, node, comp, size = (np.asarray(b.column(k)) for k in range(2, 6))
+        sketches = b.column(6)
+        lines = np.diff(np.asarray(sketches.offsets))
+        group = np.cumsum(new) - 1
+        two = np.maximum.reduceat(side, np.flatnonzero(new))[group] > 0
+        rank = group * (1 << 40) + size
+        row = np.arange(len(node))
+        partners = np.searchsorted(rank, group * (1 << 40) + size * rule.den // rule.num, "right") - row - 1
+        upto = np.concatenate([[0], np.cumsum(partners)])
+        small = _fold(sketches, row, lines, LINES)
+        start = 0
+        while start < len(row):
+            end = max(start + 1, int(np.searchsorted(upto, upto[start] + AT_ONCE, "right")) - 1)
+            n = partners[start:end]
+            i = np.repeat(row[start:end], n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(upto[start:end] - upto[start], n)
+            stays = (comp[i] != comp[j]) & ((side[i] != side[j]) | ~two[i])
+            i, j = i[stays], j[stays]
+            most = (rule.den - rule.num) * (size[i] + size[j]) // (rule.den + rule.num)
+            stays = np.bitwise_count((small[i] ^ small[j]).view(np.uint64)).sum(axis=1) <= most
+            i, j, most = i[stays], j[stays], most[stays]
+            width = np.minimum(lines[i], lines[j])
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                bits = np.bitwise_count((_fold(sketches, i[at], lines, w) ^ _fold(sketches, j[at], lines, w)).view(np.uint64)).sum(axis=1)
+                at = at[bits <= most[at]]
+                if len(at):
+                    x, y = node[i[at]], node[j[at]]
+                    yield np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            start = end
 
     def run(batches):
-        group, held = None, []
-        found: set = set()
+        held = None
         for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
-                if row[:2] != group:
-                    if held:
-                        found.update(pairs(held))
-                    group, held = row[:2], []
-                held.append(row)
-                if len(found) > 50_000:
+            b = b if held is None else pa.concat_batches([held, b])
+            if not b.num_rows:
+                continue
+            sig, pair = np.asarray(b.column(0)), np.asarray(b.column(1))
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (pair[1:] != pair[:-1])
+            last = int(np.flatnonzero(new)[-1])  # the last group may go on in the next batch
+            if last:
+                for found in pairs(pa.concat_batches([b.slice(0, last)]), new[:last]):
                     yield _pair_batch(found)
-                    found = set()
-        if held:
-            found.update(pairs(held))
-        if found:
-            yield _pair_batch(found)
+            held = pa.concat_batches([b.slice(last)])
+        if held is not None:
+            for found in pairs(held, np.arange(held.num_rows) == 0):
+                yield _pair_batch(found)
 
     return run
 
 
+def _pair_batch(at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["u", "v"])
+
+
 def _tiled(members: DataFrame, rule: Rule) -> DataFrame:
     """Rows (sig, pair, side, ...) of the comparisons: a group of up to TILE members is one; the tiles of a larger one, dealt by place in
     order of size, meet if the ratio of their sizes allows a link."""
@@ -341,7 +368,7 @@ def jaccard_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     mixed = seen.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("m")).filter("a <> b and m > 2").select("sig")
     open_ = seen.join(mixed, "sig").select("sig", "node", "component").join(nodes.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
     tiled = _tiled(stored(open_.select("sig", "node", "component", "n_shingles"), "open"), rule).join(nodes.select(F.col("doc_id").alias("node"), "sketch"), "node")
-    tiled = tiled.select("sig", "pair", "side", "node", "component", "n_shingles", "sketch").repartition(shuffle_partitions(spark), "sig", "pair").sortWithinPartitions("sig", "pair")
+    tiled = tiled.select("sig", "pair", "side", "node", "component", "n_shingles", "sketch").repartition(shuffle_partitions(spark), "sig", "pair").sortWithinPartitions("sig", "pair", "n_shingles")
     more = tiled.mapInArrow(_compare(rule), "u bigint, v bigint").distinct().join(stars, ["u", "v"], "left_anti")
     late = stored(_verified(more, docs, nodes, rule), "late")
     if not late.isEmpty():

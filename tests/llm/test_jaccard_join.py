@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from partflow.llm import jaccard_join as j
@@ -59,8 +60,10 @@ def test_sketch_never_exceeds_the_difference():
     for _ in range(100):
         a, b = (np.unique(r.integers(0, 5000, int(r.integers(1, 3000))).astype(np.uint64)) for _ in range(2))
         x, y = j.sketch(a), j.sketch(b)
-        lines = min(len(x), len(y))
-        bits = np.bitwise_count((j._wide(x, lines) ^ j._wide(y, lines)).view(np.uint64)).sum()
+        both = pa.array([x, y], pa.list_(pa.int64()))
+        size, lines = np.array([len(x), len(y)]), min(len(x), len(y))
+        one, two = (j._fold(both, np.array([k]), size, lines) for k in (0, 1))
+        bits = np.bitwise_count((one ^ two).view(np.uint64)).sum()
         assert bits <= len(np.setxor1d(a, b))
 
 
