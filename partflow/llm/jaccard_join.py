@@ -198,7 +198,6 @@ def _let_through(rule: Rule):
     return run
 
 
-
 def _fold(col: pa.Array, rows: np.ndarray, size: np.ndarray, lines: int) -> np.ndarray:
     """The sketches of some rows, `size` longs each, folded to `lines`."""
     out = np.zeros((len(rows), lines), np.int64)
@@ -290,11 +289,6 @@ def _tiled(members: DataFrame, rule: Rule) -> DataFrame:
     return small.unionByName(first).unionByName(second)
 
 
-def _pair_batch(found: set) -> pa.RecordBatch:
-    at = np.array(sorted(found), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["u", "v"])
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """Of candidate pairs (u < v) those that link: sketches first, then the sets."""
     light = nodes.select("doc_id", "n_shingles", "sketch")

@@ -115,3 +115,24 @@ def test_large_groups_meet_in_tiles(spark, monkeypatch):
         rows.append((i, " ".join(base + own + [f"z{i}" for _ in range(int(r.integers(0, 4)))])))
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in j.jaccard_classes(docs(spark, rows), j.Rule(5, 80, 100, 2, 1)).collect()}
     assert got == brute(rows, 5, 80, 100)
+
+
+def test_pairs_of_a_group_by_brute_force():
+    rule, r = j.Rule(5, 80, 100, 2, 1), np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 300, int(r.integers(5, 200))).astype(np.uint64)) for _ in range(60)]
+    sets += [np.unique(np.concatenate([s[3:], s[:1] + np.uint64(1000)])) for s in sets[:30]]
+    side = r.integers(0, 2, len(sets))
+    for two in (False, True):
+        order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+        rows = [(7, 1, int(side[k]) if two else 0, k, k % 50, len(sets[k]), j.sketch(sets[k]).tolist()) for k in order]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        names = ["sig", "pair", "side", "node", "component", "n_shingles", "sketch"]
+        cut = [pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows[at : at + 20]], kinds[c]) for c in range(7)], names=names) for at in range(0, len(rows), 20)]
+        got = {(x["u"], x["v"]) for b in j._compare(rule)(iter(cut)) for x in b.to_pylist()}
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                linked = both * 100 >= 80 * (len(sets[a]) + len(sets[b]) - both)
+                met = a % 50 != b % 50 and (not two or side[a] != side[b])
+                assert (a, b) in got if linked and met else (met or (a, b) not in got)
+        assert len(got) > 5
