@@ -10,8 +10,8 @@ come from connected components. Then only members of different classes are compa
 bits in which two sketches differ never exceeds the number of elements in which the sets differ, so a pair above the limit is out for
 certain. What is left is tested on the sets themselves. Identical sets are one node, found by the two 64-bit sums of their elements.
 
-A task compares at most two tiles of TILE members: members of a large group, in order of their sets' sizes, are cut into tiles, and
-only tiles with sizes near enough to hold a link meet, each pair of tiles as a group of its own.
+At most two tiles of TILE members are held at once: members of a larger group are cut into tiles, and each pair of tiles is compared as a
+group of its own, in whichever task.
 
 Defined cases: null text is empty; a document without words has no shingle and links with nothing; with fewer words than a shingle
 takes, the whole sequence is the one shingle; rows with equal doc_id count as one document: their sets are nodes of their own and their
@@ -207,86 +207,105 @@ def _fold(col: pa.Array, rows: np.ndarray, size: np.ndarray, lines: int) -> np.n
     return out
 
 
-AT_ONCE = 1_000_000  #: pairs compared together
+AT_ONCE = 500_000  #: pairs compared together
+FEW = 48  #: members of a group that is compared together with others
 
 
 def _compare(rule: Rule):
     """Of the members of each group (sig, pair), by side: pairs of different classes that the sketches let through. Rows come sorted by
     group and size; a group has one tile (side 0, all its pairs) or two (side 0 against side 1)."""
 
+    def close(i, j, side, comp, size, two):
+        """Pairs to look at, and the bits in which they may differ."""
+        stays = (comp[i] != comp[j]) & ((side[i] != side[j]) | ~two)
+        return stays, (rule.den - rule.num) * (size[i] + size[j]) // (rule.den + rule.num)
+
     def pairs(b: pa.RecordBatch, new: np.ndarray):
-        side, node, comp, size = (np.asarray(b.column(k)) for k in range(2, 6))
-        sketches = b.column(6)
-        lines = np.diff(np.asarray(sketches.offsets))
+        """Arrays (i, j) of rows."""
+        side, _, comp, size = (np.asarray(b.column(k)) for k in range(2, 6))
+        lines = np.diff(np.asarray(b.column(6).offsets))
+        begin = np.flatnonzero(new)
+        members = np.diff(np.append(begin, len(size)))
         group = np.cumsum(new) - 1
-        two = np.maximum.reduceat(side, np.flatnonzero(new))[group] > 0
+        two = np.maximum.reduceat(side, begin) > 0
         rank = group * (1 << 40) + size
-        row = np.arange(len(node))
-        partners = np.searchsorted(rank, group * (1 << 40) + size * rule.den // rule.num, "right") - row - 1
+        row = np.arange(len(size))
+        end = np.searchsorted(rank, group * (1 << 40) + size * rule.den // rule.num, "right")
+        small = _fold(b.column(6), row, lines, LINES).view(np.uint64)
+
+        def settled(i, j, most):
+            """Those that larger sketches let through as well."""
+            width, keep = np.minimum(lines[i], lines[j]), np.ones(len(i), bool)
+            for w in np.unique(width[width > LINES]).tolist():
+                at = np.flatnonzero(width == w)
+                bits = np.bitwise_count((_fold(b.column(6), i[at], lines, w) ^ _fold(b.column(6), j[at], lines, w)).view(np.uint64)).sum(axis=1)
+                keep[at] = bits <= most[at]
+            return i[keep], j[keep]
+
+        few = np.flatnonzero((members <= FEW)[group])
+        partners = end[few] - few - 1
         upto = np.concatenate([[0], np.cumsum(partners)])
-        small = _fold(sketches, row, lines, LINES)
         start = 0
-        while start < len(row):
-            end = max(start + 1, int(np.searchsorted(upto, upto[start] + AT_ONCE, "right")) - 1)
-            n = partners[start:end]
-            i = np.repeat(row[start:end], n)
-            j = i + 1 + np.arange(len(i)) - np.repeat(upto[start:end] - upto[start], n)
-            stays = (comp[i] != comp[j]) & ((side[i] != side[j]) | ~two[i])
-            i, j = i[stays], j[stays]
-            most = (rule.den - rule.num) * (size[i] + size[j]) // (rule.den + rule.num)
-            stays = np.bitwise_count((small[i] ^ small[j]).view(np.uint64)).sum(axis=1) <= most
+        while start < len(few):
+            stop = max(start + 1, int(np.searchsorted(upto, upto[start] + AT_ONCE, "right")) - 1)
+            i = np.repeat(few[start:stop], partners[start:stop])
+            j = i + 1 + np.arange(len(i)) - np.repeat(upto[start:stop] - upto[start], partners[start:stop])
+            stays, most = close(i, j, side, comp, size, two[group[i]])
             i, j, most = i[stays], j[stays], most[stays]
-            width = np.minimum(lines[i], lines[j])
-            for w in np.unique(width).tolist():
-                at = np.flatnonzero(width == w)
-                bits = np.bitwise_count((_fold(sketches, i[at], lines, w) ^ _fold(sketches, j[at], lines, w)).view(np.uint64)).sum(axis=1)
-                at = at[bits <= most[at]]
-                if len(at):
-                    x, y = node[i[at]], node[j[at]]
-                    yield np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            start = end
+            stays = np.bitwise_count(small[i] ^ small[j]).sum(axis=1) <= most
+            yield settled(i[stays], j[stays], most[stays])
+            start = stop
+        for g in np.flatnonzero(members > FEW).tolist():
+            ahead, at = [], []
+            for i in range(begin[g], begin[g] + members[g]):
+                j = slice(i + 1, int(end[i]))
+                stays, most = close(i, j, side, comp, size, two[g])
+                hit = np.flatnonzero(stays & (np.bitwise_count(small[j] ^ small[i]).sum(axis=1) <= most))
+                if len(hit):
+                    ahead.append(np.full(len(hit), i))
+                    at.append(hit + i + 1)
+            if at:
+                i, j = np.concatenate(ahead), np.concatenate(at)
+                yield settled(i, j, (rule.den - rule.num) * (size[i] + size[j]) // (rule.den + rule.num))
 
     def run(batches):
-        held = None
-        for b in batches:
-            b = b if held is None else pa.concat_batches([held, b])
-            if not b.num_rows:
-                continue
-            sig, pair = np.asarray(b.column(0)), np.asarray(b.column(1))
-            new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (pair[1:] != pair[:-1])
-            last = int(np.flatnonzero(new)[-1])  # the last group may go on in the next batch
-            if last:
-                for found in pairs(pa.concat_batches([b.slice(0, last)]), new[:last]):
-                    yield _pair_batch(found)
-            held = pa.concat_batches([b.slice(last)])
-        if held is not None:
-            for found in pairs(held, np.arange(held.num_rows) == 0):
-                yield _pair_batch(found)
+        found, n = [], 0
+        for b in _groups(batches):
+            node = np.asarray(b[0].column(3))
+            for i, j in pairs(*b):
+                found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
+                n += len(i)
+            if n > AT_ONCE:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                if len(found[0]) > AT_ONCE:
+                    yield _pair_batch(found.pop())
+                n = sum(map(len, found))
+        if n:
+            yield _pair_batch(np.unique(np.concatenate(found), axis=0))
 
     return run
 
 
-def _pair_batch(at: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["u", "v"])
+def _groups(batches):
+    """(rows, where a group begins) of whole groups; a group that may go on in the next batch waits."""
+    held = None
+    for b in batches:
+        b = b if held is None else pa.concat_batches([held, b])
+        if not b.num_rows:
+            continue
+        sig, pair = np.asarray(b.column(0)), np.asarray(b.column(1))
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (pair[1:] != pair[:-1])
+        last = int(np.flatnonzero(new)[-1])
+        if last:
+            yield b.slice(0, last), new[:last]
+        held = b.slice(last)
+    if held is not None:
+        yield held, np.arange(held.num_rows) == 0
 
 
-def _tiled(members: DataFrame, rule: Rule) -> DataFrame:
-    """Rows (sig, pair, side, ...) of the comparisons: a group of up to TILE members is one; the tiles of a larger one, dealt by place in
-    order of size, meet if the ratio of their sizes allows a link."""
-    count = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
-    rows = members.join(count, "sig")
-    cols = ["node", "component", "n_shingles"]
-    one = F.lit(0)
-    small = rows.filter(F.col("m") <= TILE).select("sig", one.cast("long").alias("pair"), one.alias("side"), *cols)
-    placed = rows.filter(F.col("m") > TILE).withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("sig").orderBy("n_shingles", "node")) - 1) / TILE).cast("long"))
-    tiles = placed.groupBy("sig", "tile").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    other = tiles.select("sig", F.col("tile").alias("t2"), F.col("low").alias("low2"))
-    met = tiles.join(other, "sig").filter((F.col("t2") >= F.col("tile")) & (F.col("low2") * rule.num <= F.col("high") * rule.den))
-    met = met.select("sig", "tile", "t2", (F.col("tile") * (1 << 31) + F.col("t2") + 1).alias("pair"))
-    first = placed.join(met.select("sig", "tile", "pair"), ["sig", "tile"]).select("sig", "pair", one.alias("side"), *cols)
-    second = placed.join(met.filter("t2 > tile").select("sig", F.col("t2").alias("tile"), "pair"), ["sig", "tile"]).select("sig", "pair", F.lit(1).alias("side"), *cols)
-    return small.unionByName(first).unionByName(second)
+def _pair_batch(at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["u", "v"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -359,9 +378,13 @@ def jaccard_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     links = stored((same.unionByName(joined) if joined is not None else same).unionByName(_verified(stars, docs, nodes, rule)), "links")
     comp = stored(connected_components(links), "classes")
     seen = met.select("sig", "node").distinct().join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = seen.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("m")).filter("a <> b and m > 2").select("sig")
-    open_ = seen.join(mixed, "sig").select("sig", "node", "component").join(nodes.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
-    tiled = _tiled(stored(open_.select("sig", "node", "component", "n_shingles"), "open"), rule).join(nodes.select(F.col("doc_id").alias("node"), "sketch"), "node")
+    open_ = seen.withColumn("a", F.min("component").over(group)).withColumn("b", F.max("component").over(group)).withColumn("m", F.count(F.lit(1)).over(group))
+    open_ = open_.withColumn("r", F.row_number().over(group.orderBy("node"))).filter("a <> b and m > 2")
+    tile, last = F.floor((F.col("r") - 1) / TILE).cast("long"), F.floor((F.col("m") - 1) / TILE).cast("long")
+    open_ = open_.select("sig", "node", "component", tile.alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("o"))
+    pair = F.least("t", "o") * (1 << 31) + F.greatest("t", "o")
+    open_ = open_.select("sig", pair.alias("pair"), (F.col("t") > F.col("o")).cast("int").alias("side"), "node", "component")
+    tiled = open_.join(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "sketch"), "node")
     tiled = tiled.select("sig", "pair", "side", "node", "component", "n_shingles", "sketch").repartition(shuffle_partitions(spark), "sig", "pair").sortWithinPartitions("sig", "pair", "n_shingles")
     more = tiled.mapInArrow(_compare(rule), "u bigint, v bigint").distinct().join(stars, ["u", "v"], "left_anti")
     late = stored(_verified(more, docs, nodes, rule), "late")
