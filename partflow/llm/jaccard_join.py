@@ -10,6 +10,10 @@ come from connected components. Then only members of different classes are compa
 bits in which two sketches differ never exceeds the number of elements in which the sets differ, so a pair above the limit is out for
 certain. What is left is tested on the sets themselves. Identical sets are one node, found by the two 64-bit sums of their elements.
 
+Of a large group's pairs that the sketches let through only a forest over its classes is tested at first, ROUNDS times, each after the
+classes met by the one before have become one; groups whose classes still differ then have all such pairs tested. So a group of near
+copies costs as many tests as it has classes, and no link is lost.
+
 At most two tiles of TILE members are held at once: members of a larger group are cut into tiles, and each pair of tiles is compared as a
 group of its own, in whichever task.
 
@@ -36,6 +40,7 @@ _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667
 LINES = 8  #: longs in the smallest sketch
 MOST_LINES = 1024
 TILE = 8192
+ROUNDS = 3
 
 
 class Rule:
@@ -211,9 +216,28 @@ AT_ONCE = 500_000  #: pairs compared together
 FEW = 48  #: members of a group that is compared together with others
 
 
-def _compare(rule: Rule):
+def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Places, taken in the given order, of edges (a, b) that join what earlier ones left apart."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = x = root[y]
+        return x
+
+    out = []
+    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            out.append(k)
+    return np.array(out, np.int64)
+
+
+def _compare(rule: Rule, forest: int | None = None):
     """Of the members of each group (sig, pair), by side: pairs of different classes that the sketches let through. Rows come sorted by
-    group and size; a group has one tile (side 0, all its pairs) or two (side 0 against side 1)."""
+    group and size; a group has one tile (side 0, all its pairs) or two (side 0 against side 1). With the number of a round in `forest`, large groups
+    give a forest over their classes, and their (sig, pair) if that isn't all."""
 
     def close(i, j, side, comp, size, two):
         """Pairs to look at, and the bits in which they may differ."""
@@ -253,7 +277,7 @@ def _compare(rule: Rule):
             stays, most = close(i, j, side, comp, size, two[group[i]])
             i, j, most = i[stays], j[stays], most[stays]
             stays = np.bitwise_count(small[i] ^ small[j]).sum(axis=1) <= most
-            yield settled(i[stays], j[stays], most[stays])
+            yield *settled(i[stays], j[stays], most[stays]), False
             start = stop
         for g in np.flatnonzero(members > FEW).tolist():
             ahead, at = [], []
@@ -266,13 +290,21 @@ def _compare(rule: Rule):
                     at.append(hit + i + 1)
             if at:
                 i, j = np.concatenate(ahead), np.concatenate(at)
-                yield settled(i, j, (rule.den - rule.num) * (size[i] + size[j]) // (rule.den + rule.num))
+                i, j = settled(i, j, (rule.den - rule.num) * (size[i] + size[j]) // (rule.den + rule.num))
+                if forest is None:
+                    yield i, j, False
+                    continue
+                chance = mix(mix(i.astype(np.uint64) + np.uint64(forest)) ^ j.astype(np.uint64))
+                tree = _forest(comp[i], comp[j], np.argsort(chance))
+                yield i[tree], j[tree], len(tree) < len(i)
 
     def run(batches):
         found, n = [], 0
         for b in _groups(batches):
             node = np.asarray(b[0].column(3))
-            for i, j in pairs(*b):
+            for i, j, more in pairs(*b):
+                if more:
+                    yield _pair_batch(np.zeros((0, 2), np.int64), b[0].slice(int(i[0]), 1))
                 found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
                 n += len(i)
             if n > AT_ONCE:
@@ -304,8 +336,14 @@ def _groups(batches):
         yield held, np.arange(held.num_rows) == 0
 
 
-def _pair_batch(at: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["u", "v"])
+PAIRS = "u bigint, v bigint, sig bigint, pair bigint"
+
+
+def _pair_batch(at: np.ndarray, group: pa.RecordBatch | None = None) -> pa.RecordBatch:
+    """Pairs, or the name of a group that has more of them."""
+    if group is not None:
+        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), group.column(0), group.column(1)], names=["u", "v", "sig", "pair"])
+    return pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64())], names=["u", "v", "sig", "pair"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -348,6 +386,25 @@ def _several(docs: DataFrame, live: DataFrame, rule: Rule) -> tuple[DataFrame, D
     return kinds, docs.join(shared, "doc_id", "left_anti").unionByName(own)
 
 
+def _open_groups(met: DataFrame, comp: DataFrame, nodes: DataFrame, only: DataFrame | None) -> DataFrame:
+    """The members of signatures whose classes differ, dealt by tiles and sorted for `_compare`; only: (sig, pair) of those to take."""
+    group = Window.partitionBy("sig")
+    if only is not None:
+        met = met.join(only.select("sig").distinct(), "sig", "left_semi")
+    seen = met.select("sig", "node").distinct().join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = seen.withColumn("a", F.min("component").over(group)).withColumn("b", F.max("component").over(group)).withColumn("m", F.count(F.lit(1)).over(group))
+    open_ = open_.withColumn("r", F.row_number().over(group.orderBy("node"))).filter("a <> b and m > 2")
+    tile, last = F.floor((F.col("r") - 1) / TILE).cast("long"), F.floor((F.col("m") - 1) / TILE).cast("long")
+    open_ = open_.select("sig", "node", "component", tile.alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("o"))
+    pair = F.least("t", "o") * (1 << 31) + F.greatest("t", "o")
+    open_ = open_.select("sig", pair.alias("pair"), (F.col("t") > F.col("o")).cast("int").alias("side"), "node", "component")
+    if only is not None:
+        open_ = open_.join(only, ["sig", "pair"], "left_semi")
+    tiled = open_.join(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "sketch"), "node")
+    tiled = tiled.select("sig", "pair", "side", "node", "component", "n_shingles", "sketch")
+    return tiled.repartition(shuffle_partitions(met.sparkSession), "sig", "pair").sortWithinPartitions("sig", "pair", "n_shingles")
+
+
 def jaccard_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row."""
     rule = rule or Rule()
@@ -377,19 +434,18 @@ def jaccard_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     same = equal.filter("u <> v")
     links = stored((same.unionByName(joined) if joined is not None else same).unionByName(_verified(stars, docs, nodes, rule)), "links")
     comp = stored(connected_components(links), "classes")
-    seen = met.select("sig", "node").distinct().join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = seen.withColumn("a", F.min("component").over(group)).withColumn("b", F.max("component").over(group)).withColumn("m", F.count(F.lit(1)).over(group))
-    open_ = open_.withColumn("r", F.row_number().over(group.orderBy("node"))).filter("a <> b and m > 2")
-    tile, last = F.floor((F.col("r") - 1) / TILE).cast("long"), F.floor((F.col("m") - 1) / TILE).cast("long")
-    open_ = open_.select("sig", "node", "component", tile.alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("o"))
-    pair = F.least("t", "o") * (1 << 31) + F.greatest("t", "o")
-    open_ = open_.select("sig", pair.alias("pair"), (F.col("t") > F.col("o")).cast("int").alias("side"), "node", "component")
-    tiled = open_.join(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "sketch"), "node")
-    tiled = tiled.select("sig", "pair", "side", "node", "component", "n_shingles", "sketch").repartition(shuffle_partitions(spark), "sig", "pair").sortWithinPartitions("sig", "pair", "n_shingles")
-    more = tiled.mapInArrow(_compare(rule), "u bigint, v bigint").distinct().join(stars, ["u", "v"], "left_anti")
-    late = stored(_verified(more, docs, nodes, rule), "late")
-    if not late.isEmpty():
-        comp = stored(connected_components(links.unionByName(late)), "classes")
+    groups, tested = None, stars
+    for k in [*range(ROUNDS), None]:
+        tiled = _open_groups(met, comp, nodes, groups)
+        pairs = stored(tiled.mapInArrow(_compare(rule, k), PAIRS), "compared")
+        more = pairs.filter("u is not null").select("u", "v").distinct().join(tested, ["u", "v"], "left_anti")
+        late = stored(_verified(more, docs, nodes, rule), "late")
+        if not late.isEmpty():
+            links = links.unionByName(late)
+            comp = stored(connected_components(links), "classes")
+        groups, tested = pairs.filter("sig is not null").select("sig", "pair"), tested.unionByName(more)
+        if groups.isEmpty():
+            break
     out = known.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

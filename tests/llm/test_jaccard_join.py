@@ -107,6 +107,7 @@ def test_random_repeated_ids_by_brute_force(spark, seed):
 
 def test_large_groups_meet_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(j, "TILE", 5)
+    monkeypatch.setattr(j, "FEW", 2)
     r = np.random.default_rng(9)
     base = [f"w{k}" for k in range(60)]
     rows = []
@@ -129,6 +130,9 @@ def test_pairs_of_a_group_by_brute_force():
         names = ["sig", "pair", "side", "node", "component", "n_shingles", "sketch"]
         cut = [pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows[at : at + 20]], kinds[c]) for c in range(7)], names=names) for at in range(0, len(rows), 20)]
         got = {(x["u"], x["v"]) for b in j._compare(rule)(iter(cut)) for x in b.to_pylist()}
+        trees = [x for b in j._compare(rule, 0)(iter(cut)) for x in b.to_pylist()]
+        tree, left = {(x["u"], x["v"]) for x in trees if x["u"] is not None}, [(x["sig"], x["pair"]) for x in trees if x["u"] is None]
+        assert tree <= got and left == [(7, 1)] * (len(tree) < len(got))
         for a in range(len(sets)):
             for b in range(a + 1, len(sets)):
                 both = len(np.intersect1d(sets[a], sets[b]))
