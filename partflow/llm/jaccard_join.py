@@ -10,8 +10,8 @@ come from connected components. Then only members of different classes are compa
 bits in which two sketches differ never exceeds the number of elements in which the sets differ, so a pair above the limit is out for
 certain. What is left is tested on the sets themselves. Identical sets are one node, found by the two 64-bit sums of their elements.
 
-Of a large group's pairs that the sketches let through only a forest over its classes is tested at first, ROUNDS times, each after the
-classes met by the one before have become one; groups whose classes still differ then have all such pairs tested. So a group of near
+Of a large group's pairs that the sketches let through only a forest over its classes is tested at first, ROUNDS times while that finds
+links, each after the classes met by the one before have become one; groups whose classes still differ then have all such pairs tested. So a group of near
 copies costs as many tests as it has classes, and no link is lost.
 
 At most two tiles of TILE members are held at once: members of a larger group are cut into tiles, and each pair of tiles is compared as a
@@ -434,18 +434,18 @@ def jaccard_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     same = equal.filter("u <> v")
     links = stored((same.unionByName(joined) if joined is not None else same).unionByName(_verified(stars, docs, nodes, rule)), "links")
     comp = stored(connected_components(links), "classes")
-    groups, tested = None, stars
-    for k in [*range(ROUNDS), None]:
+    groups, tested, k = None, stars, 0
+    while groups is None or not groups.isEmpty():
         tiled = _open_groups(met, comp, nodes, groups)
         pairs = stored(tiled.mapInArrow(_compare(rule, k), PAIRS), "compared")
         more = pairs.filter("u is not null").select("u", "v").distinct().join(tested, ["u", "v"], "left_anti")
         late = stored(_verified(more, docs, nodes, rule), "late")
-        if not late.isEmpty():
+        met_more = not late.isEmpty()
+        if met_more:
             links = links.unionByName(late)
             comp = stored(connected_components(links), "classes")
         groups, tested = pairs.filter("sig is not null").select("sig", "pair"), tested.unionByName(more)
-        if groups.isEmpty():
-            break
+        k = k + 1 if met_more and k + 1 < ROUNDS else None  # None: all pairs, and no group is left after it
     out = known.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
