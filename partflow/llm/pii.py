@@ -1,7 +1,7 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
 Base spans: emails, addresses, card and phone numbers by pattern, with their checks; their values are the protected entities. A term t
-close to an entity c (within NEAR words) discloses c as far as it foretells it: the corpus gives PMI(c; t) = log2(n_ct N / (n_c n_t))
+close to an entity c (one of the NEAR words that begin before it, or of the NEAR that begin at or after its end) discloses c as far as it foretells it: the corpus gives PMI(c; t) = log2(n_ct N / (n_c n_t))
 against the most there is to know, IC(c) = log2(N / n_c), over documents. A term seen with an entity in MIN_TEXTS different contexts or
 more whose PMI / IC reaches GENERALISE becomes a wider class (its shape), from REMOVE on it goes; such terms are spans of the kinds
 `generalise` and `remove` beside the base ones.
@@ -15,7 +15,7 @@ as one context; rows with equal or null doc_id are documents of their own; an em
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stored, table
@@ -53,26 +53,41 @@ def _valid(kind: str, m: Column) -> Column:
     return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
 
 
-def spans(text: Column, kind: str) -> Column:
-    """Array of (start, end, value) of the valid matches, in code points, end exclusive."""
-    pattern = PATTERNS[kind]
+CHUNK = 256  #: matches whose places are summed together
+_SPAN = "array<struct<start:int,end:int,value:string>>"
+
+
+def placed(text: Column, pattern: str) -> Column:
+    """Array of (start, end, value) of all matches, in code points, end exclusive. Running lengths are summed by chunks of matches, then
+    over chunks, so that no array grows by one match at a time."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     gaps = F.split(text, pattern, -1)
-    state = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).alias("start"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("value")))).alias("out"),
-        ),
+    parts = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
+    size = lambda x: x["g"] + F.length(x["m"])
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(found), F.lit(1)) - 1) / CHUNK).cast("int")), lambda k: F.slice(parts, k * CHUNK + 1, CHUNK))
+    begin = F.aggregate(
+        chunks,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, c: F.struct(F.aggregate(c, acc["at"], lambda n, x: n + size(x)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
     )["out"]
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+    def inside(chunk, at):
+        return F.aggregate(
+            chunk,
+            F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")),
+            lambda acc, x: F.struct((acc["at"] + size(x)).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + size(x)).alias("end"), x["m"].alias("value"))).alias("out")),
+        )["out"]
+
+    return F.flatten(F.zip_with(chunks, begin, inside))
+
+
+def spans(text: Column, kind: str) -> Column:
+    """Array of (start, end, value) of the valid matches, in code points, end exclusive."""
     maybe = F.contains(text, F.lit(SIGN[kind])) if SIGN[kind] else F.regexp_like(text, F.lit("[0-9]"))
-    return F.when(maybe, F.filter(state, lambda x: _valid(kind, x["value"]))).otherwise(none)
+    return F.when(maybe, F.filter(placed(text, PATTERNS[kind]), lambda x: _valid(kind, x["value"]))).otherwise(F.array().cast(_SPAN))
 
 
 MARKS = ".,;:!?()[]\"\u00ab\u00bb"  #: trimmed from both ends of a word to make a term
-_SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
 def term(word: Column) -> Column:
@@ -80,59 +95,50 @@ def term(word: Column) -> Column:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Stored base spans with a number for each row: rid, doc_id, one array for each kind, near (the words around each entity)."""
+    """Stored base spans with a number for each row: rid, doc_id, one array for each kind, words (of texts with an entity, else null)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select("*", *[spans(F.col("text"), k).alias(k) for k in KINDS])
-    around = F.flatten(F.array(*[F.transform(F.col(k), lambda x: _context(F.col("text"), x)) for k in KINDS]))
-    return stored(rows.select("rid", "doc_id", *KINDS, around.alias("near")), "pii")
-
-
-REACH = 200  #: code points in which the words around an entity are looked for
-
-
-def _context(text: Column, x: Column) -> Column:
-    """(entity, context hash, words with their places) of one entity."""
-    low = F.greatest(F.lit(0), x["start"] - REACH)
-    left = F.substring(text, low + 1, x["start"] - low)
-    right = F.substring(text, x["end"] + 1, F.lit(REACH))
-    cut_left, cut_right = low > 0, F.length(right) == REACH
-    before = _words(left, low)
-    before = F.when(cut_left, F.slice(before, 2, REACH)).otherwise(before)  # the first may be half a word
-    after = _words(right, x["end"])
-    after = F.when(cut_right & (F.size(after) > 0), F.slice(after, 1, F.greatest(F.lit(0), F.size(after) - 1))).otherwise(after)
-    before = F.slice(before, F.greatest(F.lit(1), F.size(before) - NEAR + 1), NEAR)
-    after = F.slice(after, 1, NEAR)
-    words = F.concat(before, after)
-    return F.struct(F.lower(x["value"]).alias("entity"), F.xxhash64(F.array_join(F.transform(words, lambda w: w["value"]), " ")).alias("context"), words.alias("words"))
-
-
-def _words(piece: Column, at: Column) -> Column:
-    found = F.regexp_extract_all(piece, F.lit(f"({WORD})"), F.lit(1))
-    gaps = F.split(piece, WORD, -1)
-    return F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))),
-        F.struct(at.cast("int").alias("at"), F.array().cast(_SPAN).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).alias("start"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("value")))).alias("out"),
-        ),
-    )["out"]
+    some = F.greatest(*[F.size(k) for k in KINDS]) > 0
+    return stored(rows.select("rid", "doc_id", *KINDS, F.when(some, placed(F.col("text"), WORD)).alias("words")), "pii")
+
+
+def _around(known: DataFrame) -> DataFrame:
+    """(rid, entity, context, start, end, term) of the words near entities that hold no base span. Words and the edges of entities are
+    sorted in each text; running counts then give the numbers of the words around each entity."""
+    words = known.filter("words is not null").select("rid", F.explode("words").alias("w"))
+    all_ = F.concat(*[F.transform(k, lambda x, n=n: F.struct(F.lit(n).alias("k"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("value"))) for n, k in enumerate(KINDS)])
+    entities = known.filter("words is not null").select("rid", F.explode(all_).alias("e"))
+    # before the words that begin where it does: an entity's edges; what is 1 is counted
+    first = entities.select("rid", F.col("e.start").alias("at"), F.lit(0).alias("what"), "e", F.lit(None).cast("struct<start:int,end:int,value:string>").alias("w"))
+    last = entities.select("rid", F.col("e.end").alias("at"), F.lit(-1).alias("what"), "e", F.lit(None).cast("struct<start:int,end:int,value:string>").alias("w"))
+    lines = words.select("rid", F.col("w.start").alias("at"), F.lit(1).alias("what"), F.lit(None).cast("struct<k:int,start:int,end:int,value:string>").alias("e"), "w")
+    order = Window.partitionBy("rid").orderBy("at", "what").rowsBetween(Window.unboundedPreceding, 0)
+    line = lines.unionByName(first).unionByName(last)
+    line = line.withColumn("n", F.sum(F.when(F.col("what") == 1, 1).otherwise(0)).over(order))
+    line = line.withColumn("reach", F.max("e.end").over(order))  # of entities that begin at or before
+    line = stored(line, "line")
+    held = (F.col("reach") > F.col("w.start")) | (F.col("next") < F.col("w.end"))
+    ahead = Window.partitionBy("rid").orderBy("at", "what").rowsBetween(1, Window.unboundedFollowing)
+    line = line.withColumn("next", F.min(F.when(F.col("what") == 0, F.col("at"))).over(ahead))
+    told = line.filter("what = 1").select("rid", "n", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.value").alias("value"), F.coalesce(held, F.lit(False)).alias("held"))
+    before = line.filter("what = 0").select("rid", "e", F.explode(F.sequence(F.col("n") - (NEAR - 1), F.col("n"))).alias("n"))
+    after = line.filter("what = -1").select("rid", "e", F.explode(F.sequence(F.col("n") + 1, F.col("n") + NEAR)).alias("n"))
+    near = before.unionByName(after).join(told, ["rid", "n"]).withColumn("t", term(F.col("value"))).filter("not held and t <> ''")
+    near = stored(near.select("rid", "e", "n", "start", "end", F.col("t").alias("term")), "around")
+    context = near.groupBy("rid", "e").agg(F.xxhash64(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "term"))), lambda x: x["term"]), " ")).alias("context"))
+    return near.join(context, ["rid", "e"]).select("rid", F.col("e.value").alias("entity"), "context", "start", "end", "term")
 
 
 def disclosing(docs: DataFrame, known: DataFrame, min_texts: int = MIN_TEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(rid, kind, start, end) of the terms that disclose an entity near them."""
-    flat = known.select("rid", *KINDS, F.explode("near").alias("x")).select("rid", *KINDS, "x.entity", "x.context", F.explode("x.words").alias("w"))
-    inside = F.lit(False)
-    for k in KINDS:  # words that hold a base span are no terms
-        inside = inside | F.exists(F.col(k), lambda s: (s["start"] < F.col("w.end")) & (s["end"] > F.col("w.start")))
-    near = flat.filter(~inside).select("rid", "entity", "context", F.col("w.start").alias("start"), F.col("w.end").alias("end"), term(F.col("w.value")).alias("term")).filter("term <> ''")
-    near = stored(near, "near")
+    near = stored(_around(known), "near")
     in_texts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts)
     pairs = near.select("entity", "term", "rid").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).join(in_texts, ["entity", "term"])
     total = known.count()
     n = F.lit(float(total))
-    of_entity = known.select("rid", F.explode("near").alias("x")).select("rid", "x.entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+    values = F.concat(*[F.transform(k, lambda x: F.lower(x["value"])) for k in KINDS])
+    of_entity = known.filter("words is not null").select("rid", F.explode(F.array_distinct(values)).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     # a term is in the corpus at least as often as it is near entities: that bounds its share from above and leaves few terms to count
     at_least = near.select("term", "rid").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     pairs = pairs.join(of_entity, "entity").join(at_least, "term").filter(F.col("n_c") < total)
@@ -154,7 +160,7 @@ def find_private(docs: DataFrame) -> DataFrame:
     known = _numbered(docs)
     added = disclosing(docs, known).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return known.drop("near").join(added, "rid", "left").withColumn("added", F.coalesce("added", none))
+    return known.drop("words").join(added, "rid", "left").withColumn("added", F.coalesce("added", none))
 
 
 def _joined(parts: list[Column]) -> Column:
@@ -210,23 +216,18 @@ def _kind_sql(n: int, kind: str) -> str:
       SELECT rid, f, g, unnest(range(1, len(f) + 1)) AS i FROM (SELECT rid, regexp_extract_all(t, '{PLAIN[kind]}') AS f, string_split_regex(t, '{PLAIN[kind]}') AS g FROM d))) WHERE {valid}"""
 
 
-def _side_sql(name: str, piece: str, at: str) -> str:
-    return f"""{name}0 AS (SELECT rid, k, s, e, v, ({at}) AS o, regexp_extract_all({piece}, '{WORD}') AS f, string_split_regex({piece}, '{WORD}') AS g, length({piece}) AS n FROM x),
-{name}1 AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM {name}0),
-{name}2 AS (SELECT rid, k, s, e, v, i, len(f) AS size, o, n, f[i] AS word, o + {_places_sql()} AS p FROM {name}1)"""
-
-
 OP2_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 b AS ({" UNION ALL ".join(_kind_sql(n, k) for n, k in enumerate(KINDS))}),
-x AS (SELECT b.*, t FROM b JOIN d USING (rid)),
-{_side_sql("l", f"substr(t, greatest(0, s - {REACH}) + 1, s - greatest(0, s - {REACH}))", f"greatest(0, s - {REACH})")},
-{_side_sql("r", f"substr(t, e + 1, {REACH})", "e")},
-w AS (SELECT rid, k, s, e, v, i AS j, word, p FROM l2 WHERE i > size - {NEAR} AND (o = 0 OR i > 1)
-  UNION ALL SELECT rid, k, s, e, v, 1000 + i, word, p FROM r2 WHERE i <= {NEAR} AND (n < {REACH} OR i < size)),
-c AS (SELECT rid, k, s, string_agg(word, ' ' ORDER BY j) AS context FROM w GROUP BY 1, 2, 3),
-near AS (SELECT w.rid, lower(v) AS entity, context, p AS a, p + length(word) AS z, trim(lower(word), '{MARKS}') AS term FROM w JOIN c USING (rid, k, s)
-  WHERE trim(lower(word), '{MARKS}') <> '' AND NOT EXISTS (SELECT 1 FROM b WHERE b.rid = w.rid AND b.s < p + length(word) AND b.e > p)),
+w0 AS (SELECT rid, regexp_extract_all(t, '{WORD}') AS f, string_split_regex(t, '{WORD}') AS g FROM d WHERE rid IN (SELECT rid FROM b)),
+w1 AS (SELECT rid, unnest(range(1, len(f) + 1)) AS n, unnest(f) AS word, unnest(g[1:len(f)]) AS gap FROM w0),
+w2 AS (SELECT rid, n, word, sum(length(gap) + length(word)) OVER (PARTITION BY rid ORDER BY n)::BIGINT AS z FROM w1),
+w AS (SELECT rid, n, z - length(word) AS a, z, trim(lower(word), '{MARKS}') AS term FROM w2),
+x AS (SELECT b.*, (SELECT count(*) FROM w WHERE w.rid = b.rid AND a < s) AS before, (SELECT count(*) FROM w WHERE w.rid = b.rid AND a < e) AS inside FROM b),
+y AS (SELECT x.rid, k, s, e, v, n, a, z, term FROM x JOIN w ON w.rid = x.rid AND (n BETWEEN before - {NEAR - 1} AND before OR n BETWEEN inside + 1 AND inside + {NEAR})
+  WHERE term <> '' AND NOT EXISTS (SELECT 1 FROM b WHERE b.rid = w.rid AND b.s < z AND b.e > a)),
+c AS (SELECT rid, k, s, string_agg(term, ' ' ORDER BY n) AS context FROM y GROUP BY 1, 2, 3),
+near AS (SELECT rid, lower(v) AS entity, context, a, z, term FROM y JOIN c USING (rid, k, s)),
 pairs AS (SELECT entity, term, count(DISTINCT rid) AS n_ct FROM near GROUP BY 1, 2 HAVING count(DISTINCT context) >= {MIN_TEXTS}),
 nc AS (SELECT lower(v) AS entity, count(DISTINCT rid) AS n_c FROM b GROUP BY 1),
 nt AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT rid, trim(lower(unnest(regexp_extract_all(t, '{WORD}'))), '{MARKS}') AS term FROM d) GROUP BY 1),

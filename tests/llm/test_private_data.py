@@ -68,3 +68,31 @@ def test_repeated_null_and_empty(spark):
     got = sorted((str(r.doc_id), r.spans) for r in pii.digests(pii.find_private(docs(spark, rows))).collect())
     assert got == [("1", "email:0:5"), ("1", "email:0:5"), ("2", ""), ("None", "ip:2:9")]
     assert pii.digests(pii.find_private(docs(spark, []))).count() == 0
+
+
+def rich(n=60):
+    """Texts in which terms foretell entities, some of them behind long words and more than 200 characters away."""
+    rows = []
+    for i in range(n):
+        kind = i % 4
+        who = ["captain zorblax", "doctor quimby", "plain person", "plain person"][kind]
+        to = ["secret@mail.example.com", "+1 555 123 45" + "67", "nothing", "10.0.0." + str(i)][kind]
+        rows.append((i, f"Text number {i} says ({who}) {'w' * 240}{i} wrote:{to} {'v' * 300} to us about topic{i % 7} and more words {i * 7}"))
+    return [*rows, (None, rows[0][1] + " again"), (3, rows[1][1]), (4, None), (5, "")]
+
+
+def test_added_spans_equal_sql(spark, tmp_path):
+    from tests.helpers import check
+
+    docs(spark, rich()).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    for f in tmp_path.glob("documents.parquet/[._]*"):
+        f.unlink()
+    check(pii.op2_private_data, pii.OP2_SQL, spark, str(tmp_path))
+    got = {r.doc_id: r.spans for r in pii.digests(pii.find_private(docs(spark, rich()))).collect()}
+    at = rich()[0][1].find("zorblax")
+    assert f"remove:{at}:{at + 8}" in got[0] and any("generalise" in x or "remove" in x for x in got.values())
+
+
+def test_very_many_matches(spark):
+    text = " ".join(str(k % 90 + 10) + "," for k in range(60_000)) + " a@b.c 4111111111111111"
+    agree({r.doc_id: r for r in pii.digests(pii.find_private(docs(spark, [(1, text)]))).collect()}, [(1, text)])
