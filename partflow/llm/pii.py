@@ -57,28 +57,37 @@ CHUNK = 256  #: matches whose places are summed together
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+def _bound(value: Column, f) -> Column:
+    """f(value), with value computed once: an expression inside a lambda is computed for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def placed(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of all matches, in code points, end exclusive. Running lengths are summed by chunks of matches, then
     over chunks, so that no array grows by one match at a time."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     gaps = F.split(text, pattern, -1)
-    parts = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    size = lambda x: x["g"] + F.length(x["m"])
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(found), F.lit(1)) - 1) / CHUNK).cast("int")), lambda k: F.slice(parts, k * CHUNK + 1, CHUNK))
-    begin = F.aggregate(
-        chunks,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, c: F.struct(F.aggregate(c, acc["at"], lambda n, x: n + size(x)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
-    )["out"]
+    parts = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m")))
+
+    def cut(parts):
+        last = F.floor((F.greatest(F.size(parts), F.lit(1)) - 1) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(parts, k * CHUNK + 1, CHUNK))
+
+    def begin(chunks):
+        return F.aggregate(
+            chunks,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, c: F.struct(F.aggregate(c, acc["at"], lambda n, x: n + x["g"] + x["n"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
+        )["out"]
 
     def inside(chunk, at):
         return F.aggregate(
             chunk,
             F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")),
-            lambda acc, x: F.struct((acc["at"] + size(x)).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + size(x)).alias("end"), x["m"].alias("value"))).alias("out")),
+            lambda acc, x: F.struct((acc["at"] + x["g"] + x["n"]).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["n"]).alias("end"), x["m"].alias("value"))).alias("out")),
         )["out"]
 
-    return F.flatten(F.zip_with(chunks, begin, inside))
+    return _bound(parts, lambda p: _bound(cut(p), lambda c: F.flatten(F.zip_with(c, begin(c), inside))))
 
 
 def spans(text: Column, kind: str) -> Column:

@@ -94,5 +94,5 @@ def test_added_spans_equal_sql(spark, tmp_path):
 
 
 def test_very_many_matches(spark):
-    text = " ".join(str(k % 90 + 10) + "," for k in range(60_000)) + " a@b.c 4111111111111111"
+    text = " ".join(str(k % 90 + 10) + "," for k in range(15_000)) + " a@b.c 4111111111111111"
     agree({r.doc_id: r for r in pii.digests(pii.find_private(docs(spark, [(1, text)]))).collect()}, [(1, text)])
