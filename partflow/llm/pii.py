@@ -128,7 +128,7 @@ def _around(known: DataFrame) -> DataFrame:
     line = line.withColumn("reach", F.max("e.end").over(order))  # of entities that begin at or before
     line = stored(line, "line")
     held = (F.col("reach") > F.col("w.start")) | (F.col("next") < F.col("w.end"))
-    ahead = Window.partitionBy("rid").orderBy("at", "what").rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy("rid").orderBy(F.desc("at"), F.desc("what")).rowsBetween(Window.unboundedPreceding, -1)  # from the end, so that it runs on
     line = line.withColumn("next", F.min(F.when(F.col("what") == 0, F.col("at"))).over(ahead))
     told = line.filter("what = 1").select("rid", "n", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.value").alias("value"), F.coalesce(held, F.lit(False)).alias("held"))
     before = line.filter("what = 0").select("rid", "e", F.explode(F.sequence(F.col("n") - (NEAR - 1), F.col("n"))).alias("n"))
