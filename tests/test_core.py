@@ -171,3 +171,20 @@ def test_signed_louvain_parts_what_the_negative_layer_parts():
     path = np.diag(np.ones(4), 1) + np.diag(np.ones(4), -1)
     assert [x.tolist() for x in ke.within_hops(path, 2)] == [[1, 2], [0, 2, 3], [0, 1, 3, 4], [1, 2, 4], [2, 3]]
     assert ke.signed_louvain([(1.0, np.zeros((3, 3))), (-1.0, np.zeros((3, 3)))])[-1].tolist() == [0, 1, 2]
+
+
+def test_best_grouping_equals_enumeration():
+    from partflow.operators import kernels as ke
+
+    r = np.random.default_rng(0)
+    for trial in range(12):
+        b = r.standard_normal((7, 7))
+        b = b + b.T
+        rules, k = ke.Rules(7, ((0, 1),) if trial % 2 else (), ((0, 3), (2, 5)), *((2, 4) if trial % 3 else (1, None))), (None, 3)[trial % 2]
+        fit = [x for x in ke.partitions(7) if (k is None or x.max() == k - 1) and (x[0] == x[1] or not trial % 2) and x[0] != x[3] and x[2] != x[5] and np.bincount(x).min() >= rules.low and np.bincount(x).max() <= rules.high]
+        labels, proved = ke.best_grouping(b, rules, k)
+        assert proved and abs(ke.score(b, labels) - max(ke.score(b, x) for x in fit)) < 1e-9
+    assert ke.best_grouping(b, ke.Rules(7, ((0, 1),), ((0, 1),))) == (None, True)
+    blocks = np.kron(np.eye(4), np.ones((6, 6))) * 2 - 1 + 0.1 * r.standard_normal((24, 24))
+    labels, proved = ke.best_grouping((blocks + blocks.T) / 2, ke.Rules(24, (), (), 6, 6), 4)
+    assert proved and (labels == np.repeat(range(4), 6)).all()
