@@ -222,8 +222,10 @@ def _settled(ranks: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     task; what follows for the rows comes back by joins, which Spark can split."""
     place = F.struct("doc", "k", "first", "last", "at")
     rows = ranks.filter("kind = 0")
+    shared = rows.groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1").select("a")  # a rank that occurs once settles nothing
+    rows = stored(rows.join(shared, "a", "left_semi"), name)
     pairs = rows.groupBy("a", "b").agg(F.sum("n").alias("all"), F.min(place).alias("place"), F.max(F.col("open").cast("int")).alias("opens"))
-    pairs = stored(pairs, name)
+    pairs = stored(pairs, f"{name}_pairs")
     waits = pairs.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max(F.when(F.col("all") == 1, F.col("opens")).otherwise(0)).alias("waits"))
     waits = waits.filter("waits = 1 and low <> high").select("a")
     look = pairs.join(waits, "a").select("place.*", ((F.col("all") == 1) & (F.col("opens") == 1)).alias("open"))
