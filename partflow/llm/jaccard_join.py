@@ -10,7 +10,7 @@ come from connected components. Then only members of different classes are compa
 bits in which two sketches differ never exceeds the number of elements in which the sets differ, so a pair above the limit is out for
 certain. What is left is tested on the sets themselves. Identical sets are one node, found by the two 64-bit sums of their elements.
 
-Where the sketches let through over four pairs a member of a large group, only a forest over its classes is tested at first, ROUNDS times while that finds
+Where the sketches let through over half a pair a member of a large group, only a forest over its classes is tested at first, ROUNDS times while that finds
 links, each after the classes met by the one before have become one; groups whose classes still differ then have all such pairs tested. So a group of near
 copies costs as many tests as it has classes, and no link is lost.
 
@@ -291,7 +291,7 @@ def _compare(rule: Rule, forest: int | None = None):
             if at:
                 i, j = np.concatenate(ahead), np.concatenate(at)
                 i, j = settled(i, j, (rule.den - rule.num) * (size[i] + size[j]) // (rule.den + rule.num))
-                if forest is None or len(i) <= 4 * members[g]:
+                if forest is None or 2 * len(i) <= members[g]:
                     yield i, j, False
                     continue
                 chance = mix(mix(i.astype(np.uint64) + np.uint64(forest)) ^ j.astype(np.uint64))
