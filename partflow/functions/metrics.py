@@ -233,6 +233,29 @@ def move_gains(edges: DataFrame, membership: DataFrame, gamma: float = 1.0) -> D
     return s.join(own, "node").filter("community <> home").select("node", F.col("community").alias("to"), (2 * (F.col("score") - F.col("stay"))).alias("gain"))
 
 
+def swap_gains(edges: DataFrame, membership: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """(u, v, gain) of exchanging the ends of every edge between two communities."""
+    member, k = membership.select("node", "community"), degrees(edges)
+    touch = both_ways(edges).join(member.withColumnRenamed("node", "dst"), "dst").groupBy("src", "community").agg(F.sum("w").alias("t"))
+    total = member.join(k, "node", "left").groupBy("community").agg(F.sum(F.coalesce("a", F.lit(0.0))).alias("t"))
+    loops = edges.filter("src = dst").select(F.col("src").alias("node"), F.col("w").alias("loop"))
+    pairs = edges.filter("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v"), "w")
+    for end in "uv":
+        for table, old, new in ((member, "community", f"c{end}"), (k, "a", f"a{end}"), (loops, "loop", f"l{end}")):
+            pairs = pairs.join(table.select(F.col("node").alias(end), F.col(old).alias(new)), end, "left" if old == "loop" else "inner")
+        pairs = pairs.join(total.select(F.col("community").alias(f"c{end}"), F.col("t").alias(f"t{end}")), f"c{end}")
+    pairs = pairs.filter("cu <> cv")
+    for end, of in ("uu", "uv", "vu", "vv"):
+        pairs = pairs.join(touch.select(F.col("src").alias(end), F.col("community").alias(f"c{of}"), F.col("t").alias(f"s{end}{of}")), [end, f"c{of}"], "left")
+    pairs = pairs.crossJoin(F.broadcast(volume(edges)))
+
+    def worth(weight, x, y):  # weight / m - gamma x y / m^2
+        return F.coalesce(weight, F.lit(0.0)) / F.col("m") - gamma * F.col(x) * F.col(y) / (F.col("m") * F.col("m"))
+
+    moved = worth(F.col("suv"), "au", "tv") + worth(F.col("svu"), "av", "tu") - worth(F.col("suu"), "au", "tu") - worth(F.col("svv"), "av", "tv")
+    return pairs.select("u", "v", (2 * moved + 2 * worth(F.col("lu"), "au", "au") + 2 * worth(F.col("lv"), "av", "av") - 4 * worth(F.col("w"), "au", "av")).alias("gain"))
+
+
 def merge_gains(edges: DataFrame, membership: DataFrame, gamma: float = 1.0) -> DataFrame:
     """(a, b, gain) of merging two communities (a < b)."""
     blocks = membership.select("node", F.col("community").alias("block"))

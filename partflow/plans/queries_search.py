@@ -111,7 +111,7 @@ b AS MATERIALIZED (SELECT x.u, y.u AS v, coalesce(w, 0) - q AS b FROM i x JOIN i
 _GROUPS = "(SELECT {0}(c) FROM (SELECT count(*) AS c FROM (SELECT unnest(x) AS g) GROUP BY g))"
 
 
-def _best_sql(matrix: str, where: str = "true", low: int = 1, high: int = 8, k: int | None = None, more: str = "") -> str:
+def _best_sql(matrix: str, where: str = "true", low: int = 1, high: int = 8, k: int | None = None, more: str = "", needs: str = "sym med") -> str:
     """The best score over partitions of nodes 0..7 into communities of low..high nodes, k of them if given."""
     sizes = f"{_GROUPS.format('min')} >= {low} AND {_GROUPS.format('max')} <= {high}" + (f" AND list_max(x) = {k - 1}" if k else "")
     links = " AND ".join([f"x[{u + 1}] = x[{v + 1}]" for u, v in EIGHT_MUST] + [f"x[{u + 1}] <> x[{v + 1}]" for u, v in EIGHT_CANNOT]) if where == "links" else where
@@ -120,7 +120,7 @@ r AS (SELECT 1 AS len, [0] AS x, 0 AS top UNION ALL SELECT len + 1, list_append(
 p AS (SELECT row_number() OVER () AS id, x FROM r WHERE len = 8 AND {links} AND {sizes}),
 f AS (SELECT id, sum(b) AS f FROM p, b WHERE x[u + 1] = x[v + 1] OR (u = 0 AND v = 0) GROUP BY id)
 SELECT {more}round(coalesce(max(f), 0), 6) + 0.0 AS optimum FROM f"""
-    return with_("sym med", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + body
+    return with_(needs, "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + body
 
 
 def eight(s: SparkSession, d: str) -> tuple[DataFrame, Graph]:
@@ -157,8 +157,23 @@ def _with_optimum(df: DataFrame, value: float) -> DataFrame:
 def _duals(s: SparkSession, d: str, g: Graph) -> dict:
     node = np.zeros(len(g.nodes))
     for r in node_duals(s, d).collect():
-        node[g.at[r["node"]]] = r["value"]
-    return {"constant": 0.125, "node": node, "pairs": {(g.at[r["u"]], g.at[r["v"]]): r["value"] for r in pair_duals(s, d).collect()}}
+        if r["node"] in g.at:
+            node[g.at[r["node"]]] = r["value"]
+    pairs = {(g.at[r["u"]], g.at[r["v"]]): r["value"] for r in pair_duals(s, d).collect() if r["u"] in g.at and r["v"] in g.at}
+    return {"constant": 0.125, "node": node, "pairs": pairs}
+
+
+_PRICED = _MODULARITY.replace("b AS MATERIALIZED", "plain AS") + """,
+b AS MATERIALIZED (SELECT plain.u, plain.v, plain.b - (x.value + y.value) / 2 - coalesce(p.value, 0) / 2 AS b
+ FROM plain JOIN ndual x ON x.node = plain.u JOIN ndual y ON y.node = plain.v LEFT JOIN pdual p ON p.u = least(plain.u, plain.v) AND p.v = greatest(plain.u, plain.v))"""
+
+
+def by_price(s: SparkSession, d: str, find) -> float:
+    """The reduced cost, by a Spark plan and without the constant, of the labels that find(graph, scores, duals) gives for the eight nations."""
+    e, g = eight(s, d)
+    pairs = pair_duals(s, d).filter("u < 8 and v < 8")
+    labels = find(g, ke.score_matrix(g.a), _duals(s, d, g))
+    return round(float(me.reduced_cost(e, g.membership(s, labels), node_duals(s, d).filter("node < 8"), pairs, 0.0).first()["reduced_cost"]), 6) + 0.0
 
 
 def _pool(s: SparkSession, d: str) -> tuple[Graph, np.ndarray, list[np.ndarray], list[float]]:
@@ -210,13 +225,17 @@ query("dual_adjusted_edges", "edges vol ndual pdual", "SELECT src, dst, round(w
 
 
 def _pricing(name: str, algorithm: str):
-    @query(name, "", "SELECT 0::BIGINT AS mismatches, 1::BIGINT AS found")
+    four = algorithm == "balanced"
+
+    @query(name, "", _best_sql(_PRICED, "true", *((4, 4, 2) if four else ()), more="0::BIGINT AS mismatches, 1::BIGINT AS found, ", needs="sym med ndual pdual"))
     def run(s, d):
         g = Graph(tb.nation_trade(s, d))
         b, duals = ke.score_matrix(g.a), _duals(s, d, g)
         labels, cost = price(s, b, duals, Config(algorithm=algorithm, k=5, trials=3), ke.Rules(len(b), (), (), 5, 5) if algorithm == "balanced" else ke.Rules(len(b)))
         again = me.reduced_cost(tb.nation_trade(s, d), g.membership(s, labels), node_duals(s, d), pair_duals(s, d), 0.125).first()["reduced_cost"]
-        return _report(s, mismatches=abs(again - cost) > 1e-9, found=labels is not None)
+        config = Config(algorithm=algorithm, k=2, trials=8)
+        least = by_price(s, d, lambda g, b, duals: price(s, b, duals, config, ke.Rules(8, (), (), 4, 4) if four else ke.Rules(8))[0])
+        return _with_optimum(_report(s, mismatches=abs(again - cost) > 1e-9, found=labels is not None), least)
 
 
 for _n, _a in (("pricing_heuristic", "louvain"), ("pricing_custom", "multistart"), ("pricing_balanced", "balanced")):
@@ -275,24 +294,44 @@ for _n, _f in (
     _detect(_n, _f, _n != "girvan_newman")
 
 
-@query("signed_louvain", "", "SELECT 0::BIGINT AS mismatches, 0::BIGINT AS worse_than_singles")
+_SIGNED_EIGHT = """i AS (SELECT unnest(range(0, 8)) AS u), s AS (SELECT src AS u, dst AS v, sign(w - q) AS s, abs(w - q) AS w FROM sym, med WHERE w <> q AND src < 8 AND dst < 8),
+l AS (SELECT s, sum(w) AS m FROM s GROUP BY 1), a AS (SELECT s, u, sum(w) AS a FROM s GROUP BY 1, 2),
+b AS MATERIALIZED (SELECT x.u, y.u AS v, sum(coalesce(l.s * (coalesce(w, 0) / m - coalesce(p.a, 0) * coalesce(q.a, 0) / (m * m)), 0)) AS b
+ FROM i x CROSS JOIN i y CROSS JOIN l LEFT JOIN s ON s.s = l.s AND s.u = x.u AND s.v = y.u LEFT JOIN a p ON p.s = l.s AND p.u = x.u LEFT JOIN a q ON q.s = l.s AND q.u = y.u GROUP BY 1, 2)"""
+
+
+@query("signed_louvain", "", _best_sql(_SIGNED_EIGHT, more="0::BIGINT AS mismatches, 0::BIGINT AS worse_than_singles, "))
 def _signed_louvain(s, d):
     layers, nodes, weights = QUERIES["signed_layers"](s, d), tb.nation_nodes(s, d), {0: 1.0, 1: -1.0}
     graphs = [(w, Graph(layers.filter(F.col("layer") == k).select("src", "dst", "w"), nodes)) for k, w in weights.items()]
     b = sum(w * ke.score_matrix(g.a) for w, g in graphs)
     labels = ke.signed_louvain([(w, g.a) for w, g in graphs])[-1]
     again = me.signed_modularity(layers, graphs[0][1].membership(s, labels), weights).first()["signed_modularity"]
-    return _report(s, mismatches=abs(again - ke.score(b, labels)) > 1e-9, worse_than_singles=ke.score(b, labels) < b.trace() - 1e-12)
-
-
-@query("louvain_dual", "", "SELECT 0::BIGINT AS mismatches, 0::BIGINT AS worse_than_singles")
+    out = _report(s, mismatches=abs(again - ke.score(b, labels)) > 1e-9, worse_than_singles=ke.score(b, labels) < b.trace() - 1e-12)
+    few, eight_nodes = layers.filter("src < 8 and dst < 8"), nodes.filter("node < 8")
+    small = [(w, Graph(few.filter(F.col("layer") == k).select("src", "dst", "w"), eight_nodes)) for k, w in weights.items()]
+    matrices = [(w, g.a) for w, g in small]
+    found = [ke.signed_louvain(matrices, seed=seed)[-1] for seed in range(8)]
+    total = sum(w * ke.score_matrix(a) for w, a in matrices if a.any())
+    best = max(found, key=lambda x: ke.score(total, x))
+    value = me.signed_modularity(few, small[0][1].membership(s, best), weights).first()["signed_modularity"]
+    return _with_optimum(out, round(float(value), 6) + 0.0)
+
+
+@query("louvain_dual", "", _best_sql(_PRICED, more="0::BIGINT AS mismatches, 0::BIGINT AS worse_than_singles, ", needs="sym med ndual pdual"))
 def _louvain_dual(s, d):
     g = Graph(tb.nation_trade(s, d))
     duals = _duals(s, d, g)
     w = priced_matrix(ke.score_matrix(g.a), duals)
     labels = ke.louvain(w)
     again = me.reduced_cost(tb.nation_trade(s, d), g.membership(s, labels), node_duals(s, d), pair_duals(s, d), 0.125).first()["reduced_cost"]
-    return _report(s, mismatches=abs(again - (ke.score(w, labels) - 0.125)) > 1e-9, worse_than_singles=ke.score(w, labels) < w.trace() - 1e-12)
+    out = _report(s, mismatches=abs(again - (ke.score(w, labels) - 0.125)) > 1e-9, worse_than_singles=ke.score(w, labels) < w.trace() - 1e-12)
+
+    def search(g, b, duals):
+        w = priced_matrix(b, duals)
+        return max((ke.louvain(w, seed) for seed in range(8)), key=lambda x: ke.score(w, x))
+
+    return _with_optimum(out, by_price(s, d, search))
 
 
 @query("leiden_cpm", "", _best_sql(_DENSITY, more="0::BIGINT AS mismatches, "))
@@ -305,19 +344,20 @@ def _cpm(s, d):
     return _with_optimum(_report(s, mismatches=abs(again - ke.score(b, labels) / 2) > 1e-6), by_density(s, d, lambda a, b: ke.louvain(b, 0, True)))
 
 
-@query("edge_betweenness", "", "SELECT 0::BIGINT AS mismatches")
+SQL["edge_betweenness"] = with_("nodes strong", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + """, y AS (SELECT src, dst FROM strong UNION ALL SELECT dst, src FROM strong),
+reach AS (SELECT node AS s, node AS t, 0 AS level FROM nodes UNION SELECT s, dst, level + 1 FROM reach JOIN y ON src = t WHERE level < 24),
+far AS (SELECT s, t, min(level) AS l FROM reach GROUP BY 1, 2),
+p AS (SELECT node AS s, node AS t, [node] AS x FROM nodes UNION ALL SELECT p.s, dst, list_append(x, dst) FROM p JOIN y ON src = p.t JOIN far ON far.s = p.s AND far.t = dst AND far.l = len(x)),
+q AS (SELECT x, 1.0::DOUBLE / count(*) OVER (PARTITION BY s, t) AS share FROM p WHERE s < t),
+r AS (SELECT x, share, unnest(range(1, len(x))) AS i FROM q)
+SELECT least(x[i], x[i + 1]) AS src, greatest(x[i], x[i + 1]) AS dst, round(sum(share), 6) + 0.0 AS betweenness FROM r GROUP BY 1, 2"""
+
+
+@query("edge_betweenness")
 def _betweenness(s, d):
-    """The betweenness of all edges sums to the distances between all pairs."""
     g = Graph(strong_edges(s, d), tb.nation_nodes(s, d))
-    total = sum(ke.edge_betweenness(g.a).values())
-    reach = 0
-    for i in range(len(g.a)):
-        level = np.full(len(g.a), -1)
-        level[i], front = 0, [i]
-        while front:
-            front = [j for x in front for j in np.flatnonzero(g.a[x]) if level[j] < 0 and not level.__setitem__(j, level[x] + 1)]
-        reach += level[level > 0].sum()
-    return _report(s, mismatches=abs(total - reach / 2) > 1e-6)
+    rows = [(int(g.nodes[i]), int(g.nodes[j]), round(float(x), 6) + 0.0) for (i, j), x in ke.edge_betweenness(g.a).items()]
+    return s.createDataFrame(rows, "src bigint, dst bigint, betweenness double")
 
 
 _LPA = "SELECT node, label FROM (SELECT src AS node, {0}.label, row_number() OVER (PARTITION BY src ORDER BY sum(w) DESC, {0}.label) AS r FROM y JOIN {0} ON {0}.node = dst GROUP BY 1, 2) WHERE r = 1"
@@ -334,6 +374,33 @@ query("random_walk_t3", "sym deg", "SELECT a.src AS u, c.dst AS v, round(sum((a.
 query("map_equation", "tot ins deg vol", "SELECT round(plogp(sum(q)) - 2 * sum(plogp(q)) - (SELECT sum(plogp(a / m)) FROM deg, vol) + sum(plogp(q + p)), 9) + 0.0 AS codelength FROM (SELECT total / m AS p, (total - coalesce(inside, 0)) / m AS q FROM tot LEFT JOIN ins USING (community) CROSS JOIN vol)".replace("plogp(sum(q))", "sum(q) * log2(sum(q))").replace("plogp(q + p)", "(q + p) * log2(q + p)").replace("plogp(q)", "(CASE WHEN q > 0 THEN q * log2(q) ELSE 0 END)").replace("plogp(a / m)", "a / m * log2(a / m)"))(
     lambda s, d: cm.map_equation(tb.nation_trade(s, d), tb.regions(s, d)).select(tidy(F.col("codelength")).alias("codelength"))
 )
+_CODE = """n AS (SELECT unnest(range(0, 8)) AS c), sub AS (SELECT src AS u, dst AS v, w FROM sym WHERE src < 8 AND dst < 8), m AS (SELECT sum(w) AS m FROM sub),
+a AS (SELECT u, sum(w) / max(m) AS a FROM sub, m GROUP BY 1),
+r AS (SELECT 1 AS len, [0] AS x, 0 AS top UNION ALL SELECT len + 1, list_append(x, c), greatest(top, c) FROM r, n WHERE len < 8 AND c <= top + 1),
+p AS (SELECT row_number() OVER () AS id, x FROM r WHERE len = 8),
+t AS (SELECT id, x[u + 1] AS g, sum(a) AS p FROM p, a GROUP BY 1, 2),
+o AS (SELECT id, x[u + 1] AS g, sum(CASE WHEN x[u + 1] <> x[v + 1] THEN w ELSE 0 END) / max(m) AS q FROM p, sub, m GROUP BY 1, 2),
+f AS (SELECT id, sum(q) AS s, sum(CASE WHEN q > 0 THEN q * log2(q) ELSE 0 END) AS ql, sum((q + p) * log2(q + p)) AS qp FROM t JOIN o USING (id, g) GROUP BY 1)
+SELECT round(min(CASE WHEN s > 1e-12 THEN s * log2(s) ELSE 0 END - 2 * ql + qp) - (SELECT sum(a * log2(a)) FROM a), 6) + 0.0 AS codelength FROM f"""
+SQL["infomap"] = with_("sym", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _CODE
+
+
+@query("infomap")
+def _infomap(s, d):
+    """The shortest code of eight trials on the eight nations, by a Spark plan."""
+    e, g = eight(s, d)
+    found = [cm.map_equation(e, g.membership(s, x)).first()["codelength"] for x in {tuple(ke.infomap(g.a, seed).tolist()) for seed in range(8)}]
+    return s.createDataFrame([(round(float(min(found)), 6) + 0.0,)], "codelength double")
+
+
+for _n in ("walktrap", "voronoi"):
+    query(_n)(lambda s, d, n=_n: wf.detect(s, strong_edges(s, d), n, nodes=tb.nation_nodes(s, d)))
+query("upper_triangle", "sym deg", "SELECT src, dst, round(w / a, 12) + 0.0 AS w FROM sym JOIN deg ON src = node WHERE src < dst")(
+    lambda s, d: gr.upper_triangle(cm.random_walk(tb.nation_trade(s, d), 1).select(F.col("u").alias("src"), F.col("v").alias("dst"), tidy(F.col("p"), 12).alias("w")))
+)
+query("unit_diagonal", "sym deg nodes", "SELECT x.node AS src, y.node AS dst, round(CASE WHEN x.node = y.node THEN 1 ELSE w / 2 / x.a + w / 2 / y.a END, 9) + 0.0 AS w FROM deg x CROSS JOIN deg y LEFT JOIN sym ON src = x.node AND dst = y.node WHERE x.node = y.node OR w IS NOT NULL")(
+    lambda s, d: gr.unit_diagonal(cm.random_walk(tb.nation_trade(s, d), 1).select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("p").alias("w")), tb.nation_nodes(s, d)).withColumn("w", tidy(F.col("w")))
+)
 query("cpm_quality", "edges mem", "SELECT round((SELECT sum(w) FROM edges JOIN mem a ON src = a.node JOIN mem b ON dst = b.node WHERE a.community = b.community) - 0.5 * sum(n * (n - 1) / 2), 6) + 0.0 AS quality FROM (SELECT count(*)::DOUBLE AS n FROM mem GROUP BY community)")(lambda s, d: cm.cpm_quality(tb.nation_trade(s, d), tb.regions(s, d), 0.5).select(tidy(F.col("quality"), 6).alias("quality")))
 query("surprise_quality", "strong mem", "SELECT round(m * (CASE WHEN q > 0 THEN q * ln(q / e) ELSE 0 END + (CASE WHEN q < 1 THEN (1 - q) * ln((1 - q) / (1 - e)) ELSE 0 END)), 6) + 0.0 AS quality FROM (SELECT count(*)::DOUBLE AS m, sum((a.community = b.community)::INT)::DOUBLE / count(*) AS q FROM strong JOIN mem a ON src = a.node JOIN mem b ON dst = b.node), (SELECT sum(n * (n - 1) / 2) / (max(t) * (max(t) - 1) / 2) AS e FROM (SELECT count(*)::DOUBLE AS n, (SELECT count(*) FROM mem)::DOUBLE AS t FROM mem GROUP BY community))")(
     lambda s, d: cm.surprise_quality(strong_edges(s, d), tb.regions(s, d)).select(tidy(F.col("quality"), 6).alias("quality"))
@@ -346,27 +413,13 @@ query("weakest_community", "ins tot vol mem", "SELECT community, round((coalesce
 )
 
 
-@query("swap_gains", "", "SELECT 0::BIGINT AS mismatches, 30::BIGINT AS swaps")
-def _swaps(s, d):
-    """Exact scores after swaps against the closed form 2 (S[u, c(v)] + S[v, c(u)] - S[u, c(u)] - S[v, c(v)]) + 2 B_uu + 2 B_vv - 4 B_uv."""
-    g = Graph(tb.nation_trade(s, d))
-    b = ke.score_matrix(g.a)
-    labels = np.arange(len(b)) % 5
-    sums = b @ ke.one_hot(labels, 5)
-    rng = np.random.default_rng(0)
-    bad = n = 0
-    while n < 30:
-        u, v = rng.integers(0, len(b), 2)
-        if labels[u] == labels[v]:
-            continue
-        x = labels.copy()
-        x[u], x[v] = labels[v], labels[u]
-        gain = 2 * (sums[u, labels[v]] + sums[v, labels[u]] - sums[u, labels[u]] - sums[v, labels[v]]) + 2 * b[u, u] + 2 * b[v, v] - 4 * b[u, v]
-        bad += abs(ke.score(b, x) - ke.score(b, labels) - gain) > 1e-9
-        n += 1
-    return _report(s, mismatches=bad, swaps=n)
-
-
+_SWAPS = """, m AS (SELECT sum(w) AS m FROM sym), i AS (SELECT node, community AS c, a FROM mem JOIN deg USING (node)),
+b AS (SELECT x.node AS u, y.node AS v, x.c AS cu, y.c AS cv, coalesce(w, 0) / m - x.a * y.a / (m * m) AS b FROM i x CROSS JOIN i y CROSS JOIN m LEFT JOIN sym ON src = x.node AND dst = y.node),
+e AS (SELECT src, dst, x.c AS cs, y.c AS cd FROM edges JOIN i x ON src = x.node JOIN i y ON dst = y.node WHERE x.c <> y.c),
+z AS (SELECT src, dst, b, cu = cv AS was, CASE u WHEN src THEN cd WHEN dst THEN cs ELSE cu END = CASE v WHEN src THEN cd WHEN dst THEN cs ELSE cv END AS will FROM e CROSS JOIN b)
+SELECT src AS u, dst AS v, round(sum(CASE WHEN will THEN b ELSE 0 END) - sum(CASE WHEN was THEN b ELSE 0 END), 9) + 0.0 AS gain FROM z GROUP BY 1, 2"""
+SQL["swap_gains"] = with_("edges sym deg mem", "").rstrip() + _SWAPS
+query("swap_gains")(lambda s, d: me.swap_gains(tb.nation_trade(s, d), tb.regions(s, d)).withColumn("gain", tidy(F.col("gain"))))
 query("heavy_edge_matching", "sym", "SELECT x.u, x.v FROM (SELECT src AS u, dst AS v FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS r FROM sym WHERE src <> dst) WHERE r = 1) x JOIN (SELECT src AS u, dst AS v FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS r FROM sym WHERE src <> dst) WHERE r = 1) y ON x.u = y.v AND x.v = y.u WHERE x.u < x.v")(
     lambda s, d: cm.heavy_edge_matching(tb.nation_trade(s, d))
 )

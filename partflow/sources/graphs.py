@@ -27,6 +27,18 @@ def unweighted(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().withColumn("w", F.lit(1.0))
 
 
+def upper_triangle(cells: DataFrame) -> DataFrame:
+    """Cells above the diagonal."""
+    return cells.filter("src < dst")
+
+
+def unit_diagonal(cells: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The mean of every cell and its mirror image (an absent one is 0), both ways round, and 1 on the diagonal of every node."""
+    back = cells.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    mean = cells.select("src", "dst", "w").unionByName(back).filter("src <> dst").groupBy("src", "dst").agg((F.sum("w") / 2).alias("w"))
+    return mean.unionByName(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("w")))
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Without self-loops; of parallel edges the heaviest."""
     ends = edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w")
