@@ -11,9 +11,9 @@ from partflow.operators import contract as co
 from partflow.operators import kernels as ke
 from partflow.operators.community import bfs_levels, heavy_edge_matching, orbits, quantize
 from partflow.operators.components import connected_components
-from partflow.plans.decomposition import Config, Graph, decompose, solve_master
-from partflow.plans.workflows import core_periphery, load_balance
-from partflow.sources.graphs import map_pairs
+from partflow.plans.decomposition import Config, Graph, Record, Result, decompose, solve_master
+from partflow.plans.workflows import DETECTORS, core_periphery, detect, load_balance, project
+from partflow.sources.graphs import map_pairs, unit_diagonal
 from partflow.sources.tables import canonical
 
 
@@ -188,3 +188,71 @@ def test_best_grouping_equals_enumeration():
     blocks = np.kron(np.eye(4), np.ones((6, 6))) * 2 - 1 + 0.1 * r.standard_normal((24, 24))
     labels, proved = ke.best_grouping((blocks + blocks.T) / 2, ke.Rules(24, (), (), 6, 6), 4)
     assert proved and (labels == np.repeat(range(4), 6)).all()
+
+
+def ring(groups: int = 3, size: int = 5) -> np.ndarray:
+    """Cliques in a ring, each joined to the next by one edge."""
+    a = np.kron(np.eye(groups), np.ones((size, size)))
+    for g in range(groups):
+        i, j = g * size, ((g + 1) % groups) * size + 1
+        a[i, j] = a[j, i] = 1
+    np.fill_diagonal(a, 0)
+    return a
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_infomap_finds_cliques(seed):
+    assert ke.infomap(ring(), seed).tolist() == np.repeat(np.arange(3), 5).tolist()
+
+
+@pytest.mark.parametrize("name", sorted(DETECTORS))
+def test_detect_finds_cliques(spark, name):
+    a = ring()
+    e = edges(spark, *((int(i), int(j), 1.0) for i, j in zip(*np.nonzero(np.triu(a)), strict=True)))
+    found = {r["node"]: r["community"] for r in detect(spark, e, name).collect()}
+    assert [found[i] for i in range(15)] == np.repeat(np.arange(3), 5).tolist()
+
+
+def test_kernels_take_graphs_without_edges():
+    a = np.zeros((3, 3))
+    assert ke.infomap(a).tolist() == [0, 1, 2]
+    assert ke.walktrap(a, a).tolist() == [0, 1, 2]
+    assert ke.voronoi(a, a).tolist() == [0, 1, 2]
+
+
+def test_detect_refuses(spark):
+    with pytest.raises(ValueError, match="no algorithm"):
+        detect(spark, edges(spark, (0, 1, 1.0)), "other")
+    with pytest.raises(ValueError, match="negative"):
+        detect(spark, edges(spark, (0, 1, -1.0), (1, 2, 3.0)))
+
+
+def test_projection_agrees_with_the_last_combination(spark):
+    e = edges(spark, (0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (0, 3, 1.0))
+    pool = [np.array([0, 0, 0, 1]), np.array([0, 0, 1, 1])]
+    last = Result([Record(1, 0.0, {0: 0.4, 1: 0.6}, 0.0, pool[1])], None, None, {"pool": pool})
+    out = project(spark, e, last, Config(k=2, sizes=(2, 2)))
+    assert out.partition.tolist() == [0, 0, 1, 1] and out.metadata["proved"]
+    out = project(spark, e, last, Config(k=2, sizes=(2, 2), must=((0, 3),)))
+    assert out.partition.tolist() == [0, 1, 1, 0]
+    assert project(spark, e, last, Config(k=2, sizes=(2, 2), must=((0, 3), (0, 1)))).partition is None
+
+
+def test_unit_diagonal(spark):
+    cells = spark.createDataFrame([(0, 1, 1.0), (1, 0, 0.5), (2, 0, 4.0), (1, 1, 7.0)], "src bigint, dst bigint, w double")
+    nodes = spark.createDataFrame([(0,), (1,), (2,)], "node bigint")
+    found = {(r["src"], r["dst"]): r["w"] for r in unit_diagonal(cells, nodes).collect()}
+    assert found == {(0, 0): 1.0, (1, 1): 1.0, (2, 2): 1.0, (0, 1): 0.75, (1, 0): 0.75, (0, 2): 2.0, (2, 0): 2.0}
+
+
+def test_swap_gains_with_loops(spark):
+    rows = [(0, 0, 2.0), (0, 1, 1.0), (1, 2, 3.0), (2, 3, 1.0), (0, 3, 2.0), (3, 3, 1.0)]
+    e, labels = edges(spark, *rows), np.array([0, 0, 1, 1])
+    member = spark.createDataFrame([(i, int(c)) for i, c in enumerate(labels)], "node bigint, community bigint")
+    b = ke.score_matrix(Graph(e).a)
+    found = {(r["u"], r["v"]): r["gain"] for r in me.swap_gains(e, member).collect()}
+    assert set(found) == {(1, 2), (0, 3)}
+    for (u, v), gain in found.items():
+        x = labels.copy()
+        x[u], x[v] = labels[v], labels[u]
+        assert gain == pytest.approx(ke.score(b, x) - ke.score(b, labels))
