@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, attention_lm, decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, repeats, token_files, word_bpe
+from . import alignment, attention_lm, decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, phrases, pii, quality, repeats, token_files, word_bpe
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_phrases": phrases.op11_phrases,
     "op12_alignment": alignment.op12_alignment,
     "op13_word_bpe": word_bpe.op13_word_bpe,
 }
@@ -25,4 +26,5 @@ SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op7_source_mixing": mixing.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op11_phrases": phrases.OP11_SQL,
 }
