@@ -33,8 +33,9 @@ from .word_bpe import byte_letters, spread
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CHUNK = 3_000_000  #: bytes of text in a chunk, about
-ROOM = 96 << 20  #: bytes of segments, tokens and links that a worker remembers
+CHUNK = 2_000_000  #: bytes of text in a chunk, about
+ROOM = 80 << 20  #: bytes of segments, tokens and links that a worker remembers
+LEARN = 5_000  #: segments tokenised at once
 SALTS = 8
 SPACE = " "
 
@@ -67,7 +68,7 @@ class Aligner:
 
     def _tokens(self, segments: list[str]):
         """(ids, tokens of each) of both, and which segments both spell as they are."""
-        a = [e.ids for e in self.a.encode_batch_fast([SPACE + s for s in segments], add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast([SPACE + s for s in segments], add_special_tokens=False)]  # an encoding is much larger than its ids
         b = self.b.encode(segments, num_threads=1)
         whole = [(SPACE + s).encode() for s in segments]
         right = [b"".join(map(self.a_bytes.__getitem__, x)) == t == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, t in zip(a, b, whole, strict=True)]
@@ -95,7 +96,7 @@ class Aligner:
         self.link_of.append(at)
         self.n.append(counts)
         self.n_links += len(link)
-        self.held += len(groups) + 8 * len(link) + sum(map(len, new)) + 250 * len(new)
+        self.held += len(groups) + 8 * len(link) + sum(map(len, new)) + 350 * len(new)
 
     def segments(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(segment of each place in a line, where each row's segments begin and the end); null and empty rows have none."""
@@ -118,8 +119,8 @@ class Aligner:
         texts = [col[k].as_py() for k in rows.tolist()]
         named = dict.fromkeys(names)
         new = [s for s in [*named, *dict.fromkeys(t for t in texts if t and t not in named)] if s not in self.index]
-        if new:
-            self._learn(new)
+        for k in range(0, len(new), LEARN):
+            self._learn(new[k : k + LEARN])
         table_of = np.full(len(coded.dictionary), -1, np.int64)
         table_of[used] = list(map(self.index.__getitem__, names))
         of[plain] = table_of[np.asarray(coded.indices)[plain]]
