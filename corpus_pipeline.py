@@ -58,15 +58,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("_p", mixing.place(F.col("doc.doc_id"), text))
     sizes = stored(mixing.sized(docs, extra={"row": _whole_row(docs)}), "mix")
     plan = mixing.mix(sizes).filter("taken > 0").select(
-        F.col("row").alias("_plan_row"), "place", "size", "start", "passes", "rest", "phase", "unit", "blocks", (F.col("taken") - F.col("passes") * F.col("size")).alias("part")
+        F.col("row").alias("_plan_row"), "place", "size", "start", "passes", "rest", "turn", "ring", "unit", "blocks", "picks", (F.col("taken") - F.col("passes") * F.col("size")).alias("part")
     )
     # equal rows are one here and as many as they were in the plan, so that the join gives each row of the plan once
     rows = rows.dropDuplicates(["_p", "_row"]).join(plan, (F.col("_row") == F.col("_plan_row")) & (F.col("_p") == F.col("place")))
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
 
     def picked(_, i):
-        j = F.floor((F.col("start") + i) / F.col("unit")).cast("long")
-        return (mixing.picked_before(j + 1) - mixing.picked_before(j)) > 0
+        return mixing.rest_before(F.col("start") + i + 1) > mixing.rest_before(F.col("start") + i)
 
     part = F.when(F.col("part") == F.col("size"), text).otherwise(F.array_join(F.filter(words, picked), " "))
     copies = F.concat(F.array_repeat(text, F.col("passes").cast("int")), F.when(F.col("part") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))

@@ -1,13 +1,12 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame operations only.
 
 Targets: each source's weighted share of all words, stopped at `ceiling` times its own words, the excess shared again by weight
-(water-filling over the sorted ratios of ceiling to weight). A source is dealt into shards by a seeded hash of its documents; blocks
-of BLOCK words go to sources, then to each source's shards, by highest quotients target / (2 k + 1). A shard's documents stand in
-seeded order on a line of words cut into blocks; its quota is whole passes over the line and a remainder of blocks picked at even
-steps from a seeded start, so what a document gives is a closed form of its place on the line: no block is ever a row.
-
-A line's last block may be short. Shards of under SMALL blocks are cut into quarter blocks, their quotas into as many, so that a short
-block stays little beside the quota.
+(water-filling over the sorted ratios of ceiling to weight). A source is dealt into shards by a seeded hash of its documents; words (the
+equal blocks that are shared out hold one each, so that the smallest source comes near its target) go to sources, then to each source's
+shards, by highest quotients target / (2 k + 1). A shard's documents stand in seeded order on a line of words that is closed to a ring; its
+quota is whole passes over the ring and a rest. From a seeded start the ring is cut into blocks of BLOCK words, of which the rest takes
+whole ones at even steps and, for the words that are short of a block, the beginning of the first. So a shard gives exactly its quota, and
+what a document gives is a closed form of its place: no block is ever a row.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; words are counted, so empty texts take
 nothing; rows with equal doc_id are told apart by their text; equal rows stand one after another on the line, so their amounts may
@@ -21,9 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, salted_lookup, stored, table
 
-BLOCK = 32  #: words
-SMALL = 64  #: blocks; shards below are cut more finely
-FINER = 4
+BLOCK = 32  #: words picked together
 SHARD_WORDS = 500_000  #: of a source in one shard, about
 CEILING = 3
 SEED = 20_24
@@ -87,45 +84,54 @@ def apportion(parties: DataFrame, group: list[str], votes: str, seats: str, orde
     return p.join(won, on, "left").withColumn(out, F.col("_base") + F.coalesce("_won", F.lit(0))).drop("_n", "_v", "_base", "_left", "_won", *[f"_k_{k}" for k in keys])
 
 
-def block_quotas(sizes: DataFrame, weights=(1, 2, 3), ceiling: int = CEILING, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(documents with their shard, quotas of blocks for each shard)."""
+def shard_quotas(sizes: DataFrame, weights=(1, 2, 3), ceiling: int = CEILING, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(documents with their shard, quotas of words for each shard)."""
     targets = source_targets(sizes, weights, ceiling)
     all_ = Window.partitionBy()
-    seats = apportion(targets.withColumn("all_seats", F.round(F.sum("target").over(all_) / block).cast("long")), [], "target", "all_seats", ["source"], "seats")
+    seats = apportion(targets.withColumn("all_seats", F.round(F.sum("target").over(all_)).cast("long")), [], "target", "all_seats", ["source"], "seats")
     seats = seats.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("int"))
     dealt = salted_lookup(sizes, seats.select("source", "source_size", "target", "seats", "shards"), ["source"], "doc_id")
     dealt = dealt.withColumn("shard", F.pmod(F.col("place"), F.col("shards")).cast("int"))
-    per = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"), F.first("target").alias("target"))
-    per = apportion(per, ["source"], "shard_size", "seats", ["shard"], "quota")
-    per = per.withColumn("unit", F.when(F.col("shard_size") < SMALL * block, max(1, block // FINER)).otherwise(block).cast("long"))
-    per = per.withColumn("blocks", F.ceil(F.col("shard_size") / F.col("unit")).cast("long"))
-    per = per.withColumn("quota", F.least(F.floor(F.col("quota") * block / F.col("unit")).cast("long"), ceiling * F.col("blocks")))
-    return dealt, per.select("source", "shard", "quota", "unit", "blocks", "shard_size")
+    per = dealt.groupBy("source", "shard").agg(F.sum("size").alias("ring"), F.first("seats").alias("seats"), F.first("target").alias("target"))
+    per = apportion(per, ["source"], "ring", "seats", ["shard"], "quota")
+    return dealt, per.select("source", "shard", F.least("quota", ceiling * F.col("ring")).alias("quota"), "ring")
 
 
 def mix(sizes: DataFrame, weights=(1, 2, 3), ceiling: int = CEILING, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, place, source_size, target, taken, and the document's words [start, start + size) on its shard's line."""
-    dealt, per = block_quotas(sizes, weights, ceiling, block, shard_words)
+    """doc_id, source, size, place, source_size, target, taken, and the document's words [start, start + size) on its shard's ring of `ring`
+    words, which starts to be cut at word `turn` into `blocks` whole blocks; passes and rest words are taken of it."""
+    dealt, per = shard_quotas(sizes, weights, ceiling, shard_words)
     line = Window.partitionBy("source", "shard").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0)))
-    per = per.select(F.col("source").alias("_src"), F.col("shard").alias("_shd"), "quota", "unit", "blocks")
+    per = per.select(F.col("source").alias("_src"), F.col("shard").alias("_shd"), "quota", "ring")
     placed = placed.join(per, placed["source"].eqNullSafe(per["_src"]) & (placed["shard"] == per["_shd"]))
-    placed = placed.withColumn("passes", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(F.lit(0)).cast("long"))
-    placed = placed.withColumn("rest", (F.col("quota") - F.col("passes") * F.col("blocks")).cast("long"))
-    placed = placed.withColumn("phase", F.when(F.col("blocks") > 0, F.pmod(_unit(F.lit(str(seed)), F.coalesce(F.col("source"), F.lit("")), F.col("shard").cast("string")), F.col("blocks"))).otherwise(F.lit(0)))
-    return placed.withColumn("taken", taken_before(F.col("start") + F.col("size")) - taken_before(F.col("start"))).drop("_src", "_shd", "seats", "shards")
-
-
-def picked_before(j: Column) -> Column:
-    """Of the shard's blocks before the j-th, those picked in the last, partial pass: even steps from a seeded start."""
-    return F.when(F.col("blocks") > 0, F.floor((j * F.col("rest") + F.col("phase")) / F.col("blocks"))).otherwise(F.lit(0)).cast("long")
-
-
-def taken_before(x: Column) -> Column:
-    """Words taken of the first x words of the shard's line, which is cut into blocks of `unit` words."""
-    j = F.floor(x / F.col("unit")).cast("long")
-    part = x - j * F.col("unit")
-    return (F.col("passes") * x + picked_before(j) * F.col("unit") + part * (picked_before(j + 1) - picked_before(j))).cast("long")
+    some = F.col("ring") > 0
+    placed = placed.withColumn("passes", F.when(some, F.floor(F.col("quota") / F.col("ring"))).otherwise(F.lit(0)).cast("long"))
+    placed = placed.withColumn("rest", (F.col("quota") - F.col("passes") * F.col("ring")).cast("long")).withColumn("unit", F.lit(block).cast("long"))
+    placed = placed.withColumn("blocks", F.floor(F.col("ring") / block).cast("long")).withColumn("picks", F.least("blocks", F.floor(F.col("rest") / block).cast("long")))
+    turn = F.pmod(_unit(F.lit(str(seed)), F.coalesce(F.col("source"), F.lit("")), F.col("shard").cast("string")), F.col("ring"))
+    placed = placed.withColumn("turn", F.when(some, turn).otherwise(F.lit(0)))
+    whole = F.col("passes") * F.col("size")
+    return placed.withColumn("taken", (whole + rest_before(F.col("start") + F.col("size")) - rest_before(F.col("start"))).cast("long")).drop("_src", "_shd", "seats", "shards")
+
+
+def _from_turn(y: Column) -> Column:
+    """Of the ring's first y words from its turn on, those that the rest takes."""
+    j = F.least(F.floor(y / F.col("unit")).cast("long"), F.col("blocks"))
+    n = F.greatest(F.col("blocks"), F.lit(1))
+    before, upto = F.floor(j * F.col("picks") / n).cast("long"), F.floor((j + 1) * F.col("picks") / n).cast("long")
+    part = y - j * F.col("unit")
+    inside = F.when(j < F.col("blocks"), part * (upto - before)).otherwise(F.lit(0))
+    short = F.col("rest") - F.col("picks") * F.col("unit")  # of the first block, which even steps pick only with all others, else of the tail
+    last = F.when(F.col("picks") < F.col("blocks"), F.least(y, short)).when(j < F.col("blocks"), F.lit(0)).otherwise(F.least(part, short))
+    return before * F.col("unit") + inside + last
+
+
+def rest_before(x: Column) -> Column:
+    """Of the ring's first x words, those that the rest takes."""
+    turn, ring = F.col("turn"), F.col("ring")
+    tail = _from_turn(ring - turn)
+    return F.when(x >= turn, F.col("rest") - tail + _from_turn(x - turn)).otherwise(_from_turn(ring - turn + x) - tail)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,23 +164,28 @@ per2 AS (SELECT *, cap / weight AS ratio FROM per1),
 per3 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM per2
   WINDOW b AS (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (SELECT source, source_size, CASE WHEN ratio <= level THEN cap ELSE weight * max(CASE WHEN ratio > level THEN level END) OVER () END AS target FROM per3),
-seated AS (SELECT *, round(sum(target) OVER () / {BLOCK})::BIGINT AS all_seats FROM targets),
+seated AS (SELECT *, round(sum(target) OVER ())::BIGINT AS all_seats FROM targets),
 {_seats_sql("seated", "", "target", "all_seats", "source", "seats", "by_source")},
 dealt AS (SELECT s.*, source_size, target, seats, place % greatest(1, ceil(source_size / {SHARD_WORDS}::DOUBLE))::BIGINT AS shard
   FROM sizes s JOIN by_source b ON s.source IS NOT DISTINCT FROM b.source),
-shards AS (SELECT source, shard, sum(size)::BIGINT AS shard_size, first(seats) AS seats FROM dealt GROUP BY source, shard),
-{_seats_sql("shards", "source", "shard_size", "seats", "shard", "quota0", "by_shard")},
-units AS (SELECT *, CASE WHEN shard_size < {SMALL * BLOCK} THEN {BLOCK // FINER} ELSE {BLOCK} END::BIGINT AS unit FROM by_shard),
-quotas AS (SELECT *, ceil(shard_size / unit::DOUBLE)::BIGINT AS blocks, least(quota0 * {BLOCK} // unit, {CEILING} * ceil(shard_size / unit::DOUBLE)::BIGINT) AS quota FROM units),
+shards AS (SELECT source, shard, sum(size)::BIGINT AS ring, first(seats) AS seats FROM dealt GROUP BY source, shard),
+{_seats_sql("shards", "source", "ring", "seats", "shard", "quota0", "by_shard")},
+quotas AS (SELECT *, least(quota0, {CEILING} * ring)::BIGINT AS quota, ring // {BLOCK} AS blocks,
+         CASE WHEN ring > 0 THEN ('0x' || substr(md5('{SEED}:' || coalesce(source, '') || ':' || shard::VARCHAR), 1, 15))::BIGINT % ring ELSE 0 END AS turn FROM by_shard),
+rests AS (SELECT *, CASE WHEN ring > 0 THEN quota // ring ELSE 0 END AS passes, CASE WHEN ring > 0 THEN quota % ring ELSE 0 END AS rest FROM quotas),
+picked AS (SELECT *, least(blocks, rest // {BLOCK}) AS picks FROM rests),
 placed AS (
-  SELECT d.*, blocks, unit, coalesce(sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a,
-         CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS passes, CASE WHEN blocks > 0 THEN quota % blocks ELSE 0 END AS rest,
-         CASE WHEN blocks > 0 THEN ('0x' || substr(md5('{SEED}:' || coalesce(d.source, '') || ':' || d.shard::VARCHAR), 1, 15))::BIGINT % blocks ELSE 0 END AS phase
-  FROM dealt d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source AND d.shard = q.shard),
-ends AS (SELECT *, a + size AS b FROM placed),
-cut AS (SELECT *, CASE WHEN blocks > 0 THEN ((a // unit) * rest + phase) // blocks ELSE 0 END AS pa, CASE WHEN blocks > 0 THEN ((a // unit + 1) * rest + phase) // blocks ELSE 0 END AS pa1,
-         CASE WHEN blocks > 0 THEN ((b // unit) * rest + phase) // blocks ELSE 0 END AS pb, CASE WHEN blocks > 0 THEN ((b // unit + 1) * rest + phase) // blocks ELSE 0 END AS pb1 FROM ends)
+  SELECT d.*, ring, blocks, turn, passes, rest, picks, rest - picks * {BLOCK} AS short,
+         coalesce(sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
+  FROM dealt d JOIN picked q ON d.source IS NOT DISTINCT FROM q.source AND d.shard = q.shard),
+-- how many of the ring's first y words from its turn on the rest takes, for both ends of a document and the ring's own end
+ends AS (SELECT *, [a, a + size, 0] AS xs FROM placed),
+ys AS (SELECT *, [CASE WHEN x >= turn THEN x - turn ELSE ring - turn + x END FOR x IN xs] AS y FROM ends),
+js AS (SELECT *, [least(v // {BLOCK}, blocks) FOR v IN y] AS j FROM ys),
+ts AS (SELECT *, [(i * picks // greatest(blocks, 1)) * {BLOCK}
+         + CASE WHEN i < blocks THEN (y[k] - i * {BLOCK}) * ((i + 1) * picks // greatest(blocks, 1) - i * picks // greatest(blocks, 1)) ELSE 0 END
+         + CASE WHEN picks < blocks THEN least(y[k], short) WHEN i < blocks THEN 0 ELSE least(y[k] - i * {BLOCK}, short) END FOR i, k IN j] AS t FROM js)
 SELECT doc_id, source, size::BIGINT AS size, source_size, target,
-       (passes * size + (pb * unit + (b % unit) * (pb1 - pb)) - (pa * unit + (a % unit) * (pa1 - pa)))::BIGINT AS taken
-FROM cut
+       (passes * size + (t[2] + CASE WHEN a + size >= turn THEN rest ELSE 0 END) - (t[1] + CASE WHEN a >= turn THEN rest ELSE 0 END))::BIGINT AS taken
+FROM ts
 """
