@@ -34,8 +34,9 @@ WORDS = 4  #: most words of a phrase
 SHARE = 80  #: percent of a phrase's occurrences that a longer one may hold before it goes
 TOP = 2000
 HOT = 256
-CHUNK = 4_000_000  #: bytes of text in a chunk, about
-BUCKET = 4_000_000  #: pointers in a bucket, on average
+CHUNK = 2_000_000  #: bytes of text in a chunk, about
+BUCKET = 1_000_000  #: pointers in a bucket, on average
+PARTITION = 32  #: buckets in a partition, where there are more than shuffle partitions
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: 1 between words, 2 between pieces.
@@ -55,7 +56,8 @@ def words_in(col: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     start = np.flatnonzero(ink & (np.append(True, ~ink[:-1])[: len(ink)] | first[:-1]))
     end = np.flatnonzero(ink & (np.append(~ink[1:], True)[: len(ink)] | first[1:])) + 1
     row = np.searchsorted(edge, start, "right") - 1
-    breaks = np.concatenate([[0], np.cumsum(kind == 2)])
+    breaks = np.zeros(len(low) + 1, np.int32)
+    np.cumsum(kind == 2, out=breaks[1:])
     opens = np.ones(len(start), bool)
     opens[1:] = (row[1:] != row[:-1]) | (breaks[start[1:]] != breaks[end[:-1]])
     offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
@@ -244,7 +246,8 @@ def mine(docs: DataFrame, least: int = MIN) -> tuple[DataFrame, DataFrame, DataF
     hot = np.array([r["id"] for r in words.filter(F.col("f") * HOT >= total).select("id").collect()], np.int64)  # HOT at most
     buckets = max(shuffle_partitions(spark), -(-total // BUCKET))
     pointers = stored(chunks.select("chunk", "line").join(known, "chunk").select("line", "ids").mapInArrow(_pointers(hot, buckets), "bucket int, pointers binary"), "pointers")
-    dealt = pointers.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    parts = max(shuffle_partitions(spark), -(-buckets // PARTITION))
+    dealt = pointers.repartition(parts, "bucket").sortWithinPartitions("bucket")
     phrases = dealt.mapInArrow(_grown(hot, least), PHRASES).groupBy("w1", "w2", "w3", "w4").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     return totals, words, stored(phrases, "phrases")
 
