@@ -14,8 +14,11 @@ ranks):
 4. offsets LENGTH/2 and LENGTH, at the positions of the blocks that are left: a position's rank at LENGTH is the pair of its rank and
    that of the position LENGTH/2 on; those not unique are repeated.
 
-Before every shuffle a task ranks its own rows, so a passage that a third of all documents hold is one row a task. Ranks at LENGTH pair
-two names, 128 bits, so texts differ where ranks do and, but for chance of 2**-128 a pair, agree where ranks agree.
+Before every shuffle a task ranks its own rows, so a passage that a third of all documents hold is one row a task. First ranks (of anchors and
+of what all windows of a block hold) only decide which rows are looked at together: equal strings have equal ones, and different strings
+with one rank are told apart by the second. Second ranks, and both halves of a position's pair, are BLAKE2 digests of all the bytes they
+stand for, keyed by 128 random bits of the run, so no text can be made to collide with another; that two different strings agree has a
+chance of 2**-64 for runs and blocks under one first rank, and of 2**-128 for positions.
 
 Defined cases: null text is empty; texts under LENGTH bytes lose nothing; bytes, not characters, are cut (kept_text of find_repeats may
 end inside a character and is binary); equal rows are copies of each other; texts of any length are one row; an empty table gives no
@@ -25,6 +28,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +49,12 @@ def _roll(seed: int) -> Rolling:
     return _ROLL.setdefault(seed, Rolling(seed))
 
 
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: bytes) -> np.ndarray:
+    """64 bits of a keyed BLAKE2 digest of each slice of bytes."""
+    line = memoryview(np.ascontiguousarray(data))
+    return np.frombuffer(b"".join([hashlib.blake2b(line[i:j], digest_size=8, key=key).digest() for i, j in zip(start.tolist(), end.tolist(), strict=True)]), np.uint64)
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w neighbours."""
     n = len(x) - w + 1
@@ -57,7 +67,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, key: bytes = b""):
     """(row, first window, last window, anchor, anchor's rank, run's rank) of the runs of all rows; windows count from their row's start."""
     if len(data) < length:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
@@ -69,8 +79,8 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     rank ^= rank >> np.uint64(32)
     rank *= _C
     low = np.uint64((1 << 28) - 1)
-    key = (rank & ~low) | (np.arange(n, dtype=np.uint64) & low)  # of equal ranks the leftmost
-    anchor = (sliding_min(key, length - gram + 1) & low).astype(np.int64)
+    place = (rank & ~low) | (np.arange(n, dtype=np.uint64) & low)  # of equal ranks the leftmost
+    anchor = (sliding_min(place, length - gram + 1) & low).astype(np.int64)
     size = np.diff(offsets)
     long = np.flatnonzero(size >= length)
     step = np.zeros(len(anchor) + 1, np.int32)
@@ -85,7 +95,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     mine = live[start]
     start, end = start[mine], end[mine] - 1
     row = np.searchsorted(offsets, start, "right") - 1
-    whole = mix(roll.of(pre, start, end + length) ^ mix((end - start).astype(np.uint64)))
+    whole = digests(data, start, end + length, key)
     return row, start - offsets[row], end - offsets[row], anchor[start] - offsets[row], rank[anchor[start]], whole
 
 
@@ -131,12 +141,12 @@ def _rows(kind: int, cols: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _sampled(length: int, gram: int):
+def _sampled(length: int, gram: int, secret: bytes):
     def run(batches):
         held = Held()
         for batch in batches:
             for b in slices(batch, 2, 1_000_000):
-                row, first, last, at, a, whole = runs_of(*flat(b.column(2)), length, gram)
+                row, first, last, at, a, whole = runs_of(*flat(b.column(2)), length, gram, secret)
                 yield from held.add(a, whole, np.asarray(b.column(0))[row], np.asarray(b.column(1))[row], first, last, at, np.ones(len(row), bool))
         yield from held.ranked()
 
@@ -162,7 +172,7 @@ def _segments(length: int):
     return run
 
 
-def _blocks(length: int, step: int):
+def _blocks(length: int, step: int, secret: bytes):
     def run(batches):
         held = Held()
         for batch in batches:
@@ -181,14 +191,14 @@ def _blocks(length: int, step: int):
                 pre = one.prefix(data)
                 core = at[seg] - block * step + move
                 a = mix(one.of(pre, core, core + length - step + 1) ^ mix(block.astype(np.uint64)))
-                whole = mix(one.of(pre, begin + move, end + length + move) ^ mix(((at[seg] - begin) * 65536 + at[seg] - end).astype(np.uint64)))
+                whole = digests(data, begin + move, end + length + move, secret) ^ mix(((at[seg] - begin) * 65536 + at[seg] - end).astype(np.uint64))
                 yield from held.add(a, whole, doc[seg], key[seg], begin, end, first[seg], open_[seg])
         yield from held.ranked()
 
     return run
 
 
-def _positions(length: int):
+def _positions(length: int, secret: bytes):
     def run(batches):
         held = Held()
         for batch in batches:
@@ -202,12 +212,9 @@ def _positions(length: int):
                 p = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                 seg = np.repeat(seg, size)
                 at = p + edge[seg] - start[seg]
-                one, two = _roll(12), _roll(13)
-                p1, p2 = one.prefix(data), two.prefix(data)
                 half = length // 2
                 # the rank at the whole length pairs those of the position and of the one half the length on
-                a = mix(one.of(p1, at, at + half)) + mix(two.of(p2, at, at + half) ^ _C)
-                z = mix(one.of(p1, at + half, at + length) ^ _C) + mix(two.of(p2, at + half, at + length))
+                a, z = digests(data, at, at + half, secret), digests(data, at + half, at + length, secret)
                 yield from held.add(a, z, doc[seg], key[seg], p, p, p, np.repeat(open_.astype(bool), size))
         yield from held.ranked()
 
@@ -272,18 +279,19 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts:
     """What is left of every text: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (texts: and kept_text, removed start and end offsets)."""
     spark = docs.sparkSession
     ship(spark)
+    secret = secrets.token_bytes(16)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     doc = F.col("doc_id").cast("long")
     # a row's key: its doc_id, and for repeated and null doc_ids a hash of which and of its text
     rows = docs.select(F.coalesce(doc, F.lit(0)).alias("doc"), F.xxhash64(doc.isNull(), text).alias("k"), text.alias("text"), doc.alias("doc_id"))
     key = ["doc", "k"]
-    gone, look = _settled(stored(rows.select(*key, "text").mapInArrow(_sampled(length, gram), RANKS), "ranks"), "runs")
+    gone, look = _settled(stored(rows.select(*key, "text").mapInArrow(_sampled(length, gram, secret), RANKS), "ranks"), "runs")
     look = look.groupBy(*key).agg(F.collect_list(F.struct("first", "last", "at", "open")).alias("spans"))
     where = rows.select(*key, "text").hint("merge").join(look, key).select(*key, "text", "spans")
     segments = stored(where.mapInArrow(_segments(length), SEGMENTS).dropDuplicates([*key, "first", "last"]), "segments")  # equal rows have equal keys
-    more, look = _settled(stored(segments.mapInArrow(_blocks(length, min(STEP, length - gram)), RANKS), "blocks"), "block_runs")
+    more, look = _settled(stored(segments.mapInArrow(_blocks(length, min(STEP, length - gram), secret), RANKS), "blocks"), "block_runs")
     look = look.groupBy(*key, F.col("at").alias("first")).agg(F.collect_list(F.struct(F.col("first"), "last", "open")).alias("spans"))
-    late = segments.join(look, [*key, "first"]).select(*key, "first", "bytes", "spans").mapInArrow(_positions(length), RANKS)
+    late = segments.join(look, [*key, "first"]).select(*key, "first", "bytes", "spans").mapInArrow(_positions(length, secret), RANKS)
     last, _ = _settled(stored(late, "positions"), "position_runs")
     gone = gone.unionByName(more).unionByName(last)
     spans = gone.distinct().groupBy(*key).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
