@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset a temporary folder in local mode, else an error."""
@@ -21,7 +24,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write a table into the shared folder and read it back: iterations stay short plans and survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/partflow-{name}-{uuid.uuid4().hex}"
+    """Write a table into the shared folder and read it back: iterations stay short plans and survive lost executors. It goes with
+    `release`, or when the driver's Python ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/partflow-{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(_clean)
+    _MADE[path] = spark
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that `cut` wrote and nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        path = getattr(df, "cut_path", None)
+        spark = _MADE.pop(path, None) if path else None
+        if spark is not None:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _clean() -> None:
+    for path, spark in list(_MADE.items()):
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is over: the files stay where the cluster's own clean-up finds them
+            return

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partflow.functions.storage import cut
+from partflow.functions.storage import cut, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     stars = edges.filter("u <> v").distinct()
     mark = None
     for _ in range(rounds):
-        stars = cut(_star(_star(stars, True), False), "stars")
+        old, stars = stars, cut(_star(_star(stars, True), False), "stars")
+        release(old)
         new = _mark(stars)
         if new == mark:
             break
