@@ -65,6 +65,17 @@ def words_in(col: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, row, opens
 
 
+def packed(columns: np.ndarray) -> bytes:
+    """Rows of 32-bit numbers (one row a column of a table), bytes of one weight side by side, in zstd."""
+    raw = np.ascontiguousarray(columns, np.int32).view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, rows: int) -> np.ndarray:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(rows, 4, -1).transpose(0, 2, 1)).view(np.int32).reshape(rows, -1)
+
+
 CHUNKS = "chunk string, line binary, langs array<string>, of binary, texts array<string>"
 
 
@@ -86,7 +97,7 @@ def _chunks(batches):
             texts = coded.dictionary.take(pa.array(names % len(coded.dictionary)))
             of = np.column_stack([names // len(coded.dictionary), n]).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f"{part}-{k}"]), pa.array([line.tobytes()], pa.binary()), pa.array([lang.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([of.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)],
+                [pa.array([f"{part}-{k}"]), pa.array([packed(line[None])], pa.binary()), pa.array([lang.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([of.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)],
                 names=["chunk", "line", "langs", "of", "texts"],
             )
             k += 1
@@ -109,30 +120,35 @@ def _names(batches):
 
 
 def project(line: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pointers of a chunk, a row (id, next, next, next) each with 0 behind a piece's end or an infrequent word, and how often each occurs.
+    """Distinct pointers of a chunk, a column (id, next, next, next) each with 0 behind a piece's end or an infrequent word, and how often each occurs.
 
     ids: frequent word's id by number, 0 for others."""
     at = ids[np.abs(line) - 1]
     opens = line < 0
-    out = np.zeros((WORDS, len(at)), np.int64)
+    out = np.zeros((WORDS, len(at)), np.int32)
     out[0] = at
     goes = at > 0
     for k in range(1, WORDS):
         goes = goes[:-1] & (at[k:] > 0) & ~opens[k:]
         out[k, : len(goes)] = np.where(goes, at[k:], 0)
     out = out[:, out[1] > 0]
-    high, low = (out[0] << 32) | out[1], (out[2] << 32) | out[3]
-    order = np.lexsort((low, high))
-    high, low = high[order], low[order]
-    new = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])) if len(high) else np.zeros(0, bool)
+    order = walk_order(out)
+    out = out[:, order]
+    new = np.append(True, (out[:, 1:] != out[:, :-1]).any(0)) if len(order) else np.zeros(0, bool)
     head = np.flatnonzero(new)
-    return np.column_stack([high[head], low[head]]), np.diff(np.append(head, len(high)))
+    return out[:, head], np.diff(np.append(head, len(order)))
+
+
+def walk_order(words: np.ndarray) -> np.ndarray:
+    """Pointers in the order of their words."""
+    w = words.astype(np.int64)
+    return np.lexsort(((w[2] << 32) | w[3], (w[0] << 32) | w[1]))
 
 
 def bucket_of(pointers: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of each pointer by its words up to the first that isn't hot."""
-    name, goes = np.zeros(len(pointers), np.uint64), np.ones(len(pointers), bool)
-    for word in (pointers[:, 0] >> 32, pointers[:, 0] & 0xFFFFFFFF, pointers[:, 1] >> 32, pointers[:, 1] & 0xFFFFFFFF):
+    name, goes = np.zeros(pointers.shape[1], np.uint64), np.ones(pointers.shape[1], bool)
+    for word in pointers:
         mixed = (name ^ word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
@@ -150,16 +166,16 @@ def _pointers(hot: np.ndarray, buckets: int):
             for line, known in zip(batch.column(0), batch.column(1), strict=True):
                 if not known.is_valid:
                     continue
-                line = np.frombuffer(line.as_py(), np.int32)
+                line = unpacked(line.as_py(), 1)[0]
                 ids = np.zeros(int(np.abs(line).max()), np.int64)
                 ids[np.asarray(known.values.field("code"))] = np.asarray(known.values.field("id"))
                 pointers, n = project(line, ids)
                 bucket = bucket_of(pointers, hot, buckets)
                 order = np.argsort(bucket, kind="stable")
-                bucket, rows = bucket[order], np.column_stack([pointers, n])[order]
+                bucket, rows = bucket[order], np.vstack([pointers, n])[:, order]
                 head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
                 for i, j in zip(head.tolist(), [*head[1:].tolist(), len(bucket)], strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i])], pa.int32()), pa.array([rows[i:j].tobytes()], pa.binary())], names=["bucket", "pointers"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i])], pa.int32()), pa.array([packed(rows[:, i:j])], pa.binary())], names=["bucket", "pointers"])
 
     return run
 
@@ -167,9 +183,8 @@ def _pointers(hot: np.ndarray, buckets: int):
 def grow(pointers: np.ndarray, n: np.ndarray, hot: np.ndarray, least: int = MIN):
     """(prefix of 2 to 4 words padded by 0, support) of pointers, in the order of a depth-first walk. A projection is a run of the sorted
     pointers; runs with less than `least` support aren't entered, but for prefixes of hot words, which other buckets may hold too."""
-    order = np.lexsort((pointers[:, 1], pointers[:, 0]))
-    words = np.stack([pointers[order, 0] >> 32, pointers[order, 0] & 0xFFFFFFFF, pointers[order, 1] >> 32, pointers[order, 1] & 0xFFFFFFFF])
-    n = n[order]
+    order = walk_order(pointers)
+    words, n = pointers[:, order], n[order]
     shared = np.isin(words, hot)
     live = np.ones(len(n), bool)
     change = np.append(True, words[0, 1:] != words[0, :-1]) if len(n) else np.zeros(0, bool)
@@ -198,8 +213,8 @@ def _grown(hot: np.ndarray, least: int):
     """A partition has its buckets one after another; each is grown when it is whole."""
 
     def out(parts):
-        rows = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 3)
-        found = grow(rows[:, :2], rows[:, 2], hot, least)
+        rows = np.concatenate([unpacked(p, WORDS + 1) for p in parts], axis=1)
+        found = grow(rows[:WORDS], rows[WORDS].astype(np.int64), hot, least)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(5)], names=["w1", "w2", "w3", "w4", "f"])
 
     def run(batches):
@@ -237,15 +252,17 @@ def mine(docs: DataFrame, least: int = MIN) -> tuple[DataFrame, DataFrame, DataF
     ship(spark)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     chunks = stored(rows.filter("text is not null").mapInArrow(_chunks, CHUNKS), "chunks")
-    names = stored(chunks.select("chunk", "langs", "of", "texts").mapInArrow(_names, NAMES), "names")
+    names = chunks.select("chunk", "langs", "of", "texts").mapInArrow(_names, NAMES)  # made twice rather than stored beside the chunks
     counts = stored(names.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
     totals = stored(counts.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     words = stored(_number(counts.filter(F.col("f") >= least)), "frequent")
+    if words.count() >= 1 << 31:
+        raise OverflowError("more frequent words than 32-bit ids")
     known = names.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("ids"))
     total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = np.array([r["id"] for r in words.filter(F.col("f") * HOT >= total).select("id").collect()], np.int64)  # HOT at most
     buckets = max(shuffle_partitions(spark), -(-total // BUCKET))
-    pointers = stored(chunks.select("chunk", "line").join(known, "chunk").select("line", "ids").mapInArrow(_pointers(hot, buckets), "bucket int, pointers binary"), "pointers")
+    pointers = chunks.select("chunk", "line").join(known, "chunk").select("line", "ids").mapInArrow(_pointers(hot, buckets), "bucket int, pointers binary")
     parts = max(shuffle_partitions(spark), -(-buckets // PARTITION))
     dealt = pointers.repartition(parts, "bucket").sortWithinPartitions("bucket")
     phrases = dealt.mapInArrow(_grown(hot, least), PHRASES).groupBy("w1", "w2", "w3", "w4").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)

@@ -63,12 +63,13 @@ def test_random_texts(spark, monkeypatch, seed, hot, chunk):
 
 
 def test_growth_is_depth_first():
-    pointers = np.array([[1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 5, 0], [1, 3, 0, 0], [2, 3, 4, 0]])
-    packed = np.column_stack([(pointers[:, 0] << 32) | pointers[:, 1], (pointers[:, 2] << 32) | pointers[:, 3]])
+    pointers = np.array([[1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 5, 0], [1, 3, 0, 0], [2, 3, 4, 0]]).T
     none = np.zeros(0, np.int64)
-    got = ph.grow(packed, np.array([1, 1, 5, 1, 2]), none, 2).tolist()
+    got = ph.grow(pointers, np.array([1, 1, 5, 1, 2]), none, 2).tolist()
     assert got == [[1, 2, 0, 0, 7], [1, 2, 3, 0, 2], [1, 2, 3, 4, 2], [1, 2, 5, 0, 5], [2, 3, 0, 0, 2], [2, 3, 4, 0, 2]]
-    assert [1, 3, 0, 0, 1] in ph.grow(packed, np.array([1, 1, 5, 1, 2]), np.array([1, 3]), 2).tolist()
+    assert [1, 3, 0, 0, 1] in ph.grow(pointers, np.array([1, 1, 5, 1, 2]), np.array([1, 3]), 2).tolist()
+    rows = np.array([[5, -7, 2**31 - 1], [0, 1, 300]])
+    assert (ph.unpacked(ph.packed(rows), 2) == rows).all() and ph.unpacked(ph.packed(rows[:, :0]), 2).shape == (2, 0)
 
 
 def test_products_beyond_64_bits(spark):
