@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from partflow.functions import metrics as me
 from partflow.functions.metrics import tidy
 from partflow.operators import louvain as lo
+from partflow.operators import paths as pa
 from partflow.sources import tables as tb
 
+from . import queries_search  # noqa: F401 - its queries come first
 from .queries import CTE, NEEDS, QUERIES, SQL, node_duals, pair_duals, query, strong_edges, with_  # noqa: F401
 
 CTE["sup"] = "SELECT a.l_suppkey::BIGINT AS src, b.l_suppkey::BIGINT AS dst, count(*)::DOUBLE AS w FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_suppkey < b.l_suppkey GROUP BY 1, 2"
@@ -81,3 +83,64 @@ def _louvain_levels(s: SparkSession, d: str) -> DataFrame:
 def _louvain_dual_plan(s: SparkSession, d: str) -> DataFrame:
     """(node, community) of the nation graph under node and pair duals."""
     return lo.louvain(tb.nation_trade(s, d), tb.nation_nodes(s, d), node_duals=node_duals(s, d), pair_duals=pair_duals(s, d))[0]
+
+
+# ------------------------------------------------------------------ paths
+
+query("edge_betweenness")(lambda s, d: pa.edge_betweenness(strong_edges(s, d)).withColumn("betweenness", tidy(F.col("betweenness"), 6)))
+
+_Y = """y AS MATERIALIZED (SELECT src, dst, w FROM strong UNION ALL SELECT dst, src, w FROM strong), k AS (SELECT src AS node, count(*) AS k, sum(w) AS a FROM y GROUP BY 1),
+len AS MATERIALIZED (SELECT s.src, s.dst, round((least(x.k, z.k) - 1) / ((SELECT count(*) FROM y p JOIN y q ON p.dst = q.dst WHERE p.src = s.src AND q.src = s.dst) + 1)::DOUBLE, 9) AS length
+  FROM strong s JOIN k x ON x.node = s.src JOIN k z ON z.node = s.dst),
+around AS (SELECT node, node AS v FROM k UNION SELECT src, dst FROM y),
+dens AS MATERIALIZED (SELECT k.node, round((SELECT sum(y.w) FROM y JOIN around p ON p.v = y.src AND p.node = k.node JOIN around q ON q.v = y.dst AND q.node = k.node)
+  / (SELECT sum(z.a) FROM around p JOIN k z ON z.node = p.v WHERE p.node = k.node) * k.a, 9) AS density FROM k),
+d0 AS (SELECT src AS u, dst AS v, length AS d FROM len UNION ALL SELECT dst, src, length FROM len UNION ALL SELECT node, node, 0 FROM k)"""
+for _k in range(1, 6):  # doubling: paths of up to 32 edges
+    _Y += f",\nd{_k} AS MATERIALIZED (SELECT p.u, q.v, round(min(p.d + q.d), 9) AS d FROM d{_k - 1} p JOIN d{_k - 1} q ON p.v = q.u GROUP BY 1, 2)"
+_SEEDS = _Y + """,
+near AS (SELECT u, list(v) AS vs FROM d5 WHERE d <= 2.0 AND u <> v GROUP BY 1),
+ord AS (SELECT row_number() OVER (ORDER BY density DESC, dens.node) AS pos, dens.node, coalesce(vs, []) AS vs FROM dens LEFT JOIN near ON u = dens.node),
+walk AS (SELECT 0::BIGINT AS pos, []::BIGINT[] AS seeds UNION ALL SELECT o.pos, CASE WHEN list_has_any(seeds, o.vs) THEN seeds ELSE list_append(seeds, o.node) END FROM walk w JOIN ord o ON o.pos = w.pos + 1),
+chosen AS (SELECT unnest(seeds) AS node FROM (SELECT seeds FROM walk ORDER BY pos DESC LIMIT 1))"""
+RADIUS = 2.0
+
+
+def _recursive(needs: str, body: str) -> str:
+    return with_(needs, "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ", " + body
+
+
+SQL["edge_lengths"] = _recursive("strong", _Y + "\nSELECT src, dst, length FROM len")
+query("edge_lengths")(lambda s, d: pa.edge_lengths(strong_edges(s, d)))
+SQL["local_density"] = _recursive("strong", _Y + "\nSELECT node, density FROM dens")
+query("local_density")(lambda s, d: pa.local_density(strong_edges(s, d)))
+SQL["voronoi_seeds"] = _recursive("strong", _SEEDS + "\nSELECT node FROM chosen")
+query("voronoi_seeds")(lambda s, d: pa.spread_seeds(pa.local_density(strong_edges(s, d)).select("node", F.col("density").alias("rank")), pa.balls(pa.edge_lengths(strong_edges(s, d)), RADIUS)))
+SQL["voronoi"] = _recursive("strong nodes", _SEEDS + """
+SELECT n.node, coalesce((SELECT c.node FROM chosen c JOIN d5 ON u = c.node AND v = n.node ORDER BY d, c.node LIMIT 1), n.node) AS community FROM nodes n""")
+query("voronoi")(lambda s, d: pa.voronoi(strong_edges(s, d), tb.nation_nodes(s, d), RADIUS))
+SQL["triangles"] = with_("strong", "SELECT a.src AS u, a.dst AS v, b.dst AS z FROM strong a JOIN strong b ON a.dst = b.src JOIN strong c ON c.src = a.src AND c.dst = b.dst")
+query("triangles")(lambda s, d: pa.triangles(strong_edges(s, d)).select(F.sort_array(F.array("a", "b", "c")).alias("x")).select(F.col("x")[0].alias("u"), F.col("x")[1].alias("v"), F.col("x")[2].alias("z")))
+SQL["walktrap_merges"] = with_("strong", "").rstrip() + """, y AS MATERIALIZED (SELECT src, dst, w FROM strong UNION ALL SELECT dst, src, w FROM strong), k AS (SELECT src AS node, sum(w) AS a FROM y GROUP BY 1),
+step AS MATERIALIZED (SELECT src, dst, w / a AS p FROM y JOIN k ON node = src),
+two AS MATERIALIZED (SELECT x.src, z.dst, sum(x.p * z.p) AS p FROM step x JOIN step z ON x.dst = z.src GROUP BY 1, 2),
+four AS MATERIALIZED (SELECT x.src, z.dst, sum(x.p * z.p) AS p FROM two x JOIN two z ON x.dst = z.src GROUP BY 1, 2),
+row AS MATERIALIZED (SELECT i.node AS c, j.node AS v, coalesce(p, 0) / sqrt(j.a) AS x FROM k i CROSS JOIN k j LEFT JOIN four ON src = i.node AND dst = j.node),
+ward AS MATERIALIZED (SELECT s.src AS u, s.dst AS v, round(0.5 * sum((p.x - q.x) * (p.x - q.x)), 9) AS d FROM strong s JOIN row p ON p.c = s.src JOIN row q ON q.c = s.dst AND q.v = p.v GROUP BY 1, 2),
+least AS (SELECT u, v FROM (SELECT u, v, d, u AS c FROM ward UNION ALL SELECT u, v, d, v FROM ward) QUALIFY row_number() OVER (PARTITION BY c ORDER BY d, u, v) = 1)
+SELECT u, v FROM least GROUP BY 1, 2 HAVING count(*) = 2"""
+
+
+@query("walktrap_merges")
+def _walktrap_merges(s: SparkSession, d: str) -> DataFrame:
+    """The first merges of walktrap on the strong nation graph: (u, v) with v joined to u."""
+    first = pa.walktrap(strong_edges(s, d), tb.nation_nodes(s, d), rounds=1)[1][0]
+    return first.filter("node <> community").select(F.col("community").alias("u"), F.col("node").alias("v"))
+
+
+@query("walktrap")
+def _walktrap(s: SparkSession, d: str) -> DataFrame:
+    """(node, community): of the rounds of walktrap the partition of highest modularity."""
+    e = strong_edges(s, d)
+    _, levels = pa.walktrap(e, tb.nation_nodes(s, d))
+    return max(levels, key=lambda x: me.modularity(e, x).first()[0])

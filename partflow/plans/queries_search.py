@@ -353,13 +353,6 @@ r AS (SELECT x, share, unnest(range(1, len(x))) AS i FROM q)
 SELECT least(x[i], x[i + 1]) AS src, greatest(x[i], x[i + 1]) AS dst, round(sum(share), 6) + 0.0 AS betweenness FROM r GROUP BY 1, 2"""
 
 
-@query("edge_betweenness")
-def _betweenness(s, d):
-    g = Graph(strong_edges(s, d), tb.nation_nodes(s, d))
-    rows = [(int(g.nodes[i]), int(g.nodes[j]), round(float(x), 6) + 0.0) for (i, j), x in ke.edge_betweenness(g.a).items()]
-    return s.createDataFrame(rows, "src bigint, dst bigint, betweenness double")
-
-
 _LPA = "SELECT node, label FROM (SELECT src AS node, {0}.label, row_number() OVER (PARTITION BY src ORDER BY sum(w) DESC, {0}.label) AS r FROM y JOIN {0} ON {0}.node = dst GROUP BY 1, 2) WHERE r = 1"
 SQL["lpa_round3"] = with_("strong", "").rstrip() + ", y AS (SELECT src, dst, w FROM strong UNION ALL SELECT dst, src, w FROM strong), l0 AS (SELECT DISTINCT src AS node, src AS label FROM y), " + f"l1 AS ({_LPA.format('l0')}), l2 AS ({_LPA.format('l1')}), l3 AS ({_LPA.format('l2')}) SELECT node, label FROM l3"
 query("lpa_round3")(lambda s, d: cm.label_propagation(strong_edges(s, d), 3))
@@ -393,8 +386,6 @@ def _infomap(s, d):
     return s.createDataFrame([(round(float(min(found)), 6) + 0.0,)], "codelength double")
 
 
-for _n in ("walktrap", "voronoi"):
-    query(_n)(lambda s, d, n=_n: wf.detect(s, strong_edges(s, d), n, nodes=tb.nation_nodes(s, d)))
 query("upper_triangle", "sym deg", "SELECT src, dst, round(w / a, 12) + 0.0 AS w FROM sym JOIN deg ON src = node WHERE src < dst")(
     lambda s, d: gr.upper_triangle(cm.random_walk(tb.nation_trade(s, d), 1).select(F.col("u").alias("src"), F.col("v").alias("dst"), tidy(F.col("p"), 12).alias("w")))
 )

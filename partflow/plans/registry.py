@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_plans, queries_search  # noqa: F401 - both add to the tables of queries
+from . import queries_plans  # adds to the tables of queries and queries_search
 
 QUERIES: dict = dict(queries_plans.QUERIES)
 SQL: dict = dict(queries_plans.SQL)
