@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from partflow.functions import metrics as me
 from partflow.functions.metrics import tidy
+from partflow.functions.storage import cut
+from partflow.operators import ensemble as en
 from partflow.operators import louvain as lo
 from partflow.operators import paths as pa
 from partflow.sources import tables as tb
 
 from . import queries_search  # noqa: F401 - its queries come first
-from .queries import CTE, NEEDS, QUERIES, SQL, node_duals, pair_duals, query, strong_edges, with_  # noqa: F401
+from .queries import CTE, QUERIES, SQL, node_duals, pair_duals, pool, query, strong_edges, with_  # noqa: F401
 
 CTE["sup"] = "SELECT a.l_suppkey::BIGINT AS src, b.l_suppkey::BIGINT AS dst, count(*)::DOUBLE AS w FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_suppkey < b.l_suppkey GROUP BY 1, 2"
 CTE["supnodes"] = "SELECT s_suppkey::BIGINT AS node FROM supplier"
@@ -141,6 +143,53 @@ def _walktrap_merges(s: SparkSession, d: str) -> DataFrame:
 @query("walktrap")
 def _walktrap(s: SparkSession, d: str) -> DataFrame:
     """(node, community): of the rounds of walktrap the partition of highest modularity."""
-    e = strong_edges(s, d)
+    e = cut(strong_edges(s, d), "strong")
     _, levels = pa.walktrap(e, tb.nation_nodes(s, d))
     return max(levels, key=lambda x: me.modularity(e, x).first()[0])
+
+
+# ------------------------------------------------------------------ ensembles
+
+
+def _ensemble(s: SparkSession, d: str) -> DataFrame:
+    e = cut(strong_edges(s, d), "strong")
+    return en.memberships(e.withColumn("w", F.col("w") / 100), tb.nation_nodes(s, d).select("node"), (3, 5), (1, 2))
+
+
+@query("ensemble_members")
+def _ensemble_members(s: SparkSession, d: str) -> DataFrame:
+    """(run, method, k, seed, node, community) of clusterings of the nation graph."""
+    return _ensemble(s, d)
+
+
+@query("ensemble_coassociation")
+def _ensemble_coassociation(s: SparkSession, d: str) -> DataFrame:
+    """(i, j, share) of the trading pairs: how often the ensemble puts both into one cluster."""
+    return en.pair_shares(_ensemble(s, d), tb.nation_trade(s, d).select(F.col("src").alias("u"), F.col("dst").alias("v"))).withColumn("share", tidy(F.col("share")))
+
+
+MOST = 4
+_WEIGHTED = "SELECT part_id, node, community, CASE part_id WHEN 1 THEN 0.6 WHEN 2 THEN 0.3 ELSE 0.1 END::DOUBLE AS weight FROM pool"
+SQL["fractional_blocks"] = _recursive("pool strong mem", f"""
+wp AS ({_WEIGHTED}),
+z AS (SELECT x.node AS i, y.node AS j, CASE WHEN x.node = y.node THEN 1 ELSE round_even(round(sum(x.weight), 12), 0) END AS z FROM wp x JOIN wp y USING (part_id, community) GROUP BY 1, 2),
+rows AS (SELECT i AS node, string_agg(j || ':' || z, ',' ORDER BY j) AS row FROM z WHERE z <> 0 GROUP BY 1),
+ids AS (SELECT node, row, 1 + node % 3 AS size, row_number() OVER (ORDER BY node) AS pos FROM rows),
+apart AS (SELECT src AS u, dst AS v FROM strong UNION SELECT dst, src FROM strong),
+conf AS (SELECT a.node, a.pos, a.row, a.size, list(b.pos) FILTER (b.pos IS NOT NULL) AS before FROM ids a LEFT JOIN (SELECT b.pos, b.row, u, v FROM ids b JOIN apart ON u = b.node) b ON b.v = a.node AND b.row = a.row AND b.pos < a.pos GROUP BY 1, 2, 3, 4),
+paint AS (SELECT 0::BIGINT AS pos, []::BIGINT[] AS colors UNION ALL
+  SELECT c.pos, list_append(colors, list_min([k FOR k IN range(0, 30) IF NOT list_contains([colors[p] FOR p IN coalesce(before, [])], k)])) FROM paint r JOIN conf c ON c.pos = r.pos + 1),
+shade AS (SELECT node, row, size, (SELECT colors FROM paint ORDER BY pos DESC LIMIT 1)[c.pos] AS color FROM conf c),
+turn AS (SELECT *, row_number() OVER (PARTITION BY row, color ORDER BY size DESC, node) AS place FROM shade),
+fill AS (SELECT row, color, place, node, 0 AS part, size AS held FROM turn WHERE place = 1 UNION ALL
+  SELECT t.row, t.color, t.place, t.node, CASE WHEN f.held + t.size > {MOST} THEN f.part + 1 ELSE f.part END, CASE WHEN f.held + t.size > {MOST} THEN t.size ELSE f.held + t.size END
+  FROM fill f JOIN turn t ON t.row = f.row AND t.color = f.color AND t.place = f.place + 1)
+SELECT node, min(node) OVER (PARTITION BY row, color, part) AS block FROM fill""")
+
+
+@query("fractional_blocks")
+def _fractional_blocks(s: SparkSession, d: str) -> DataFrame:
+    """(node, block): nations with identical rounded rows of a weighted pool, trading pairs apart, MOST in size at most."""
+    weights = s.createDataFrame([(1, 0.6), (2, 0.3), (3, 0.1)], "part_id int, weight double")
+    sizes = tb.nation_nodes(s, d).select("node", (1 + F.col("node") % 3).alias("size"))
+    return en.blocks(pool(s, d), weights, sizes, strong_edges(s, d).select(F.col("src").alias("u"), F.col("dst").alias("v")), MOST, 0)

@@ -6,7 +6,9 @@ import random
 import pytest
 
 from partflow.functions import metrics as me
+from partflow.operators import ensemble as en
 from partflow.operators import louvain as lo
+from partflow.operators import paths as pa
 from partflow.plans import registry
 from tests.helpers import SF
 
@@ -80,3 +82,91 @@ def test_rounds_never_lose_and_gains_are_exact(spark, seed):
 def test_levels_of_the_supplier_graph(spark):
     values = [r.modularity for r in registry.QUERIES["louvain_levels"](spark, SF).orderBy("level").collect()]
     assert values and values == sorted(values)
+
+
+# ------------------------------------------------------------------ paths
+
+
+def random_graph(seed, n=16, p=0.22):
+    x = random.Random(seed)
+    return [(u, v, x.randrange(1, 6)) for u, v in itertools.combinations(range(n), 2) if x.random() < p]
+
+
+@pytest.mark.parametrize("rows", [10, 10_000])
+def test_betweenness_in_batches(spark, rows):
+    g = random_graph(3)
+    near = {i: {v for u, w, _ in g for u, v in ((u, w), (w, u)) if u == i} for i in range(16)}
+    want = dict.fromkeys(((u, v) for u, v, _ in g), 0.0)
+    for s in range(16):
+        depth, front = {s: [[s]]}, {s}
+        while front:
+            new = {}
+            for i in front:
+                for j in near[i]:
+                    if j not in depth:
+                        new.setdefault(j, []).extend([*path, j] for path in depth[i])
+            depth |= new
+            front = set(new)
+        for t, paths in depth.items():
+            for path in paths if s < t else ():
+                for a, b in zip(path, path[1:]):
+                    want[min(a, b), max(a, b)] += 1 / len(paths)
+    got = {(r.src, r.dst): r.betweenness for r in pa.edge_betweenness(graph(spark, g), rows).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_betweenness_of_nothing(spark):
+    assert pa.edge_betweenness(graph(spark, [])).count() == 0
+    assert [tuple(r) for r in pa.best_cut(graph(spark, cliques(4, 4)[0])).collect()] == [(3, 4, 16.0)]
+
+
+def test_nearest_seed_and_unreached_nodes(spark):
+    lengths = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (3, 4, 0.5), (0, 4, 9.0), (6, 7, 1.0)], "src bigint, dst bigint, length double")
+    got = {r.node: (r.seed, r.dist) for r in pa.nearest_seed(lengths, spark.createDataFrame([(0,), (4,)], "node bigint")).collect()}
+    assert got == {0: (0, 0.0), 1: (0, 1.0), 2: (4, 1.5), 3: (4, 0.5), 4: (4, 0.0)}
+    tie = pa.nearest_seed(lengths, spark.createDataFrame([(1,), (3,)], "node bigint")).filter("node = 2").first()
+    assert (tie.seed, tie.dist) == (1, 1.0)
+
+
+def test_voronoi_and_walktrap_find_cliques(spark):
+    rows, n = cliques(5, 4, 6)
+    want = [[*range(5)], [*range(5, 9)], [*range(9, 15)]]
+    got = labels_of(pa.voronoi(graph(spark, rows), nodes(spark, n), 1.0))
+    assert sorted(sorted(k for k in got if got[k] == c) for c in set(got.values())) == want
+    _, levels = pa.walktrap(graph(spark, rows), nodes(spark, n))
+    assert any(sorted(sorted(k for k, c in x.items() if c == d) for d in set(x.values())) == want for x in map(labels_of, levels))
+
+
+# ------------------------------------------------------------------ ensembles
+
+
+def test_shares_equal_brute_force_over_the_memberships(spark):
+    rows, n = cliques(6, 6, 6)
+    g = graph(spark, rows)
+    members = en.memberships(g, nodes(spark, n), (1, 3), (1, 2))
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.run, {})[r.node] = r.community
+    assert len(of) == 6 and all(len(x) == n and len(set(x.values())) <= 3 for x in of.values())
+    pairs = spark.createDataFrame([(5, 2), (2, 5), (0, 17), (3, 3)], "u bigint, v bigint")
+    got = {(r.i, r.j): r.share for r in en.pair_shares(members, pairs).collect()}
+    assert got == {(i, j): sum(x[i] == x[j] for x in of.values()) / 6 for i, j in ((2, 5), (0, 17))}
+    with pytest.raises(ValueError, match="no clustering method"):
+        en.memberships(g, nodes(spark, n), (3,), (1,), ("other",))
+
+
+def test_first_fit_and_filling(spark):
+    b = spark.createDataFrame([(k, "x") for k in range(6)] + [(9, "y")], "node bigint, bucket string")
+    cannot = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 4), (5, 9), (4, 1)], "u bigint, v bigint")
+    assert {r.node: r.color for r in en.first_fit(b, cannot).collect()} == {0: 0, 1: 1, 2: 2, 3: 0, 4: 2, 5: 0, 9: 0}
+    x = random.Random(1)
+    for most in (3, 7, 100):
+        rows = [(k, x.randrange(1, 6), x.choice("ab")) for k in range(80)]
+        want, state = {}, {}
+        for k, s, g in sorted(rows, key=lambda r: (-r[1], r[0])):
+            part, held = state.get(g, (0, 0))
+            if held and held + s > most:
+                part, held = part + 1, 0
+            want[k], state[g] = part, (part, held + s)
+        got = en.fill_up(spark.createDataFrame(rows, "node bigint, size bigint, g string"), ["g"], most, slice_=7)
+        assert {r.node: r.part for r in got.collect()} == want
