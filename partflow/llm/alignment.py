@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices, stored, table
+from .common import packed, ship, slices, stored, table, unpacked
 from .token_files import tokenizer_path
 from .word_bpe import byte_letters, spread
 
@@ -35,7 +35,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CHUNK = 2_000_000  #: bytes of text in a chunk, about
 ROOM = 80 << 20  #: bytes of segments, tokens and links that a worker remembers
-LEARN = 5_000  #: segments tokenised at once
+LEARN = 2_000  #: segments tokenised at once
 SALTS = 8
 SPACE = " "
 
@@ -56,6 +56,7 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", SPACE).encode() for i, p in enumerate(pieces)]
         self.a_width, self.b_width = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_opens, self.b_opens = (np.array([x[:1] == b" " for x in y]) for y in (self.a_bytes, self.b_bytes))
         self._clear()
 
     def _clear(self) -> None:
@@ -66,20 +67,33 @@ class Aligner:
         self.n = [np.zeros((0, 4), np.int64)]  # A tokens, B tokens, groups; bad segments have -1 in the last
         self.held, self.n_links = 0, 0
 
-    def _tokens(self, segments: list[str]):
-        """(ids, tokens of each) of both, and which segments both spell as they are."""
+    def _tokens(self, segments: list[str], joined: bool) -> list[tuple[list, list]]:
+        """Ids of both for each segment; None where their bytes aren't the segment behind its space. Joined segments hold no space and are
+        tokenised in one line each, which is parted where ids begin with a space; a line that doesn't come out is halved."""
+        if joined and len(segments) > 1:
+            line = SPACE.join(segments)
+            a = np.array(self.a.encode_batch_fast([SPACE + line], add_special_tokens=False)[0].ids)
+            b = np.array(self.b.encode(line))
+            at_a, at_b = np.flatnonzero(self.a_opens[a]), np.flatnonzero(self.b_opens[b])
+            if len(at_a) == len(at_b) == len(segments) and self._spelt(a.tolist(), b.tolist(), line):
+                return [np.split(a, at_a[1:]), np.split(b, at_b[1:])]
+            half = len(segments) // 2
+            return [x + y for x, y in zip(self._tokens(segments[:half], True), self._tokens(segments[half:], True), strict=True)]
         a = [e.ids for e in self.a.encode_batch_fast([SPACE + s for s in segments], add_special_tokens=False)]  # an encoding is much larger than its ids
         b = self.b.encode(segments, num_threads=1)
-        whole = [(SPACE + s).encode() for s in segments]
-        right = [b"".join(map(self.a_bytes.__getitem__, x)) == t == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, t in zip(a, b, whole, strict=True)]
-        return a, b, np.array(right, bool)
+        right = [self._spelt(x, y, s) for x, y, s in zip(a, b, segments, strict=True)]
+        return [[np.array(x, np.int64) if r else None for x, r in zip(y, right, strict=True)] for y in (a, b)]
 
-    def _learn(self, new: list[str]) -> None:
-        a, b, right = self._tokens(new)
+    def _spelt(self, a: list[int], b: list[int], text: str) -> bool:
+        return b"".join(map(self.a_bytes.__getitem__, a)) == (SPACE + text).encode() == b"".join(map(self.b_bytes.__getitem__, b))
+
+    def _learn(self, new: list[str], joined: bool = False) -> None:
+        a, b = self._tokens(new, joined)
+        right = np.array([x is not None for x in a])
         good = np.flatnonzero(right)
         a, b = [a[k] for k in good], [b[k] for k in good]
         n_a, n_b = (np.array(list(map(len, x)), np.int64) for x in (a, b))
-        a, b = (np.array([i for x in y for i in x], np.int64) for y in (a, b))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (a, b))
         groups, begin, link, n_groups, n_links = align(a, b, n_a, n_b, self.a_width[a], self.b_width[b])
         counts = np.zeros((len(new), 4), np.int64)
         counts[:, 3] = ~right
@@ -118,7 +132,10 @@ class Aligner:
         rows = np.flatnonzero(whole)
         texts = [col[k].as_py() for k in rows.tolist()]
         named = dict.fromkeys(names)
-        new = [s for s in [*named, *dict.fromkeys(t for t in texts if t and t not in named)] if s not in self.index]
+        new = [s for s in named if s not in self.index]
+        for k in range(0, len(new), LEARN):
+            self._learn(new[k : k + LEARN], True)
+        new = [t for t in dict.fromkeys(texts) if t and t not in self.index]
         for k in range(0, len(new), LEARN):
             self._learn(new[k : k + LEARN])
         table_of = np.full(len(coded.dictionary), -1, np.int64)
@@ -213,7 +230,7 @@ def _aligned(a: str, b: str):
                 known = np.asarray(pc.fill_null(ids, 0)).astype(np.int64)
                 rows = np.column_stack([known, nulls, per]) if len(per) else np.zeros((0, 6), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{part}-{k}"]), _one(rows), pa.array([hashes], pa.list_(pa.string())), _one(edge.astype(np.int32)), _one(mine.astype(np.int32)), _one(spans.astype(np.int32)), _one(code.astype(np.int32)), _one(pairs), _one(n)],
+                    [pa.array([f"{part}-{k}"]), _one(rows.tobytes()), pa.array([hashes], pa.list_(pa.string())), *(_one(packed(x[None])) for x in (edge, mine, spans, code)), _one(pairs.tobytes()), _one(n.tobytes())],
                     names=["chunk", "docs", "hashes", "edges", "segments", "spans", "codes", "pairs", "times"],
                 )
                 k += 1
@@ -221,8 +238,8 @@ def _aligned(a: str, b: str):
     return run
 
 
-def _one(x: np.ndarray) -> pa.Array:
-    return pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
+def _one(raw: bytes) -> pa.Array:
+    return pa.array([raw], pa.binary())
 
 
 PAIRS = "chunk string, code int, a int, b int, n bigint"
@@ -249,7 +266,7 @@ def _scored(batches):
         cols = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
         for r in range(batch.num_rows):
             rows = np.frombuffer(cols["docs"][r].as_py(), np.int64).reshape(-1, 6)
-            edge, mine, spans, code = (np.frombuffer(cols[c][r].as_py(), np.int32).astype(np.int64) for c in ("edges", "segments", "spans", "codes"))
+            edge, mine, spans, code = (unpacked(cols[c][r].as_py(), 1)[0].astype(np.int64) for c in ("edges", "segments", "spans", "codes"))
             totals = cols["totals"][r].values if cols["totals"][r].is_valid else pa.array([], pa.struct([("code", pa.int32()), ("total", pa.int64()), ("best", pa.bool_())]))
             place = np.asarray(totals.field("code")).astype(np.int64)
             count, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
@@ -286,7 +303,7 @@ def align_texts(docs: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
     # a pair is one row a chunk; over salts, so that a pair of every chunk isn't one task's
     salt = F.pmod(F.xxhash64("chunk"), F.lit(SALTS)).cast("int").alias("salt")
     spread_totals = totals.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    known = pairs.select("chunk", "code", "a", "b", salt).join(spread_totals, ["a", "b", "salt"])
+    known = pairs.select("chunk", "code", "a", "b", salt).join(spread_totals.hint("merge"), ["a", "b", "salt"])  # grows with the corpus: not to be broadcast
     known = known.groupBy("chunk").agg(F.collect_list(F.struct("code", "total", "best")).alias("totals"))
     scored = chunks.drop("pairs", "times").join(known, "chunk", "left")
     return scored.mapInArrow(_scored, RESULT), totals

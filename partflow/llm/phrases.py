@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import flat, salted_lookup, ship, shuffle_partitions, slices, stored, table
+from .common import flat, packed, salted_lookup, ship, shuffle_partitions, slices, stored, table, unpacked
 from .word_bpe import spread
 
 MIN = 30  #: least support of a phrase
@@ -65,17 +65,6 @@ def words_in(col: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, row, opens
 
 
-def packed(columns: np.ndarray) -> bytes:
-    """Rows of 32-bit numbers (one row a column of a table), bytes of one weight side by side, in zstd."""
-    raw = np.ascontiguousarray(columns, np.int32).view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def unpacked(blob: bytes, rows: int) -> np.ndarray:
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(rows, 4, -1).transpose(0, 2, 1)).view(np.int32).reshape(rows, -1)
-
-
 CHUNKS = "chunk string, line binary, langs array<string>, of binary, texts array<string>"
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from partflow.llm import phrases as ph
+from partflow.llm.common import packed, unpacked
 from tests.helpers import SF, check
 
 DOCS = "doc_id long, text string, lang string, source string, w1 string, key string, phrase string, rank string"
@@ -69,7 +70,7 @@ def test_growth_is_depth_first():
     assert got == [[1, 2, 0, 0, 7], [1, 2, 3, 0, 2], [1, 2, 3, 4, 2], [1, 2, 5, 0, 5], [2, 3, 0, 0, 2], [2, 3, 4, 0, 2]]
     assert [1, 3, 0, 0, 1] in ph.grow(pointers, np.array([1, 1, 5, 1, 2]), np.array([1, 3]), 2).tolist()
     rows = np.array([[5, -7, 2**31 - 1], [0, 1, 300]])
-    assert (ph.unpacked(ph.packed(rows), 2) == rows).all() and ph.unpacked(ph.packed(rows[:, :0]), 2).shape == (2, 0)
+    assert (unpacked(packed(rows), 2) == rows).all() and unpacked(packed(rows[:, :0]), 2).shape == (2, 0)
 
 
 def test_products_beyond_64_bits(spark):
