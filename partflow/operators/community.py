@@ -141,6 +141,34 @@ def quantize(edges: DataFrame, top: int) -> DataFrame:
     return out
 
 
+def integer_weights(edges: DataFrame, resolution: float = 1e-7, total: int = 1 << 50) -> tuple[DataFrame, float]:
+    """(edges with integer weights, the scale they were multiplied by). Loops go, parallel edges and both directions are averaged as a
+    symmetric matrix's cells are. Weights that are whole numbers stay as they are if twice their sum is at most `total`; others are scaled so
+    that the heaviest keeps `resolution`, as far as `total` allows, and rounded half to even.
+
+    Raises for negative or undefined weights, without an edge of positive weight, where the sum would be beyond `total`, and where rounding
+    to 0 would lose more than the share `resolution` of the weight."""
+    if resolution <= 0 or total <= 0:
+        raise ValueError("resolution and total must be positive")
+    if not edges.filter("w < 0 or isnan(w) or w is null or abs(w) = double('infinity')").limit(1).isEmpty():
+        raise ValueError("weights must be finite and not negative")
+    cells = cut(edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum(F.col("w").cast("double")).alias("w")), "cells")
+    cells = cells.filter("w > 0")
+    r = cells.agg(F.max("w").alias("most"), (2 * F.sum("w")).alias("sum"), F.bool_and(F.col("w") == F.rint("w")).alias("whole")).first()
+    if r["most"] is None:
+        raise ValueError("no edge of positive weight")
+    if r["whole"] and r["sum"] <= total:
+        return cells.select("src", "dst", F.col("w").cast("long").alias("w")), 1.0
+    scale = min(1.0 / (resolution * r["most"]), total / r["sum"])
+    out = cells.select("src", "dst", F.rint(F.col("w") * scale).cast("long").alias("w"), F.col("w").alias("_w"))
+    kept = out.agg((2 * F.sum("w")).alias("sum"), F.sum(F.when(F.col("w") == 0, F.col("_w")).otherwise(0.0)).alias("lost"), F.sum("_w").alias("all")).first()
+    if kept["sum"] > total:
+        raise OverflowError("the weights' sum is beyond the total")
+    if kept["lost"] > resolution * kept["all"]:
+        raise ValueError("rounding would lose too much weight")
+    return out.select("src", "dst", "w"), scale
+
+
 def dual_adjusted(edges: DataFrame, node_duals: DataFrame, pair_duals: DataFrame) -> DataFrame:
     """Weights less m times the duals of their ends and pair."""
     d = node_duals.select("node", "value")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from partflow.functions import metrics as me
 from partflow.functions.metrics import tidy
 from partflow.functions.storage import cut
+from partflow.operators import community as cm
 from partflow.operators import ensemble as en
 from partflow.operators import louvain as lo
 from partflow.operators import paths as pa
@@ -193,3 +194,24 @@ def _fractional_blocks(s: SparkSession, d: str) -> DataFrame:
     weights = s.createDataFrame([(1, 0.6), (2, 0.3), (3, 0.1)], "part_id int, weight double")
     sizes = tb.nation_nodes(s, d).select("node", (1 + F.col("node") % 3).alias("size"))
     return en.blocks(pool(s, d), weights, sizes, strong_edges(s, d).select(F.col("src").alias("u"), F.col("dst").alias("v")), MOST, 0)
+
+
+# ------------------------------------------------------------------ integer weights
+
+query("quantize_integers", "edges", "SELECT src, dst, w::BIGINT AS w, 1.0::DOUBLE AS scale FROM edges")(lambda s, d: _integers(tb.nation_trade(s, d)))
+query("quantize_fractions", "edges", "SELECT src, dst, round_even(w / 8 * q, 0)::BIGINT AS w, q AS scale FROM edges, (SELECT 1.0::DOUBLE / (1e-7::DOUBLE * max(w / 8)) AS q FROM edges)")(
+    lambda s, d: _integers(tb.nation_trade(s, d).withColumn("w", F.col("w") / 8))
+)
+query("quantize_total", "edges", "SELECT src, dst, round_even(w * 1000 * q, 0)::BIGINT AS w, q AS scale FROM edges, (SELECT sum(w) * 1000 // 4 * 4 / (2 * sum(w * 1000)) AS q FROM edges)")(lambda s, d: _under_half(s, d))
+
+
+def _integers(edges: DataFrame, **how) -> DataFrame:
+    out, scale = cm.integer_weights(edges, **how)
+    return out.withColumn("scale", F.lit(scale))
+
+
+def _under_half(s: SparkSession, d: str) -> DataFrame:
+    """Weights beyond a total of about half of theirs are scaled down to it."""
+    e = tb.nation_trade(s, d).withColumn("w", F.col("w") * 1000)
+    total = int(e.agg(F.sum("w")).first()[0] // 4 * 4)
+    return _integers(e, resolution=1e-9, total=total)

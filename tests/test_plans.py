@@ -3,13 +3,18 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from partflow.functions import metrics as me
+from partflow.operators import community as cm
 from partflow.operators import ensemble as en
+from partflow.operators import kernels as ke
 from partflow.operators import louvain as lo
 from partflow.operators import paths as pa
 from partflow.plans import registry
+from partflow.plans import workflows as wf
+from partflow.plans.decomposition import Config, Result, decompose, repair
 from tests.helpers import SF
 
 
@@ -170,3 +175,56 @@ def test_first_fit_and_filling(spark):
             want[k], state[g] = part, (part, held + s)
         got = en.fill_up(spark.createDataFrame(rows, "node bigint, size bigint, g string"), ["g"], most, slice_=7)
         assert {r.node: r.part for r in got.collect()} == want
+
+
+# ------------------------------------------------------------------ weights, repair, projection, contraction
+
+
+def test_integer_weights(spark):
+    def of(rows, **how):
+        out, scale = cm.integer_weights(graph(spark, rows), **how)
+        return {(r.src, r.dst): r.w for r in out.collect()}, scale
+
+    assert of([(0, 1, 2), (0, 2, 5), (1, 2, 3), (1, 1, 9)]) == ({(0, 1): 2, (0, 2): 5, (1, 2): 3}, 1.0)
+    assert of([(0, 1, 1000)], total=1000)[0] == {(0, 1): 500}
+    out, scale = of([(0, 1, 0.125), (0, 2, 2.5), (1, 2, 1.75)])
+    assert out[0, 2] > out[1, 2] > out[0, 1] > 0 and scale == pytest.approx(1 / 2.5e-7)
+    for rows, message in (([(0, 1, -1)], "negative"), ([(0, 1, float("nan"))], "finite"), ([(0, 0, 4)], "positive"), ([(0, 1, 0)], "positive")):
+        with pytest.raises(ValueError, match=message):
+            of(rows)
+    with pytest.raises(ValueError, match="lose"):
+        of([(0, 1, 1e6), (0, 2, 0.3)], resolution=1e-7, total=100)
+
+
+def test_repair_begins_with_the_column(spark):
+    b = -np.ones((6, 6))
+    rules = ke.Rules(6, ((0, 1),), ((2, 3),), 2, 3)
+    kept = np.array([0, 0, 1, 0, 1, 1])
+    assert repair(b * 0, kept, rules, Config(k=2)).tolist() in (kept.tolist(), (1 - kept).tolist())
+    near = repair(b * 0, np.array([0, 0, 1, 1, 1, 1]), rules, Config(k=2))
+    assert rules.broken(near[[0, 2, 3, 4, 5]]) == 0 and near[0] == near[1] and near[2] != near[3] and near[4] == near[5]
+    assert ke.mend(b, rules, np.zeros(6, np.int64), 2) is None
+
+
+def test_an_unfinished_projection_says_so(spark, monkeypatch):
+    monkeypatch.setattr(ke, "best_grouping", lambda *a: (None, False))
+    g = graph(spark, cliques(3, 3)[0])
+    out = wf.project(spark, g, Result([], None, None, {}), Config(k=2, sizes=(3, 3)))
+    assert out.metadata["status"] == "not proved" and sorted(np.bincount(out.partition)) == [3, 3]
+    out = wf.project(spark, g, Result([], None, None, {}), Config(k=2, sizes=(4, 4)))
+    assert out.metadata["status"] == "unknown" and out.partition is None
+
+
+def test_contraction_keeps_columns_and_hooks(spark):
+    rows, n = cliques(4, 3)
+    g, seen = graph(spark, rows), []
+
+    def pricing(b, duals, rules):
+        seen.append(len(b))
+        return np.zeros(len(b), np.int64), 0.0
+
+    start = [np.array([0] * 4 + [1] * 3)]
+    out = decompose(spark, g, Config(must=((0, 1), (4, 5)), contract=True), initial=start, pricing=pricing)
+    assert seen == [5] and ke.compact(out.partition).tolist() == start[0].tolist()
+    with pytest.raises(ValueError, match="constant"):
+        decompose(spark, g, Config(must=((3, 4),), contract=True), initial=start)
