@@ -11,6 +11,7 @@ from partflow.functions.storage import cut
 from partflow.operators import community as cm
 from partflow.operators import ensemble as en
 from partflow.operators import louvain as lo
+from partflow.operators import multilevel as ml
 from partflow.operators import paths as pa
 from partflow.sources import tables as tb
 
@@ -215,3 +216,24 @@ def _under_half(s: SparkSession, d: str) -> DataFrame:
     e = tb.nation_trade(s, d).withColumn("w", F.col("w") * 1000)
     total = int(e.agg(F.sum("w")).first()[0] // 4 * 4)
     return _integers(e, resolution=1e-9, total=total)
+
+
+# ------------------------------------------------------------------ balanced parts of the supplier graph
+
+PARTS = 3
+
+
+@query("multilevel_kway", "sup supnodes", f"SELECT {PARTS}::BIGINT AS parts, count(*) AS nodes, true AS in_bounds, true AS better_than_chunks FROM supnodes")
+def _multilevel(s: SparkSession, d: str) -> DataFrame:
+    """How many parts and nodes the partition of the supplier graph has, whether every part is as even as can be, and whether it scores at least what
+    cutting the nodes' order into chunks does."""
+    e, nodes = cut(tb.supplier_orders(s, d), "sup"), suppliers(s, d)
+    n = nodes.count()
+    found = ml.balanced_kway(e, nodes, PARTS, n // PARTS, -(-n // PARTS))
+    sizes = found.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    row = sizes.agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("nodes"), ((F.min("n") >= n // PARTS) & (F.max("n") <= -(-n // PARTS))).alias("in_bounds"))
+    mine, chunks = (me.modularity(e, x).first()[0] for x in (found, cm.balanced_chunks(nodes.select("node", F.col("node").alias("pos")), PARTS)))
+    return row.withColumn("better_than_chunks", F.lit(bool(mine >= chunks)))
+
+
+query("multilevel_parts")(lambda s, d: ml.balanced_kway(tb.supplier_orders(s, d), suppliers(s, d), PARTS, 1, 1 << 30))

@@ -5,12 +5,14 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from partflow.functions import metrics as me
 from partflow.operators import community as cm
 from partflow.operators import ensemble as en
 from partflow.operators import kernels as ke
 from partflow.operators import louvain as lo
+from partflow.operators import multilevel as ml
 from partflow.operators import paths as pa
 from partflow.plans import registry
 from partflow.plans import workflows as wf
@@ -228,3 +230,46 @@ def test_contraction_keeps_columns_and_hooks(spark):
     assert seen == [5] and ke.compact(out.partition).tolist() == start[0].tolist()
     with pytest.raises(ValueError, match="constant"):
         decompose(spark, g, Config(must=((3, 4),), contract=True), initial=start)
+
+
+# ------------------------------------------------------------------ multilevel
+
+
+def test_multilevel_keeps_bounds_and_gains(spark):
+    rows, n = cliques(12, 7, 5)
+    g, ns = graph(spark, rows), nodes(spark, n)
+    got = labels_of(ml.balanced_kway(g, ns, 3, 8, 8))
+    assert sorted(list(got.values()).count(c) for c in range(3)) == [8, 8, 8]
+    assert score(rows, n, got) >= score(rows, n, {k: k // 8 for k in range(n)}) - 1e-12
+    got = labels_of(ml.balanced_kway(g, ns, 3, 5, 12))
+    assert score(rows, n, got) >= score(rows, n, {k: 0 if k < 12 else 1 if k < 19 else 2 for k in range(n)}) - 1e-12
+    with pytest.raises(ValueError, match="can't hold"):
+        ml.balanced_kway(g, ns, 3, 9, 9)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_swaps_and_bounded_moves_raise_the_score_by_their_gains(spark, seed):
+    rows, n = random_graph(seed), 16
+    state, arcs = lo.start(graph(spark, rows), nodes(spark, n))
+    arcs = arcs.cache()
+    state = state.withColumn("community", F.pmod("node", F.lit(4))).cache()
+    before = score(rows, n, labels_of(state))
+    for k in range(2):
+        after_state = ml.swap_round(state, arcs, k)
+        labels = labels_of(after_state)
+        assert sorted(list(labels.values()).count(c) for c in range(4)) == [4] * 4
+        after = score(rows, n, labels)
+        assert after > before - 1e-12 and (after > before + 1e-12 or after_state.filter("moved").isEmpty())
+        state, before = after_state, after
+    bounded = labels_of(ml.bounded_round(state, arcs, 3, 5, 0))
+    assert score(rows, n, bounded) >= before - 1e-12 and all(3 <= list(bounded.values()).count(c) <= 5 for c in range(4))
+
+
+def test_settling_moves_no_more_than_bounds_ask(spark):
+    state, arcs = lo.start(graph(spark, cliques(6, 3, 1)[0]), nodes(spark, 10))
+    state = state.withColumn("community", F.when(F.col("node") < 6, 0).when(F.col("node") < 9, 1).otherwise(2).cast("long"))
+    parts = spark.range(4).select(F.col("id").alias("community"))
+    for low, high in ((2, 3), (1, 4), (0, 10)):
+        got = labels_of(ml.settle(state, arcs, parts, low, high))
+        sizes = [list(got.values()).count(c) for c in range(4)]
+        assert all(low <= x <= high for x in sizes) and sum(got[r.node] != r.community for r in state.collect()) == max(sum(max(0, x - high) for x in (6, 3, 1, 0)), sum(max(0, low - x) for x in (6, 3, 1, 0)))
