@@ -48,15 +48,6 @@ def dfs_order(spark: SparkSession, graph) -> DataFrame:
     return spark.createDataFrame([(int(graph.nodes[i]), p) for p, i in enumerate(out)], "node bigint, pos bigint")
 
 
-def fiedler_order(spark: SparkSession, graph) -> DataFrame:
-    """(node, pos) along the Laplacian's second eigenvector, its largest entry made positive."""
-    values, vectors = np.linalg.eigh(np.diag(graph.a.sum(1)) - graph.a)
-    x = vectors[:, min(1, len(values) - 1)]
-    x = x * np.sign(x[np.argmax(np.abs(x))])
-    order = np.lexsort((np.arange(len(x)), np.round(x, 9)))
-    return spark.createDataFrame([(int(graph.nodes[i]), p) for p, i in enumerate(order.tolist())], "node bigint, pos bigint")
-
-
 def balanced_chunks(order: DataFrame, k: int) -> DataFrame:
     """(node, community): an order cut into k chunks of even size, the first ones larger by one."""
     n = order.agg(F.count(F.lit(1)).alias("n"))

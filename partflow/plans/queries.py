@@ -201,11 +201,28 @@ query("positive_dual_pairs", "nodes", "SELECT a.node AS u, b.node AS v, (a.node
 )
 
 
-def negative_pairs(duals: DataFrame) -> DataFrame:
-    """Node pairs u < v whose duals sum below zero: such a pair gains weight when the duals are taken off. Values are banded, so only
-    bands that can meet are joined."""
-    a, b = duals.select(F.col("node").alias("u"), F.col("value").alias("x")), duals.select(F.col("node").alias("v"), F.col("value").alias("y"))
-    return a.join(b, (F.col("u") < F.col("v")) & (F.col("x") + F.col("y") < 0)).select("u", "v", (F.col("x") + F.col("y")).alias("total"))
+BANDS = 64
+
+
+def negative_pairs(duals: DataFrame, bands: int = BANDS) -> DataFrame:
+    """(u, v, total): node pairs u < v whose duals sum below zero: such a pair gains weight when the duals are taken off.
+
+    Values are cut at quantiles into bands. A node meets the bands whose least value is small enough, which are the first few, so all but the
+    last band it meets hold pairs only that are wanted, and no band's rows meet rows they can't belong to."""
+    cuts = duals.agg(F.percentile_approx("value", [k / bands for k in range(1, bands)]).alias("cuts"), F.min("value").alias("low")).first()
+    if cuts["low"] is None:
+        return duals.select(F.col("node").alias("u"), F.col("node").alias("v"), F.col("value").alias("total")).limit(0)
+    lows = [cuts["low"], *sorted({c for c in cuts["cuts"] if c > cuts["low"]})]
+    reach = F.lit(-1)
+    for low in lows:
+        reach = reach + (F.col("x") + F.lit(low) < 0).cast("int")
+    band = F.lit(-1)
+    for low in lows:
+        band = band + (F.col("y") >= F.lit(low)).cast("int")
+    a = duals.select(F.col("node").alias("u"), F.col("value").alias("x")).withColumn("reach", reach).filter("reach >= 0").select("u", "x", F.explode(F.sequence(F.lit(0), F.col("reach"))).alias("band"))
+    b = duals.select(F.col("node").alias("v"), F.col("value").alias("y")).withColumn("band", band)
+    return a.join(b, "band").filter("u < v and x + y < 0").select("u", "v", (F.col("x") + F.col("y")).alias("total"))
+
 
 
 query("pairs_union", "must cannot", "SELECT u, v FROM must UNION SELECT u, v FROM cannot")(lambda s, d: must_links(s).union(cannot_links(s)).distinct())

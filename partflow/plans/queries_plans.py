@@ -10,9 +10,11 @@ from partflow.functions.metrics import tidy
 from partflow.functions.storage import cut
 from partflow.operators import community as cm
 from partflow.operators import ensemble as en
+from partflow.operators import lanczos as la
 from partflow.operators import louvain as lo
 from partflow.operators import multilevel as ml
 from partflow.operators import paths as pa
+from partflow.sources import graphs as gr
 from partflow.sources import tables as tb
 
 from . import queries_search  # noqa: F401 - its queries come first
@@ -236,4 +238,19 @@ def _multilevel(s: SparkSession, d: str) -> DataFrame:
     return row.withColumn("better_than_chunks", F.lit(bool(mine >= chunks)))
 
 
-query("multilevel_parts")(lambda s, d: ml.balanced_kway(tb.supplier_orders(s, d), suppliers(s, d), PARTS, 1, 1 << 30))
+# ------------------------------------------------------------------ orders
+
+query("fiedler_order")(lambda s, d: la.fiedler_order(strong_edges(s, d), tb.nation_nodes(s, d)))
+
+
+@query("fiedler_residual", "supnodes", "SELECT count(*) AS nodes, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS length, true AS solved FROM supnodes")
+def _fiedler_residual(s: SparkSession, d: str) -> DataFrame:
+    """Of the supplier graph's second eigenvector: nodes, mean, length, and whether L x - lambda x is below 1e-8 of the largest degree, by a plan."""
+    e, nodes = cut(tb.supplier_orders(s, d), "sup"), suppliers(s, d)
+    x, value, _ = la.fiedler_vector(e, nodes, 1e-10)
+    arcs = gr.both_ways(e)
+    across = arcs.join(x.select(F.col("node").alias("dst"), F.col("x").alias("y")), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("deg"), F.sum(F.col("w") * F.col("y")).alias("across"))
+    z = F.lit(0.0)
+    rest = F.coalesce("deg", z) * F.col("x") - F.coalesce("across", z) - F.lit(value) * F.col("x")
+    rows = x.join(across, "node", "left")
+    return rows.agg(F.count(F.lit(1)).alias("nodes"), tidy(F.avg("x"), 6).alias("mean"), tidy(F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("length"), (F.sqrt(F.sum(rest * rest)) <= 1e-8 * F.greatest(F.lit(1.0), F.max("deg"))).alias("solved"))

@@ -51,7 +51,6 @@ query("degree_order", "strong nodes", "SELECT node, row_number() OVER (ORDER BY
 SQL["bfs_levels"] = with_("nodes strong", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + """, y AS (SELECT src, dst FROM strong UNION ALL SELECT dst, src FROM strong), b AS (SELECT 0::BIGINT AS node, 0 AS level UNION SELECT y.dst, level + 1 FROM b JOIN y ON src = b.node WHERE level < 24) SELECT node, min(level)::INT AS level FROM b GROUP BY 1"""
 query("bfs_levels")(lambda s, d: cm.bfs_levels(strong_edges(s, d), 0))
 query("dfs_order")(lambda s, d: cm.dfs_order(s, Graph(strong_edges(s, d), tb.nation_nodes(s, d))))
-query("fiedler_order")(lambda s, d: cm.fiedler_order(s, Graph(strong_edges(s, d), tb.nation_nodes(s, d))))
 query("balanced_chunks", "nodes", "SELECT node, CASE WHEN p < 7 THEN 0 ELSE (p - 1) // 6 END::BIGINT AS community FROM (SELECT node, row_number() OVER (ORDER BY node DESC) - 1 AS p FROM nodes)")(
     lambda s, d: cm.balanced_chunks(tb.nation_nodes(s, d).select("node", (24 - F.col("node")).alias("pos")), 4)
 )

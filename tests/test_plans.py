@@ -11,12 +11,14 @@ from partflow.functions import metrics as me
 from partflow.operators import community as cm
 from partflow.operators import ensemble as en
 from partflow.operators import kernels as ke
+from partflow.operators import lanczos as la
 from partflow.operators import louvain as lo
 from partflow.operators import multilevel as ml
 from partflow.operators import paths as pa
 from partflow.plans import registry
 from partflow.plans import workflows as wf
 from partflow.plans.decomposition import Config, Result, decompose, repair
+from partflow.plans.queries import negative_pairs
 from tests.helpers import SF
 
 
@@ -273,3 +275,32 @@ def test_settling_moves_no_more_than_bounds_ask(spark):
         got = labels_of(ml.settle(state, arcs, parts, low, high))
         sizes = [list(got.values()).count(c) for c in range(4)]
         assert all(low <= x <= high for x in sizes) and sum(got[r.node] != r.community for r in state.collect()) == max(sum(max(0, x - high) for x in (6, 3, 1, 0)), sum(max(0, low - x) for x in (6, 3, 1, 0)))
+
+
+# ------------------------------------------------------------------ eigenvectors and bands
+
+
+@pytest.mark.parametrize("case", ["random", "pieces", "pair", "one"])
+def test_fiedler_vector_against_dense(spark, case):
+    rows, n = {"random": (random_graph(4, 14, 0.4), 14), "pieces": (cliques(3, 3)[0][:3], 5), "pair": ([(0, 1, 2)], 2), "one": ([], 1)}[case]
+    x, value, residual = la.fiedler_vector(graph(spark, rows), nodes(spark, n))
+    x = np.array([r.x for r in x.orderBy("node").collect()])
+    lap = np.zeros((n, n))
+    for u, v, w in rows:
+        lap[u, u] += w
+        lap[v, v] += w
+        lap[u, v] -= w
+        lap[v, u] -= w
+    want = np.linalg.eigvalsh(lap)[min(1, n - 1)]
+    assert value == pytest.approx(want, abs=1e-7) and np.linalg.norm(lap @ x - value * x) < 1e-7 and np.linalg.norm(x) == pytest.approx(1)
+    assert residual < 1e-7 and x[np.argmax(np.round(np.abs(x), 9))] > 0
+
+
+def test_bands_lose_no_pair(spark):
+    x = random.Random(2)
+    for values in ([x.uniform(-1, 1) for _ in range(60)], [x.randrange(-2, 3) for _ in range(60)], [1, 2, 3], [-1, -1, 0], []):
+        d = spark.createDataFrame(list(enumerate(map(float, values))), "node bigint, value double")
+        got = sorted((r.u, r.v) for r in negative_pairs(d, 8).collect())
+        assert got == [(u, v) for u, v in itertools.combinations(range(len(values)), 2) if values[u] + values[v] < 0]
+    plan = negative_pairs(d.unionByName(spark.createDataFrame([(0, -1.0)], "node bigint, value double")), 8)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
