@@ -65,7 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
 
     def picked(_, i):
-        return mixing.rest_before(F.col("start") + i + 1) > mixing.rest_before(F.col("start") + i)
+        return mixing.rest_takes(F.col("start") + i)
 
     part = F.when(F.col("part") == F.col("size"), text).otherwise(F.array_join(F.filter(words, picked), " "))
     copies = F.concat(F.array_repeat(text, F.col("passes").cast("int")), F.when(F.col("part") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))

@@ -111,8 +111,8 @@ def mix(sizes: DataFrame, weights=(1, 2, 3), ceiling: int = CEILING, block: int
     placed = placed.withColumn("blocks", F.floor(F.col("ring") / block).cast("long")).withColumn("picks", F.least("blocks", F.floor(F.col("rest") / block).cast("long")))
     turn = F.pmod(_unit(F.lit(str(seed)), F.coalesce(F.col("source"), F.lit("")), F.col("shard").cast("string")), F.col("ring"))
     placed = placed.withColumn("turn", F.when(some, turn).otherwise(F.lit(0)))
-    whole = F.col("passes") * F.col("size")
-    return placed.withColumn("taken", (whole + rest_before(F.col("start") + F.col("size")) - rest_before(F.col("start"))).cast("long")).drop("_src", "_shd", "seats", "shards")
+    ends = F.transform(F.array("start", F.col("start") + F.col("size")), rest_before)  # a lambda, so that its long form is compiled into no stage
+    return placed.withColumn("taken", (F.col("passes") * F.col("size") + ends[1] - ends[0]).cast("long")).drop("_src", "_shd", "seats", "shards")
 
 
 def _from_turn(y: Column) -> Column:
@@ -134,6 +134,14 @@ def rest_before(x: Column) -> Column:
     return F.when(x >= turn, F.col("rest") - tail + _from_turn(x - turn)).otherwise(_from_turn(ring - turn + x) - tail)
 
 
+def rest_takes(x: Column) -> Column:
+    """Whether the rest takes the ring's word x: what rest_before(x + 1) has more than rest_before(x), in a form short enough for a lambda."""
+    y = F.pmod(x - F.col("turn"), F.col("ring"))
+    j, n = F.floor(y / F.col("unit")).cast("long"), F.greatest(F.col("blocks"), F.lit(1))
+    block = (j < F.col("blocks")) & (F.floor((j + 1) * F.col("picks") / n) > F.floor(j * F.col("picks") / n))
+    return F.when(F.col("picks") < F.col("blocks"), block | (y < F.col("rest") - F.col("picks") * F.col("unit"))).otherwise(y < F.col("rest"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = stored(sized(table(spark, sf_dir, "documents")), "mix")
     return mix(sizes).select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")

@@ -90,7 +90,8 @@ def test_picks_by_hand(spark):
 
     for rest, want in ((0, []), (2, [7, 8]), (3, [3, 4, 5]), (5, [3, 4, 5, 7, 8]), (7, [0, 1, 2, 3, 4, 5, 7]), (9, [0, 1, 2, 3, 4, 5, 7, 8, 9])):
         at = ring.withColumn("rest", F.lit(rest).cast("long")).withColumn("picks", F.lit(rest // 3).cast("long"))
-        assert sorted(r.x for r in at.filter(m.rest_before(F.col("x") + 1) > m.rest_before(F.col("x"))).collect()) == want
+        for picked in (m.rest_before(F.col("x") + 1) > m.rest_before(F.col("x")), m.rest_takes(F.col("x"))):
+            assert sorted(r.x for r in at.filter(picked).collect()) == want
 
 
 def test_equal_rows_together(spark):

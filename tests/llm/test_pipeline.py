@@ -44,21 +44,26 @@ def by_hand(rows):
         lines.setdefault(source, []).append((place, -1 if i is None else i, text or "", w))
     sources = sorted(sizes, key=lambda s: (s is None, s or ""))
     want = targets(sizes)
-    granted = seats([float(want[s]) for s in sources], round(sum(sizes.values()) / mixing.BLOCK))
+    granted = seats([float(want[s]) for s in sources], round(float(sum(want.values()))))
     out = []
     for source, quota in zip(sources, granted, strict=True):
         n = sizes[source]
         assert n <= mixing.SHARD_WORDS  # one shard
-        step = mixing.BLOCK // mixing.FINER if n < mixing.SMALL * mixing.BLOCK else mixing.BLOCK
-        blocks = -(-n // step)
-        if not blocks:
+        if not n:
             continue
-        quota = min(quota * mixing.BLOCK // step, mixing.CEILING * blocks)
-        passes, rest = divmod(quota, blocks)
-        phase = unit(str(mixing.SEED), source or "", "0") % blocks
+        passes, rest = divmod(min(quota, mixing.CEILING * n), n)
+        turn = unit(str(mixing.SEED), source or "", "0") % n
+        blocks = n // mixing.BLOCK
+        picks = min(blocks, rest // mixing.BLOCK)
+        short = rest - picks * mixing.BLOCK
+        chosen = [j for j in range(blocks) if (j + 1) * picks // blocks > j * picks // blocks]
+        from_turn = {j * mixing.BLOCK + k for j in chosen for k in range(mixing.BLOCK)}
+        from_turn |= {k + (0 if picks < blocks else blocks * mixing.BLOCK) for k in range(short)}
+        assert len(from_turn) == rest
+        ring = {(turn + y) % n for y in from_turn}
         at = 0
         for _, i, text, w in sorted(lines[source], key=lambda x: x[:2]):
-            picked = [x for k, x in enumerate(w) if (((at + k) // step + 1) * rest + phase) // blocks > ((at + k) // step * rest + phase) // blocks]
+            picked = [x for k, x in enumerate(w) if at + k in ring]
             at += len(w)
             out += [(i, text)] * (passes if w else 0)
             if picked:
