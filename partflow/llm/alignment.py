@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, ship, slices, stored, table, unpacked
+from .common import flat, packed, ship, slices, stored, table, unpacked
 from .token_files import tokenizer_path
 from .word_bpe import byte_letters, spread
 
@@ -67,33 +67,32 @@ class Aligner:
         self.n = [np.zeros((0, 4), np.int64)]  # A tokens, B tokens, groups; bad segments have -1 in the last
         self.held, self.n_links = 0, 0
 
-    def _tokens(self, segments: list[str], joined: bool) -> list[tuple[list, list]]:
-        """Ids of both for each segment; None where their bytes aren't the segment behind its space. Joined segments hold no space and are
-        tokenised in one line each, which is parted where ids begin with a space; a line that doesn't come out is halved."""
+    def _tokens(self, segments: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids in a line, ids of each segment) of A and of B; a segment whose tokens' bytes aren't it behind its space has no ids and -1.
+        Joined segments hold no space and are tokenised in one line each, which is parted where ids begin with a space; a line that doesn't
+        come out is halved."""
         if joined and len(segments) > 1:
             line = SPACE.join(segments)
-            a = np.array(self.a.encode_batch_fast([SPACE + line], add_special_tokens=False)[0].ids)
-            b = np.array(self.b.encode(line))
+            a = np.array(self.a.encode_batch_fast([SPACE + line], add_special_tokens=False)[0].ids, np.int64)
+            b = np.array(self.b.encode(line), np.int64)
             at_a, at_b = np.flatnonzero(self.a_opens[a]), np.flatnonzero(self.b_opens[b])
             if len(at_a) == len(at_b) == len(segments) and self._spelt(a.tolist(), b.tolist(), line):
-                return [np.split(a, at_a[1:]), np.split(b, at_b[1:])]
+                return a, np.diff(np.append(at_a, len(a))), b, np.diff(np.append(at_b, len(b)))
             half = len(segments) // 2
-            return [x + y for x, y in zip(self._tokens(segments[:half], True), self._tokens(segments[half:], True), strict=True)]
+            return tuple(np.concatenate(x) for x in zip(self._tokens(segments[:half], True), self._tokens(segments[half:], True), strict=True))
         a = [e.ids for e in self.a.encode_batch_fast([SPACE + s for s in segments], add_special_tokens=False)]  # an encoding is much larger than its ids
         b = self.b.encode(segments, num_threads=1)
         right = [self._spelt(x, y, s) for x, y, s in zip(a, b, segments, strict=True)]
-        return [[np.array(x, np.int64) if r else None for x, r in zip(y, right, strict=True)] for y in (a, b)]
+        return tuple(z for y in (a, b) for z in (np.array([i for x, r in zip(y, right, strict=True) if r for i in x], np.int64), np.array([len(x) if r else -1 for x, r in zip(y, right, strict=True)], np.int64)))
 
     def _spelt(self, a: list[int], b: list[int], text: str) -> bool:
         return b"".join(map(self.a_bytes.__getitem__, a)) == (SPACE + text).encode() == b"".join(map(self.b_bytes.__getitem__, b))
 
     def _learn(self, new: list[str], joined: bool = False) -> None:
-        a, b = self._tokens(new, joined)
-        right = np.array([x is not None for x in a])
+        a, n_a, b, n_b = self._tokens(new, joined)
+        right = n_a >= 0
         good = np.flatnonzero(right)
-        a, b = [a[k] for k in good], [b[k] for k in good]
-        n_a, n_b = (np.array(list(map(len, x)), np.int64) for x in (a, b))
-        a, b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (a, b))
+        n_a, n_b = n_a[good], n_b[good]
         groups, begin, link, n_groups, n_links = align(a, b, n_a, n_b, self.a_width[a], self.b_width[b])
         counts = np.zeros((len(new), 4), np.int64)
         counts[:, 3] = ~right
@@ -183,7 +182,7 @@ def align(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, a_widt
     text = pc.binary_join_element_wise(words, marks, "")
     upto = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(text)).astype(np.int64))])
     tokens = np.concatenate([[0], np.cumsum(n_a + n_b)])  # texts are whole groups, so they keep their order
-    return b"".join(text.cast(pa.binary()).to_pylist()), upto[tokens], links, np.diff(last_group), n_links
+    return flat(text)[0].tobytes(), upto[tokens], links, np.diff(last_group), n_links
 
 
 _LOADED: dict[tuple[str, str], Aligner] = {}
