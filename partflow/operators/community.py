@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from partflow.functions.metrics import be_score, community_sums
 from partflow.functions.partition import label_by_threshold
 from partflow.functions.storage import cut
-from partflow.operators.components import connected_components
 from partflow.sources.graphs import both_ways, degrees, volume
 
 
@@ -204,20 +203,6 @@ def power_iteration(edges: DataFrame, rounds: int) -> DataFrame:
     return x
 
 
-def label_by_density(shares: DataFrame, eps: float = 0.5, least: int = 5) -> DataFrame:
-    """(node, label): density clusters of the share vectors, 0.. by smallest node, noise -1; then the rarest label becomes -1."""
-    v = shares.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("community", "share"))).alias("v"), F.sum(F.col("share") * F.col("share")).alias("q"))
-    dots = shares.alias("a").join(shares.alias("b"), F.col("a.community") == F.col("b.community")).groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.sum(F.col("a.share") * F.col("b.share")).alias("dot"))
-    near = dots.join(v.select(F.col("node").alias("u"), F.col("q").alias("qu")), "u").join(v.select(F.col("node").alias("v"), F.col("q").alias("qv")), "v").filter(F.col("qu") + F.col("qv") - 2 * F.col("dot") <= eps * eps + 1e-12).select("u", "v")
-    core = near.groupBy("u").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least).select(F.col("u").alias("core"))
-    inner = near.join(core.withColumnRenamed("core", "u"), "u").join(core.withColumnRenamed("core", "v"), "v")
-    comp = connected_components(inner)
-    edge = near.join(comp.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("component"))
-    found = v.select("node").join(edge, "node", "left").select("node", F.coalesce("component", F.lit(-1)).alias("c"))
-    rare = found.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "c").limit(1).select(F.col("c").alias("r"))
-    return found.crossJoin(F.broadcast(rare)).select("node", F.when((F.col("c") == F.col("r")) | (F.col("c") < 0), F.lit(-1)).otherwise(F.col("c")).cast("long").alias("label"))
-
-
 def label_by_mixture(shares: DataFrame) -> DataFrame:
     """(node, label): the largest share's community, -1 for the lower of two Gaussian groups of largest shares."""
     from pyspark.ml.clustering import GaussianMixture

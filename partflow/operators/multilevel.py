@@ -6,7 +6,8 @@
 3. Uncoarsen level by level; at each, rounds of moves that raise the score and keep sizes in bounds. Nodes that go the same way between two
    parts move together, and no two such groups touch one part.
 4. At the finest level parts that are too large give nodes to parts that are too small, those least attached first, as many as bounds ask
-   for; then rounds of moves and of swaps between disjoint pairs of parts, each of which raises the score by exactly its gain.
+   for; then rounds of moves and of swaps between disjoint pairs of parts, and where no swap helps of compound moves over disjoint triples
+   of parts, each of which raises the score by exactly its gain.
 
 Sizes are numbers of nodes. k is a parameter of tens to thousands: tables of one row a part, or a pair of linked parts, are small; the coarsest
 graph has COARSEST * k nodes or stalls, and its line is the only window over nodes.
@@ -116,6 +117,41 @@ def swap_round(state: DataFrame, arcs: DataFrame, seed: int, gamma: float = 1.0)
     return _moved(state, won.select("node", "to").unionByName(won.select(F.col("node2").alias("node"), F.col("community").alias("to"))))
 
 
+def chains(state: DataFrame, arcs: DataFrame, low: int, high: int, gamma: float = 1.0) -> DataFrame:
+    """(c1, c2, c3, n1, n2, n3, closed, gain): compound moves over three parts, n1 from c1 to c2 and n2 from c2 to c3; closed ones send n3 from c3 to c1
+    and keep all sizes (n1, n2 and n3 are of one size), open ones have no n3 and leave c1 and c3 within low..high. The movers are
+    the best from part to part, so there are at most as many rows as paths of linked parts; the gain is exact."""
+    best = gains(state, arcs, gamma).groupBy("community", "to", "size").agg(F.max(F.struct("gain", (-F.col("node")).alias("last"), "a", "n", "n2")).alias("m"))
+    best = cut(best.select("community", "to", "size", (-F.col("m.last")).alias("node"), "m.gain", "m.a", "m.n", "m.n2"), "movers")
+
+    def mover(k: int, at: str, to: str) -> DataFrame:
+        return best.select(F.col("community").alias(at), F.col("to").alias(to), "size", F.col("node").alias(f"n{k}"), F.col("gain").alias(f"g{k}"), F.col("a").alias(f"a{k}"), F.col("n").alias(f"s{k}"), F.col("n2").alias(f"t{k}"))
+
+    def tie(rows: DataFrame, p: int, q: int) -> DataFrame:
+        e = arcs.select(F.col("src").alias(f"n{p}"), F.col("dst").alias(f"n{q}"), F.col("e").alias("_e"))
+        shared = 2 * (F.coalesce("_e", F.lit(0.0)) - gamma * F.col(f"a{p}") * F.col(f"a{q}"))
+        return rows.join(e, [f"n{p}", f"n{q}"], "left").withColumn("gain", F.col("gain") - shared).drop("_e")
+
+    path = mover(1, "c1", "c2").join(mover(2, "c2", "c3"), ["c2", "size"]).filter("c1 <> c3").withColumn("gain", F.col("g1") + F.col("g2"))
+    path = cut(tie(path, 1, 2), "paths")
+    open_ = path.filter((F.col("s1") - F.col("size") >= low) & (F.col("t2") + F.col("size") <= high))
+    open_ = open_.select("c1", "c2", "c3", "n1", "n2", F.lit(None).cast("long").alias("n3"), F.lit(False).alias("closed"), "gain")
+    ring = path.filter("c1 < c2 and c1 < c3").join(mover(3, "c3", "c1"), ["c3", "c1", "size"]).withColumn("gain", F.col("gain") + F.col("g3"))
+    ring = tie(tie(ring, 2, 3), 1, 3).select("c1", "c2", "c3", "n1", "n2", "n3", F.lit(True).alias("closed"), "gain")
+    return ring.unionByName(open_).withColumn("gain", F.round("gain", 12))
+
+
+def chain_round(state: DataFrame, arcs: DataFrame, low: int, high: int, gamma: float = 1.0) -> DataFrame:
+    """The state after compound moves that raise the score, of which no two touch one part."""
+    rows = cut(chains(state, arcs, low, high, gamma).filter(F.col("gain") > EPS), "chains")
+    key = F.struct("gain", "c1", "c2", "c3", "closed", "n1", "n2")
+    best = rows.select(F.explode(F.array("c1", "c2", "c3")).alias("at"), key.alias("key")).groupBy("at").agg(F.max("key").alias("key"))
+    won = best.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k = 3").select("key.*").drop("gain")
+    won = rows.join(won, ["c1", "c2", "c3", "closed", "n1", "n2"], "left_semi")
+    steps = F.array(F.struct(F.col("n1").alias("node"), F.col("c2").alias("to")), F.struct(F.col("n2").alias("node"), F.col("c3").alias("to")), F.struct(F.col("n3").alias("node"), F.col("c1").alias("to")))
+    return _moved(state, won.select(F.explode(steps).alias("s")).select("s.node", "s.to").filter("node is not null"))
+
+
 def balanced_kway(edges: DataFrame, nodes: DataFrame, k: int, low: int, high: int, gamma: float = 1.0, rounds: int = 6, swaps: int = 5, seed: int = 0) -> DataFrame:
     """(node, community): k communities of low..high nodes each, numbered from 0. Raises if k such communities can't hold the nodes."""
     state, arcs = start(edges, nodes)
@@ -146,5 +182,8 @@ def balanced_kway(edges: DataFrame, nodes: DataFrame, k: int, low: int, high: in
         old, state = state, swap_round(state, arcs, seed + turn, gamma)
         release(old)
         if state.filter("moved").isEmpty():
-            break
+            old, state = state, chain_round(state, arcs, low, high, gamma)
+            release(old)
+            if state.filter("moved").isEmpty():
+                break
     return state.select("node", "community")

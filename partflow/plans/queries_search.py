@@ -15,6 +15,7 @@ from partflow.functions.lp import maximise
 from partflow.functions.metrics import tidy
 from partflow.operators import community as cm
 from partflow.operators import contract as co
+from partflow.operators import density as de
 from partflow.operators import kernels as ke
 from partflow.sources import casestudies as cs
 from partflow.sources import graphs as gr
@@ -539,7 +540,7 @@ c AS (SELECT node, min(reach) AS c FROM r GROUP BY 1),
 f AS (SELECT q.node, coalesce((SELECT min(c.c) FROM near JOIN c ON c.node = near.v WHERE near.u = q.node), -1) AS c FROM q),
 rare AS (SELECT c AS r FROM f GROUP BY 1 ORDER BY count(*), c LIMIT 1)
 SELECT node, CASE WHEN c = r OR c < 0 THEN -1 ELSE c END::BIGINT AS label FROM f, rare"""
-query("prob_dbscan")(lambda s, d: cm.label_by_density(QUERIES["soft_membership"](s, d), 0.02, 3))
+query("prob_dbscan")(lambda s, d: de.label_by_cluster(QUERIES["soft_membership"](s, d), 0.02, 3))
 query("prob_gmm")(lambda s, d: cm.label_by_mixture(QUERIES["soft_membership"](s, d)))
 query("orbits", "", "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT), (1, 1), (2, 1), (3, 0)) t(node, orbit)")(lambda s, d: cm.orbits(s, np.array([[0, 1, 0, 0], [1, 0, 1, 0], [0, 1, 0, 1], [0, 0, 1, 0]], float)))
 

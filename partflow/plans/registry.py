@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_plans  # adds to the tables of queries and queries_search
+from . import queries_columns  # adds to the tables of the other modules
 
-QUERIES: dict = dict(queries_plans.QUERIES)
-SQL: dict = dict(queries_plans.SQL)
+QUERIES: dict = dict(queries_columns.QUERIES)
+SQL: dict = dict(queries_columns.SQL)
