@@ -168,7 +168,17 @@ query("soft_membership", "soft", "SELECT node, community, round(share, 9) + 0.0
 query("prob_threshold", "soft", "SELECT node, CASE WHEN max(share) < 0.22 THEN -1 ELSE arg_max(community, round(share, 12) - community * 1e-14) END::BIGINT AS label FROM soft GROUP BY node")(
     lambda s, d: pt.label_by_threshold(pt.soft_membership(tb.nation_trade(s, d), tb.regions(s, d)), 0.22)
 )
-query("simple_partition", "cannot", "SELECT u, v FROM cannot")(lambda s, d: pt.simple_partition(tb.nation_nodes(s, d), cannot_links(s))[1])
+query("simple_partition", "nodes cannot", "SELECT node, 0 AS community, (SELECT count(*) FROM cannot WHERE u = node OR v = node) AS apart FROM nodes")(lambda s, d: _simple(s, d))
+
+
+def _simple(s: SparkSession, d: str) -> DataFrame:
+    """(node, community, apart): the one community, and from how many nodes the column nevertheless keeps a node."""
+    one, pairs = pt.simple_partition(tb.nation_nodes(s, d), cannot_links(s))
+    kept = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("apart"))
+    return one.join(kept, "node", "left").select("node", "community", F.coalesce("apart", F.lit(0)).alias("apart"))
+
+
+
 query("round_robin", "nodes", "SELECT node, ((row_number() OVER (ORDER BY node) - 1) % 4)::INT AS community FROM nodes")(lambda s, d: pt.round_robin(tb.nation_nodes(s, d), 4))
 query("block_repair", "mem", "SELECT node, round_even(avg(node % 2) OVER (PARTITION BY community), 0) AS x FROM mem")(
     lambda s, d: pt.block_repair(tb.regions(s, d).select("node", F.pmod("node", F.lit(2)).cast("double").alias("x")), tb.regions(s, d).select("node", F.col("community").alias("block")), True)
@@ -225,7 +235,7 @@ def negative_pairs(duals: DataFrame, bands: int = BANDS) -> DataFrame:
 
 
 
-query("pairs_union", "must cannot", "SELECT u, v FROM must UNION SELECT u, v FROM cannot")(lambda s, d: must_links(s).union(cannot_links(s)).distinct())
+query("pairs_union", "strong cannot", "SELECT src AS u, dst AS v FROM strong UNION SELECT u, v FROM cannot")(lambda s, d: strong_edges(s, d).select(F.col("src").alias("u"), F.col("dst").alias("v")).union(cannot_links(s)).distinct())
 query("pairs_except", "edges cannot", "SELECT src AS u, dst AS v FROM edges EXCEPT SELECT u, v FROM cannot")(lambda s, d: tb.nation_trade(s, d).select(F.col("src").alias("u"), F.col("dst").alias("v")).exceptAll(cannot_links(s)).distinct())
 query("pairs_intersect", "edges must", "SELECT src AS u, dst AS v FROM edges INTERSECT SELECT u, v FROM must")(lambda s, d: tb.nation_trade(s, d).select(F.col("src").alias("u"), F.col("dst").alias("v")).intersect(must_links(s)))
 
@@ -274,8 +284,8 @@ def _accuracy(s, d):
 
 
 query("check_balance", "mem", "SELECT min(n) AS smallest, max(n) AS largest, min(n) >= 5 AND max(n) <= 5 AS balanced FROM (SELECT count(*) AS n FROM mem GROUP BY community)")(lambda s, d: me.check_balance(tb.regions(s, d), 5, 5))
-query("balance_bounds", "nodes", "SELECT k, greatest(1, floor(25 / k::DOUBLE - r / 2.0 + 0.5))::INT AS low, (greatest(1, floor(25 / k::DOUBLE - r / 2.0 + 0.5)) + r)::INT AS high FROM (VALUES (5, 0), (4, 1), (7, 3), (2, 1)) t(k, r)")(
-    lambda s, d: s.createDataFrame([(k, *me.balance_bounds(25, k, r)) for k, r in ((5, 0), (4, 1), (7, 3), (2, 1))], "k int, low int, high int")
+query("balance_bounds", "nodes", "SELECT k, greatest(1, floor(n / k::DOUBLE - r / 2.0 + 0.5))::INT AS low, (greatest(1, floor(n / k::DOUBLE - r / 2.0 + 0.5)) + r)::INT AS high FROM (SELECT count(*) AS n FROM nodes), (VALUES (5, 0), (4, 1), (7, 3), (2, 1)) t(k, r)")(
+    lambda s, d: s.createDataFrame([(k, *me.balance_bounds(n, k, r)) for n in [tb.nation_nodes(s, d).count()] for k, r in ((5, 0), (4, 1), (7, 3), (2, 1))], "k int, low int, high int")
 )
 query("feasible_k", "nodes", "SELECT unnest(range(ceil(count(*) / 7.0)::BIGINT, (count(*) // 3 + 1)::BIGINT))::INT AS k FROM nodes")(lambda s, d: s.createDataFrame([(k,) for k in me.feasible_counts(tb.nation_nodes(s, d).count(), 3, 7)], "k int"))
 query("target_sizes", "nodes", "SELECT i::INT AS i, (count(*) // 4 + (i < count(*) % 4)::INT)::INT AS size FROM nodes, range(4) t(i) GROUP BY i")(lambda s, d: s.createDataFrame(list(enumerate(me.target_sizes(tb.nation_nodes(s, d).count(), 4))), "i int, size int"))

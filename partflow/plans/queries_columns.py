@@ -94,6 +94,10 @@ def region_tree(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 SQL["tree_orbits"] = with_("nodes", "").rstrip() + ", " + _TREE
 query("tree_orbits")(lambda s, d: sy.orbits(*region_tree(s, d))[0])
 
+query("orbits", "nodes", "SELECT node, min(node) OVER (PARTITION BY n) AS orbit FROM nodes JOIN (SELECT region, count(*) AS n FROM nodes GROUP BY 1) USING (region) UNION ALL SELECT 100 + region, min(100 + region) OVER (PARTITION BY n) FROM (SELECT region, count(*) AS n FROM nodes GROUP BY 1)")(
+    lambda s, d: sy.orbits(*region_tree(s, d)[:2])[0]
+)
+
 
 @query("orbit_maps", "nodes", "SELECT 0::BIGINT AS broken_edges, 0::BIGINT AS not_onto, 0::BIGINT AS unproved FROM nodes LIMIT 1")
 def _orbit_maps(s: SparkSession, d: str) -> DataFrame:

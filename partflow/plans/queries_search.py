@@ -30,21 +30,41 @@ CC = ("α", "y")
 
 # ------------------------------------------------------------------ case studies
 
-_CP = """t AS (SELECT unnest(range(1, 6)) AS t), j AS (SELECT unnest(range(1, 4)) AS j), k AS (SELECT unnest(range(1, 3)) AS k),
-rows AS (SELECT (t - 1) * 3 + j AS id, 'DS' AS tag, 'x:' || k || ':' || j || ':' || t AS v FROM t, j, k
- UNION ALL SELECT 15 + ((t - 1) * 3 + j - 1) * 2 + k, 'UAC', unnest(['x:' || k || ':' || j || ':' || t, 'y:' || k || ':' || t]) FROM t, j, k
- UNION ALL SELECT 45 + (t - 1) * 2 + k, 'L', 'x:' || k || ':' || j || ':' || t FROM t, j, k
- UNION ALL SELECT 55 + (t - 1) * 2 + k, 'CU', 'y:' || k || ':' || t FROM t, k
- UNION ALL SELECT 55 + (t.t - 1) * 2 + k, 'CU', 'z:' || k || ':' || b.t FROM t, k, t b WHERE b.t <= t.t)"""
-_CC = """j AS (SELECT unnest(range(1, 5)) AS j), r AS (SELECT unnest(range(1, 6)) AS r), p AS (SELECT a.j AS i, b.j AS j, row_number() OVER (ORDER BY a.j, b.j) AS n FROM j a, j b WHERE a.j < b.j),
+_CP = """t AS (SELECT unnest(range(1, nt + 1)) AS t FROM n), j AS (SELECT unnest(range(1, nj + 1)) AS j FROM n), k AS (SELECT unnest(range(1, nk + 1)) AS k FROM n),
+rows AS (SELECT (t - 1) * nj + j AS id, 'DS' AS tag, 'x:' || k || ':' || j || ':' || t AS v FROM t, j, k, n
+ UNION ALL SELECT nt * nj + ((t - 1) * nj + j - 1) * nk + k, 'UAC', unnest(['x:' || k || ':' || j || ':' || t, 'y:' || k || ':' || t]) FROM t, j, k, n
+ UNION ALL SELECT nt * nj + nt * nj * nk + (t - 1) * nk + k, 'L', 'x:' || k || ':' || j || ':' || t FROM t, j, k, n
+ UNION ALL SELECT nt * nj + nt * nj * nk + nt * nk + (t - 1) * nk + k, 'CU', 'y:' || k || ':' || t FROM t, k, n
+ UNION ALL SELECT nt * nj + nt * nj * nk + nt * nk + (t.t - 1) * nk + k, 'CU', 'z:' || k || ':' || b.t FROM t, k, n, t b WHERE b.t <= t.t)"""
+_CC = """j AS (SELECT unnest(range(1, nj + 1)) AS j FROM n), r AS (SELECT unnest(range(1, nk + 1)) AS r FROM n), p AS (SELECT a.j AS i, b.j AS j, row_number() OVER (ORDER BY a.j, b.j) AS n FROM j a, j b WHERE a.j < b.j),
+q AS (SELECT nj, nj * (nj - 1) // 2 AS np FROM n),
 rows AS (SELECT j AS id, 'CA' AS tag, 'α:' || j || ':' || r AS v FROM j, r
- UNION ALL SELECT 4 + (r - 1) * 10 + n, 'NO', unnest(['α:' || i || ':' || r, 'α:' || j || ':' || r, 'x:' || i || ':x:' || r, 'x:' || i || ':y:' || r, 'x:' || j || ':x:' || r, 'x:' || j || ':y:' || r]) FROM p, r
- UNION ALL SELECT 4 + (r - 1) * 10 + 6 + j, 'BP', unnest(['α:' || j || ':' || r, 'x:' || j || ':x:' || r, 'x:' || j || ':y:' || r]) FROM j, r)"""
+ UNION ALL SELECT nj + (r - 1) * (np + nj) + n, 'NO', unnest(['α:' || i || ':' || r, 'α:' || j || ':' || r, 'x:' || i || ':x:' || r, 'x:' || i || ':y:' || r, 'x:' || j || ':x:' || r, 'x:' || j || ':y:' || r]) FROM p, r, q
+ UNION ALL SELECT nj + (r - 1) * (np + nj) + np + j, 'BP', unnest(['α:' || j || ':' || r, 'x:' || j || ':x:' || r, 'x:' || j || ':y:' || r]) FROM j, r, q)"""
 _LINK = """SELECT a.id::BIGINT AS src, b.id::BIGINT AS dst, count(*) AS weight, CASE WHEN min((substr(a.v, 1, 1) IN {0})::INT) = 1 THEN 'integer' ELSE 'continuous' END AS var_type FROM rows a JOIN rows b ON a.v = b.v AND a.id < b.id GROUP BY 1, 2"""
-query("cpcong_nodes", "", f"WITH {_CP} SELECT DISTINCT id::BIGINT AS \"constraint\", tag, '$' || tag || '_{{' || id || '}}$' AS label FROM rows")(lambda s, d: cs.capacity_planning(s, 2, 3, 5).select("constraint", "tag", "label"))
-query("cpcong_edges", "", f"WITH {_CP} " + _LINK.format("('y', 'z')"))(lambda s, d: cs.constraint_graph(cs.capacity_planning(s, 2, 3, 5), CP).select("src", "dst", "weight", "var_type"))
-query("circcut_nodes", "", f"WITH {_CC} SELECT DISTINCT id::BIGINT AS \"constraint\", tag, tag || id AS label FROM rows")(lambda s, d: cs.circle_cutting(s, 4, 5).select("constraint", "tag", "label"))
-query("circcut_edges", "", f"WITH {_CC} " + _LINK.format("('α', 'y')"))(lambda s, d: cs.constraint_graph(cs.circle_cutting(s, 4, 5), CC).select("src", "dst", "weight", "var_type"))
+_COUNTS = "n AS (SELECT (SELECT count(*) FROM supplier) AS nk, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS nj, (SELECT count(DISTINCT year(o_orderdate)) FROM orders) AS nt)"
+
+
+def plan_sizes(s: SparkSession, d: str, units: str = "supplier") -> tuple[int, int, int]:
+    """How many units, products (market segments) and periods (years) the tables ask a plan for."""
+    return (
+        tb.table(s, d, units).count(),
+        tb.table(s, d, "customer").select("c_mktsegment").distinct().count(),
+        tb.table(s, d, "orders").select(F.year("o_orderdate")).distinct().count(),
+    )
+
+
+query("cpcong_nodes", "", f"WITH {_COUNTS}, {_CP} SELECT DISTINCT id::BIGINT AS \"constraint\", tag, '$' || tag || '_{{' || id || '}}$' AS label FROM rows")(lambda s, d: cs.capacity_planning(s, *plan_sizes(s, d)).select("constraint", "tag", "label"))
+query("cpcong_edges", "", f"WITH {_COUNTS}, {_CP} " + _LINK.format("('y', 'z')"))(lambda s, d: cs.constraint_graph(cs.capacity_planning(s, *plan_sizes(s, d)), CP).select("src", "dst", "weight", "var_type"))
+query("circcut_nodes", "", f"WITH {_COUNTS}, {_CC} SELECT DISTINCT id::BIGINT AS \"constraint\", tag, tag || id AS label FROM rows")(lambda s, d: _cutting(s, d).select("constraint", "tag", "label"))
+query("circcut_edges", "", f"WITH {_COUNTS}, {_CC} " + _LINK.format("('α', 'y')"))(lambda s, d: cs.constraint_graph(_cutting(s, d), CC).select("src", "dst", "weight", "var_type"))
+
+
+def _cutting(s: SparkSession, d: str) -> DataFrame:
+    """Market segments are the circles, suppliers the rectangles to cut them from."""
+    rectangles, circles, _ = plan_sizes(s, d)
+    return cs.circle_cutting(s, circles, rectangles)
+
 
 # ------------------------------------------------------------------ orders and generation
 
@@ -241,17 +261,9 @@ def _pricing(name: str, algorithm: str):
 for _n, _a in (("pricing_heuristic", "louvain"), ("pricing_custom", "multistart"), ("pricing_balanced", "balanced")):
     _pricing(_n, _a)
 
-_TINY = """n AS (SELECT unnest(range(0, 7)) AS i), e AS (SELECT i AS u, j AS v, ((i * 3 + j * 5) % 7 - 3)::DOUBLE AS w FROM n, n t(j) WHERE i < j),
-r AS (SELECT 1 AS len, [0] AS x, 0 AS top UNION ALL SELECT len + 1, list_append(x, c), greatest(top, c) FROM r, n c(c) WHERE len < 7 AND c <= top + 1),
-f AS (SELECT x, (SELECT coalesce(sum(2 * w), 0) FROM e WHERE x[u + 1] = x[v + 1]) AS f FROM r WHERE len = 7)"""
-
-
-def tiny_matrix(n: int = 7) -> np.ndarray:
-    b = np.array([[((min(i, j) * 3 + max(i, j) * 5) % 7 - 3) if i != j else 0 for j in range(n)] for i in range(n)], float)
-    return b
-
-
-query("exact_pricing", "", f"WITH RECURSIVE {_TINY} SELECT max(f) AS value FROM f")(lambda s, d: s.createDataFrame([(ke.score(tiny_matrix(), ke.best_grouping(tiny_matrix(), ke.Rules(7))[0]),)], "value double"))
+query("exact_pricing", "", _best_sql(_PRICED, needs="sym med ndual pdual"))(
+    lambda s, d: s.createDataFrame([(by_price(s, d, lambda g, b, duals: ke.best_grouping(priced_matrix(b, duals), ke.Rules(8))[0]),)], "optimum double")
+)
 query("exact_grouping", "", _best_sql(_MODULARITY, "links"))(
     lambda s, d: s.createDataFrame([(by_modularity(s, d, lambda a, b: ke.best_grouping(b, ke.Rules(8, EIGHT_MUST, EIGHT_CANNOT))[0]),)], "optimum double")
 )
@@ -524,7 +536,7 @@ def _nonlinear(s, d):
 
 @query("evaluation_report")
 def _evaluation(s, d):
-    rows = cs.capacity_planning(s, 2, 3, 5)
+    rows = cs.capacity_planning(s, *plan_sizes(s, d, "region"))
     e = cs.constraint_graph(rows, CP).select("src", "dst", F.col("weight").cast("double").alias("w"))
     truth = rows.select(F.col("constraint").alias("node"), F.when(F.col("tag").isin("L", "CU"), 0).otherwise(1).cast("long").alias("community"))
     return wf.evaluate(s, e, truth, ("spectral",))
@@ -542,8 +554,6 @@ rare AS (SELECT c AS r FROM f GROUP BY 1 ORDER BY count(*), c LIMIT 1)
 SELECT node, CASE WHEN c = r OR c < 0 THEN -1 ELSE c END::BIGINT AS label FROM f, rare"""
 query("prob_dbscan")(lambda s, d: de.label_by_cluster(QUERIES["soft_membership"](s, d), 0.02, 3))
 query("prob_gmm")(lambda s, d: cm.label_by_mixture(QUERIES["soft_membership"](s, d)))
-query("orbits", "", "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT), (1, 1), (2, 1), (3, 0)) t(node, orbit)")(lambda s, d: cm.orbits(s, np.array([[0, 1, 0, 0], [1, 0, 1, 0], [0, 1, 0, 1], [0, 0, 1, 0]], float)))
-
 _SL = """SELECT CASE WHEN w > q THEN 0 ELSE 1 END AS layer, src, dst, abs(w - q) AS w FROM sym, med WHERE w <> q"""
 SQL["signed_gain"] = with_("sym med mem", "").rstrip() + f""", s AS ({_SL}), k AS (SELECT layer, src AS node, sum(w) AS k FROM s GROUP BY 1, 2), l AS (SELECT layer, sum(k) AS l2 FROM k GROUP BY 1),
 t AS (SELECT layer, community, sum(k) AS deg FROM k JOIN mem USING (node) GROUP BY 1, 2), i AS (SELECT layer, src AS node, community, sum(w) AS kic FROM s JOIN mem ON dst = mem.node GROUP BY 1, 2, 3),
