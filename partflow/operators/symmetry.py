@@ -54,13 +54,14 @@ def _step(arcs: DataFrame, base: DataFrame, tops: DataFrame) -> tuple[DataFrame,
     colors = cut(colors, "branch")
     left = F.col("side") == "l"
     cells = colors.groupBy("pair", "color").agg(F.count(F.when(left, 1)).alias("nl"), F.count(F.when(~left, 1)).alias("nr"), F.min(F.when(left, F.col("node"))).alias("first"))
-    cells = cut(cells, "cells")
     fits = cells.groupBy("pair").agg(F.bool_and(F.col("nl") == F.col("nr")).alias("fits"), F.min(F.when(F.col("nl") > 1, F.struct("nl", "first", "color"))).alias("cell")).filter("fits")
     fits = cut(fits.select("pair", "cell"), "fits")
+    if fits.isEmpty():
+        return colors.select("pair", "node", F.col("node").alias("image")).limit(0), tops.limit(0)
     place = F.row_number().over(Window.partitionBy("pair", "side", "color").orderBy("node"))
     placed = colors.join(fits.select("pair"), "pair", "left_semi").withColumn("place", place)
     maps = placed.filter("side = 'l'").join(placed.filter("side = 'r'").select("pair", "color", "place", F.col("node").alias("image")), ["pair", "color", "place"]).select("pair", "node", "image")
-    maps = cut(maps, "maps")
+    maps = cut(maps, "placed")
     a, b = maps.select("pair", F.col("node").alias("src"), F.col("image").alias("x")), maps.select("pair", F.col("node").alias("dst"), F.col("image").alias("y"))
     moved = arcs.join(a, "src").join(b, ["pair", "dst"]).select("pair", F.col("x").alias("src"), F.col("y").alias("dst"), "bucket")
     bad = moved.join(arcs, ["src", "dst", "bucket"], "left_anti").select("pair")
@@ -88,7 +89,7 @@ def automorphisms(arcs: DataFrame, base: DataFrame, pairs: DataFrame) -> DataFra
     return out if out is not None else pairs.select("pair", F.col("u").alias("node"), F.col("v").alias("image"))
 
 
-def orbits(edges: DataFrame, nodes: DataFrame, colors: DataFrame | None = None, tolerance: float = 1e-9, batch: int = 16) -> tuple[DataFrame, DataFrame]:
+def orbits(edges: DataFrame, nodes: DataFrame, colors: DataFrame | None = None, tolerance: float = 1e-9, batch: int = 64) -> tuple[DataFrame, DataFrame]:
     """((node, orbit): an orbit is named by its smallest node; the maps (node, image) that prove it, a few automorphisms one after another in column
     `map`). Weights are equal if they round to the same multiple of `tolerance`; near-whole ones become whole. colors: (node, color), a
     node without one has none; null ends drop an edge. `batch` pairs are searched at a time."""
