@@ -5,6 +5,10 @@ partitioned at two levels: of n1 first-level parts one has at most k2 difference
 equal; a signature is the hash of a set restricted to such a subset of parts, for every first-level part and every subset. A set also
 signs for the next band if it is large enough to have partners there. Two sets over the threshold share a signature, always.
 
+Where a subset's parts hold no element, that hash would be one for a fixed share of all sets of a band, and their pairs would grow with the
+square of the table. With k2 = 1 such a set signs by the part that is left: linked sets have the same elements there, or one has one more,
+so it signs by the hash of that part and by those of the part less each of its elements, of which the two share one.
+
 No group of a signature is turned into all its pairs. First every member is tested with the group's smallest member; classes so far
 come from connected components. Then only members of different classes are compared, by parity sketches of the sets: the number of
 bits in which two sketches differ never exceeds the number of elements in which the sets differ, so a pair above the limit is out for
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from partflow.operators.components import connected_components
 
-from .common import flat, mix, salted_lookup, ship, shuffle_partitions, slices, stored, table, words_of
+from .common import flat, likely, mix, salted_lookup, ship, shuffle_partitions, slices, stored, table, words_of
 
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 LINES = 8  #: longs in the smallest sketch
@@ -106,14 +110,28 @@ def signatures(s: np.ndarray, rule: Rule) -> np.ndarray:
         n1, n2, k2 = rule.parts(band)
         cell = (((h >> np.uint64(32)) * np.uint64(n1 * n2)) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(s[order] ^ _STEP[1]), dtype=np.uint64)])
+        element = mix(s[order] ^ _STEP[1])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(element, dtype=np.uint64)])
         edge = np.searchsorted(cell[order], np.arange(n1 * n2 + 1))
-        part = mix(sums[edge[1:]] - sums[edge[:-1]] + np.arange(n1 * n2, dtype=np.uint64)).reshape(n1, n2)
+        name = np.arange(n1 * n2, dtype=np.uint64)
+        whole = sums[edge[1:]] - sums[edge[:-1]]
+        part, held = mix(whole + name).reshape(n1, n2), np.diff(edge).reshape(n1, n2)
         for k, subset in enumerate(combinations(range(n2), n2 - k2)):
             put = mix(np.full(n1, band * 64 + k, np.uint64) + _STEP[2])
             for c in subset:
                 put = mix(put ^ part[:, c])
-            out.append(mix(put + np.arange(n1, dtype=np.uint64)))
+            put = mix(put + np.arange(n1, dtype=np.uint64))
+            blank = held[:, list(subset)].sum(axis=1) == 0
+            if k2 != 1 or not blank.any():
+                out.append(put)
+                continue
+            first = np.flatnonzero(blank)
+            rest = first * n2 + next(c for c in range(n2) if c not in subset)
+            size = edge[rest + 1] - edge[rest]
+            of = np.repeat(np.arange(len(first)), size)
+            at = np.arange(len(of)) + np.repeat(edge[rest] - np.cumsum(size) + size, size)
+            less = mix(whole[rest[of]] - element[at] + name[rest[of]])
+            out += [put[~blank], mix(put[first] ^ part.ravel()[rest]), mix(put[first[of]] ^ less)]
     return np.concatenate(out)
 
 
@@ -354,7 +372,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -
     pairs = pairs.filter(F.least("nu", "nv") * rule.den >= F.greatest("nu", "nv") * rule.num).select("u", "v", "nu", "nv", "ku", "kv")
     pairs = stored(pairs.mapInArrow(_let_through(rule), "u bigint, v bigint, nu bigint, nv bigint"), "pairs")
     wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = stored(docs.hint("merge").join(wanted, "doc_id", "left_semi").mapInArrow(_sets(rule), "doc_id bigint, s array<bigint>").dropDuplicates(["doc_id"]), "sets")
+    wanted = stored(wanted, "wanted")
+    # few documents are wanted: the others' texts stay where they are read
+    sets = likely(docs, wanted, "doc_id").mapInArrow(_sets(rule), "doc_id bigint, s array<bigint>").filter("size(s) > 0")
+    sets = stored(sets.hint("merge").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
     # a node with many partners is dealt over copies of its set
     hub = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("copies"))
     hubs = hub.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("su")), "u").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))

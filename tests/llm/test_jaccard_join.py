@@ -1,8 +1,11 @@
+import glob
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from partflow.llm import jaccard_join as j
+from partflow.llm.common import likely, stored
 from tests.llm.common import corpus, docs, words
 
 
@@ -140,3 +143,30 @@ def test_pairs_of_a_group_by_brute_force():
                 met = a % 50 != b % 50 and (not two or side[a] != side[b])
                 assert (a, b) in got if linked and met else (met or (a, b) not in got)
         assert len(got) > 5
+
+
+def test_sets_without_elements_in_a_part_share_no_signature_for_it():
+    rule, r = j.Rule(5, 80, 100, 2, 1), np.random.default_rng(11)
+    sets = [np.unique(r.integers(0, 2**63, 120).astype(np.uint64)) for _ in range(400)]
+    _, n = np.unique(np.concatenate([j.signatures(s, rule) for s in sets]), return_counts=True)
+    assert (n * (n - 1) // 2).sum() < 10_000  # 60743 where an empty part is one signature for all, 7671 now
+    for s in sets:  # a set less any one element, and with one more
+        for t in (np.delete(s, int(r.integers(0, len(s)))), np.append(s, np.uint64(5))):
+            assert len(np.intersect1d(j.signatures(s, rule), j.signatures(np.sort(t), rule)))
+
+
+def test_documents_that_no_pair_wants_are_not_shuffled(spark):
+    rows = docs(spark, [(k, f"text {k}") for k in range(3000)] + [(None, "none")])
+    ids = spark.createDataFrame([(k,) for k in range(0, 3000, 50)], "doc_id bigint")
+    got = {x.doc_id for x in likely(rows, ids, "doc_id").collect()}
+    assert set(range(0, 3000, 50)) <= got and len(got) < 80
+    assert likely(rows, ids.filter("doc_id < 0"), "doc_id").count() == 0
+
+
+def test_what_was_shuffled_for_a_stored_table_goes(spark):
+    def files():
+        return {f for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for f in glob.glob(f"{d}/**/shuffle_*", recursive=True)}
+
+    before = files()
+    out = stored(spark.range(100_000).repartition(7, "id"), "cleared")
+    assert not files() - before and out.count() == 100_000
