@@ -446,7 +446,7 @@ def jaccard_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     # identical sets: each to the smallest id of its class
     classes = live.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n"))
     dups = classes.filter("_n > 1").drop("_n")
-    equal = salted_lookup(live.select("doc_id", "n_shingles", "one", "two"), dups, ["n_shingles", "one", "two"], "doc_id").filter("rep is not null").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+    equal = salted_lookup(live.select("doc_id", "n_shingles", "one", "two"), dups, ["n_shingles", "one", "two"], "doc_id", grows=True).filter("rep is not null").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     signed = docs.mapInArrow(_signed(rule), "sig bigint, node bigint")
     group = Window.partitionBy("sig")
     met = signed.withColumn("least", F.min("node").over(group)).withColumn("most", F.max("node").over(group)).filter("least <> most").select("sig", "node", "least")

@@ -286,13 +286,13 @@ def collocations(docs: DataFrame, least: int = MIN, share: int = SHARE, top: int
     cuts = [(s, k) for s in range(2, WORDS + 1) for k in range(1, s)]
     sides = F.explode(F.array(*[F.when(F.col("size") == s, F.struct(F.lit(k).alias("k"), _part(1, k).alias("head"), _part(k + 1, s - k).alias("tail"))) for s, k in cuts])).alias("cut")
     cut = left.select("*", sides).filter("cut is not null").select("*", F.col("cut.k").alias("k"), F.col("cut.head").alias("head"), F.col("cut.tail").alias("tail")).drop("cut")
-    cut = salted_lookup(cut, support.select(F.col("key").alias("head"), F.col("f").alias("l")), ["head"], "phrase_id")
-    cut = salted_lookup(cut, support.select(F.col("key").alias("tail"), F.col("f").alias("r")), ["tail"], "phrase_id")
+    cut = salted_lookup(cut, support.select(F.col("key").alias("head"), F.col("f").alias("l")), ["head"], "phrase_id", grows=True)
+    cut = salted_lookup(cut, support.select(F.col("key").alias("tail"), F.col("f").alias("r")), ["tail"], "phrase_id", grows=True)
     score = F.expr("(cast(a as decimal(24,0)) * 2000000) div (cast(l as decimal(24,0)) + cast(r as decimal(24,0)))")
     best = cut.withColumn("score", score).groupBy("phrase_id", "w1", "w2", "w3", "w4", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
     # words in place of ids
     spelt = best.select("*", F.posexplode(F.array("w1", "w2", "w3", "w4")).alias("place", "id")).filter("id > 0")
-    spelt = salted_lookup(spelt, words.select("id", "lang", "word"), ["id"], "phrase_id")
+    spelt = salted_lookup(spelt, words.select("id", "lang", "word"), ["id"], "phrase_id", grows=True)
     spelt = spelt.groupBy("phrase_id", "w1", "w2", "w3", "w4", "a", "best").agg(F.max("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("place", "word"))).alias("parts"))
     spelt = spelt.select("lang", F.array_join(F.col("parts.word"), " ").alias("phrase"), "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), F.col("best.score").alias("score"), "phrase_id")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]

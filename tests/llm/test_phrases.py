@@ -86,3 +86,9 @@ def test_no_words(spark):
 def test_same_as_sql(spark):
     check(ph.op11_phrases, ph.OP11_SQL, spark)
     check(ph.op11_phrases, ph.OP11_SQL, spark, SF.replace("0.001", "0.01"))
+
+
+def test_supports_and_words_are_not_broadcast(spark):
+    found = ph.collocations(docs(spark, [(" ".join(f"w{(k * 7 + j) % 50}" for j in range(60)), "en") for k in range(100)]))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 3
+    assert found.count() > 0
