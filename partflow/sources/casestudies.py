@@ -11,11 +11,18 @@ from pyspark.sql import functions as F
 from .graphs import incidence_graph
 
 
+def _upto(n: int, beside: str) -> Column:
+    """1..n as an array made where the row is: of two literals Spark would make it in the driver, and write it out in every plan."""
+    return F.sequence(F.least(F.col(beside), F.lit(1)), F.lit(n))
+
+
 def _grid(spark: SparkSession, **sizes: int) -> DataFrame:
-    """All combinations of indices 1..size."""
-    out = spark.range(1).select()
+    """All combinations of indices 1..size, dealt by the largest of them."""
+    first = max(sizes, key=sizes.get)
+    out = spark.range(1, sizes[first] + 1).select(F.col("id").cast("int").alias(first))
     for name, n in sizes.items():
-        out = out.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias(name))
+        if name != first:
+            out = out.select("*", F.explode(_upto(n, first)).alias(name))
     return out
 
 
@@ -30,7 +37,7 @@ def _rows(nodes: DataFrame, tag: str, id_: Column, variables: Column) -> DataFra
 def capacity_planning(spark: SparkSession, units: int, products: int, periods: int) -> DataFrame:
     """(constraint, tag, variables): demand (DS), activation (UAC), lead time (L, nonlinear) and cumulative build (CU) rows."""
     k, j, t = F.col("k"), F.col("j"), F.col("t")
-    over_k, over_j = F.sequence(F.lit(1), F.lit(units)), F.sequence(F.lit(1), F.lit(products))
+    over_k, over_j = _upto(units, "t"), _upto(products, "k")
     ds = _rows(_grid(spark, t=periods, j=products), "DS", (t - 1) * products + j, F.transform(over_k, lambda i: F.concat_ws(":", F.lit("x"), i.cast("string"), F.col("j").cast("string"), F.col("t").cast("string"))))
     at = products * periods
     uac = _rows(_grid(spark, t=periods, j=products, k=units), "UAC", at + ((t - 1) * products + j - 1) * units + k, F.array(_name("x", "k", "j", "t"), _name("y", "k", "t")))
@@ -46,7 +53,7 @@ def circle_cutting(spark: SparkSession, circles: int, rectangles: int, dimension
     """(constraint, tag, variables): assignment (CA), no-overlap (NO, nonlinear) and boundary (BP) rows."""
     i, j, r = F.col("i"), F.col("j"), F.col("r")
     pairs = circles * (circles - 1) // 2
-    ca = _rows(_grid(spark, j=circles), "CA", j, F.transform(F.sequence(F.lit(1), F.lit(rectangles)), lambda x: F.concat_ws(":", F.lit("α"), F.col("j").cast("string"), x.cast("string"))))
+    ca = _rows(_grid(spark, j=circles), "CA", j, F.transform(_upto(rectangles, "j"), lambda x: F.concat_ws(":", F.lit("α"), F.col("j").cast("string"), x.cast("string"))))
 
     def spots(c: str) -> list[Column]:
         return [_name("x", c, F.lit(d), "r") for d in dimensions]

@@ -304,3 +304,12 @@ def test_bands_lose_no_pair(spark):
         assert got == [(u, v) for u, v in itertools.combinations(range(len(values)), 2) if values[u] + values[v] < 0]
     plan = negative_pairs(d.unionByName(spark.createDataFrame([(0, -1.0)], "node bigint, value double")), 8)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_incidences_of_a_large_plan_are_not_broadcast(spark):
+    from partflow.sources import casestudies as cs
+
+    graph = cs.constraint_graph(cs.capacity_planning(spark, 3000, 2, 2), ("y", "z"))
+    plan = graph._jdf.queryExecution()
+    assert "Broadcast" not in plan.executedPlan().toString()
+    assert len(plan.optimizedPlan().toString()) < 20_000
