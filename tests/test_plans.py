@@ -19,6 +19,7 @@ from partflow.plans import registry
 from partflow.plans import workflows as wf
 from partflow.plans.decomposition import Config, Result, decompose, repair
 from partflow.plans.queries import negative_pairs
+from partflow.sources import tables as tb
 from tests.helpers import SF
 
 
@@ -57,6 +58,14 @@ def labels_of(df):
     return {r.node: r.community for r in df.collect()}
 
 
+def test_parts_of_the_supplier_graph_grow_with_line_items(spark, monkeypatch):
+    whole = {tuple(r) for r in tb.supplier_orders(spark, SF).collect()}
+    monkeypatch.setattr(tb, "ROWS", 500)
+    e = tb.supplier_orders(spark, SF)
+    assert e.rdd.getNumPartitions() >= tb.table(spark, SF, "lineitem").count() // 500
+    assert {tuple(r) for r in e.collect()} == whole
+
+
 def test_louvain_finds_cliques(spark):
     rows, n = cliques(5, 4, 6, 3)
     found, levels = lo.louvain(graph(spark, rows), nodes(spark, n + 2))
