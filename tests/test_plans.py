@@ -66,6 +66,15 @@ def test_parts_of_the_supplier_graph_grow_with_line_items(spark, monkeypatch):
     assert {tuple(r) for r in e.collect()} == whole
 
 
+def test_a_query_makes_the_trade_graph_once(spark, monkeypatch):
+    made, whole = [], tb.cut
+    monkeypatch.setattr(tb, "cut", lambda df, name="step": (made.append(name), whole(df, name))[1])
+    for _ in range(2):
+        registry.QUERIES["pricing_balanced"](spark, SF).collect()
+    assert made == ["trade"] * 2
+    assert tb._MADE.get() is None
+
+
 def test_louvain_finds_cliques(spark):
     rows, n = cliques(5, 4, 6, 3)
     found, levels = lo.louvain(graph(spark, rows), nodes(spark, n + 2))
