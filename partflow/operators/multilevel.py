@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from partflow.functions.storage import cut, release
 
-from .louvain import EPS, apart, gains, start
+from .louvain import EPS, apart, between, gains, start
 
 COARSEST = 20
 
@@ -28,13 +28,18 @@ COARSEST = 20
 def matching(state: DataFrame, arcs: DataFrame, most: int, seed: int) -> DataFrame:
     """(u, v), u < v: edges that are the heaviest at both ends among those whose ends hold at most `most` nodes together."""
     size = state.select("node", "size")
-    e = arcs.filter("src < dst").join(size.select(F.col("node").alias("src"), F.col("size").alias("x")), "src").join(size.select(F.col("node").alias("dst"), F.col("size").alias("y")), "dst")
-    key = F.struct(F.round("e", 12).alias("e"), F.xxhash64("src", "dst", F.lit(seed)).alias("p"), "src", "dst")
-    e = cut(e.filter((F.col("x") + F.col("y") <= most) & (F.col("e") > 0)).select("src", "dst", key.alias("key")), "matching")
-    best = e.select(F.explode(F.array("src", "dst")).alias("node"), "key").groupBy("node").agg(F.max("key").alias("key"))
+    e = arcs.join(size.select(F.col("node").alias("src"), F.col("size").alias("x")), "src").join(size.select(F.col("node").alias("dst"), F.col("size").alias("y")), "dst")
+    u, v = F.least("src", "dst"), F.greatest("src", "dst")
+    key = F.struct(F.round("e", 12).alias("e"), F.xxhash64(u, v, F.lit(seed)).alias("p"), u.alias("src"), v.alias("dst"))
+    best = e.filter((F.col("x") + F.col("y") <= most) & (F.col("e") > 0)).groupBy("src").agg(F.max(key).alias("key"))
     return best.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k = 2").select(F.col("key.src").alias("u"), F.col("key.dst").alias("v"))
 
 
+def weights(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
+    """The arcs of stored pairs (src, dst): where pairs are few, Spark sends them to the arcs instead of shuffling those."""
+    return arcs.join(pairs.distinct(), ["src", "dst"], "left_semi")
+
+
 def coarsen(state: DataFrame, arcs: DataFrame, k: int, most: int, seed: int = 0) -> list[tuple[DataFrame, DataFrame, DataFrame | None]]:
     """Levels (state, arcs, which node of the next level each is in), the finest first; the last has no next."""
     levels, n = [], state.count()
@@ -42,11 +47,10 @@ def coarsen(state: DataFrame, arcs: DataFrame, k: int, most: int, seed: int = 0)
         pairs = matching(state, arcs, most, seed + len(levels))
         of = cut(state.select("node").join(pairs.select(F.col("v").alias("node"), F.col("u").alias("to")), "node", "left").select("node", F.coalesce("to", "node").alias("up")), "of")
         up = cut(state.join(of, "node").groupBy(F.col("up").alias("node")).agg(F.sum("a").alias("a"), F.sum("size").alias("size"), F.sum("dual").alias("dual")).withColumn("community", F.col("node")), "level")
-        a, b = of.select(F.col("node").alias("src"), F.col("up").alias("x")), of.select(F.col("node").alias("dst"), F.col("up").alias("y"))
-        between = cut(arcs.join(a, "src").join(b, "dst").filter("x <> y").groupBy(F.col("x").alias("src"), F.col("y").alias("dst")).agg(F.sum("e").alias("e")), "arcs")
+        fewer = between(arcs, of.select("node", F.col("up").alias("community")))
         levels.append((state, arcs, of))
         left = up.count()
-        state, arcs, n, stalled = up, between, left, left > 0.9 * n
+        state, arcs, n, stalled = up, fewer, left, left > 0.9 * n
         if stalled:
             break
     return [*levels, (state, arcs, None)]
@@ -109,7 +113,9 @@ def swap_round(state: DataFrame, arcs: DataFrame, seed: int, gamma: float = 1.0)
     rows = gains(state, arcs, gamma).groupBy("community", "to", "size").agg(F.max(F.struct("gain", (-F.col("node")).alias("last"), "a")).alias("m"))
     rows = cut(rows.select("community", "to", "size", (-F.col("m.last")).alias("node"), "m.gain", "m.a"), "movers")
     one, two = rows.filter("community < to"), rows.filter("community > to").select(F.col("to").alias("community"), F.col("community").alias("to"), "size", F.col("node").alias("node2"), F.col("gain").alias("gain2"), F.col("a").alias("a2"))
-    both = one.join(two, ["community", "to", "size"]).join(arcs.select(F.col("src").alias("node"), F.col("dst").alias("node2"), "e"), ["node", "node2"], "left")
+    both = cut(one.join(two, ["community", "to", "size"]), "pairs")
+    met = weights(both.select(F.col("node").alias("src"), F.col("node2").alias("dst")), arcs).select(F.col("src").alias("node"), F.col("dst").alias("node2"), "e")
+    both = both.join(met, ["node", "node2"], "left")
     total = F.col("gain") + F.col("gain2") - 4 * F.coalesce("e", F.lit(0.0)) + 4 * gamma * F.col("a") * F.col("a2")
     both = both.select("node", "node2", "community", "to", F.round(total, 12).alias("gain")).filter(F.col("gain") > EPS)
     best = cut(both.groupBy("community", "to").agg(F.max(F.struct("gain", "node", "node2")).alias("m")).select("community", "to", "m.node", "m.node2", "m.gain"), "swaps")
@@ -128,7 +134,8 @@ def chains(state: DataFrame, arcs: DataFrame, low: int, high: int, gamma: float
         return best.select(F.col("community").alias(at), F.col("to").alias(to), "size", F.col("node").alias(f"n{k}"), F.col("gain").alias(f"g{k}"), F.col("a").alias(f"a{k}"), F.col("n").alias(f"s{k}"), F.col("n2").alias(f"t{k}"))
 
     def tie(rows: DataFrame, p: int, q: int) -> DataFrame:
-        e = arcs.select(F.col("src").alias(f"n{p}"), F.col("dst").alias(f"n{q}"), F.col("e").alias("_e"))
+        rows = cut(rows, "paths")
+        e = weights(rows.select(F.col(f"n{p}").alias("src"), F.col(f"n{q}").alias("dst")), arcs).select(F.col("src").alias(f"n{p}"), F.col("dst").alias(f"n{q}"), F.col("e").alias("_e"))
         shared = 2 * (F.coalesce("_e", F.lit(0.0)) - gamma * F.col(f"a{p}") * F.col(f"a{q}"))
         return rows.join(e, [f"n{p}", f"n{q}"], "left").withColumn("gain", F.col("gain") - shared).drop("_e")
 
@@ -155,7 +162,6 @@ def chain_round(state: DataFrame, arcs: DataFrame, low: int, high: int, gamma: f
 def balanced_kway(edges: DataFrame, nodes: DataFrame, k: int, low: int, high: int, gamma: float = 1.0, rounds: int = 6, swaps: int = 5, seed: int = 0) -> DataFrame:
     """(node, community): k communities of low..high nodes each, numbered from 0. Raises if k such communities can't hold the nodes."""
     state, arcs = start(edges, nodes)
-    state, arcs = cut(state, "level"), cut(arcs, "arcs")
     n = state.count()
     if not k * low <= n <= k * high:
         raise ValueError(f"{k} communities of {low} to {high} nodes can't hold {n}")

@@ -108,6 +108,15 @@ def test_a_query_makes_the_trade_graph_once(spark, monkeypatch):
     assert tb._MADE.get() is None
 
 
+def test_arcs_stay_dealt_and_alike_both_ways_when_nodes_merge(spark):
+    rows, n = cliques(4, 4, 4)
+    state, arcs = lo.start(graph(spark, rows), nodes(spark, n))
+    fewer = lo.between(arcs, state.select("node", F.floor(F.col("node") / 2).alias("community")))
+    assert "Exchange hashpartitioning" not in fewer.groupBy("src").agg(F.sum("e"))._jdf.queryExecution().executedPlan().toString()
+    e = {(r.src, r.dst): r.e for r in fewer.collect()}
+    assert e and all(e[v, u] == x for (u, v), x in e.items())
+
+
 def test_louvain_finds_cliques(spark):
     rows, n = cliques(5, 4, 6, 3)
     found, levels = lo.louvain(graph(spark, rows), nodes(spark, n + 2))
