@@ -148,6 +148,24 @@ def test_rounds_never_lose_and_gains_are_exact(spark, seed):
         before = after
 
 
+def test_each_of_two_rounds_reads_a_stored_state_and_shuffles_no_arcs(spark, monkeypatch):
+    seen, real = [], lo.local_round
+    monkeypatch.setattr(lo, "local_round", lambda state, arcs, *more: seen.append((state, arcs)) or real(state, arcs, *more))
+    registry.QUERIES["louvain_round2"](spark, SF)
+    assert len(seen) == 2
+    for state, arcs in seen:
+        assert state.cut_path and arcs.cut_path
+        plan = lo.proposals(state, arcs)._jdf.queryExecution().executedPlan().toString()
+        assert {x for x in ("(src", "(dst", "(node", "(to") if f"hashpartitioning{x}" in plan} == set()
+
+
+def test_gains_that_round_alike_go_to_the_smaller_community(spark):
+    # the arc to 3 weighs more than those to 1 and 2 by less than rounding keeps, the one to 7 more than that to 6 by more
+    state, arcs = lo.start(graph(spark, [(0, 1, 1.0), (0, 2, 1.0), (0, 3, 1.0 + 1e-13), (5, 6, 1.0), (5, 7, 1.0 + 1e-9)]), nodes(spark, 8))
+    to = {r.node: r.to for r in lo.proposals(state, arcs).collect()}
+    assert to[0] == 1 and to[5] == 7
+
+
 def test_levels_of_the_supplier_graph(spark):
     values = [r.modularity for r in registry.QUERIES["louvain_levels"](spark, SF).orderBy("level").collect()]
     assert values and values == sorted(values)
