@@ -191,11 +191,12 @@ def walktrap(edges: DataFrame, nodes: DataFrame, steps: int = 4, rounds: int | N
     levels: list[DataFrame] = []
     while not links.isEmpty() and (rounds is None or len(levels) < rounds):
         square = walk.groupBy("c").agg(F.sum(F.col("x") * F.col("x")).alias("q"))
+        each = cut(size.join(square, "c", "left"), "each")
         dot = links.join(walk.select(F.col("c").alias("u"), F.col("v").alias("end"), F.col("x").alias("xu")), "u").join(walk.select(F.col("c").alias("v"), F.col("v").alias("end"), F.col("x").alias("xv")), ["v", "end"])
         dot = dot.groupBy("u", "v").agg(F.sum(F.col("xu") * F.col("xv")).alias("dot"))
         far = links.join(dot, ["u", "v"], "left")
         for side in ("u", "v"):
-            far = far.join(square.select(F.col("c").alias(side), F.col("q").alias(f"q{side}")), side, "left").join(size.select(F.col("c").alias(side), F.col("n").alias(f"n{side}")), side)
+            far = far.join(each.select(F.col("c").alias(side), F.col("q").alias(f"q{side}"), F.col("n").alias(f"n{side}")), side)
         z = F.lit(0.0)
         ward = F.col("nu") * F.col("nv") / (F.col("nu") + F.col("nv")) * (F.coalesce("qu", z) + F.coalesce("qv", z) - 2 * F.coalesce("dot", z))
         merges = cut(shortest_first(far.select("u", "v", F.round(ward, 9).alias("d"))), "merges")
@@ -208,7 +209,7 @@ def walktrap(edges: DataFrame, nodes: DataFrame, steps: int = 4, rounds: int | N
             renamed = renamed.join(into.select(F.col("c").alias(side), F.col("to").alias(f"t{side}")), side, "left").withColumn(side, F.coalesce(f"t{side}", side)).drop(f"t{side}")
         new_links = cut(renamed.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
         membership = cut(membership.join(into.select(F.col("c").alias("community"), "to"), "community", "left").select("node", F.coalesce("to", "community").alias("community")), "membership")
-        release(walk, size, links, merges)
+        release(walk, size, links, merges, each)
         walk, size, links = new_walk, new_size, new_links
         levels.append(membership)
     return membership, levels

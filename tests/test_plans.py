@@ -108,6 +108,17 @@ def test_a_query_makes_the_trade_graph_once(spark, monkeypatch):
     assert tb._MADE.get() is None
 
 
+def test_the_trade_graph_is_joined_in_parts_sized_by_its_tables(spark, monkeypatch):
+    plans, real = [], tb.cut
+    monkeypatch.setattr(tb, "ROWS", 500)
+    monkeypatch.setattr(tb, "cut", lambda df, name="step": plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    want = -(-sum(tb.table(spark, SF, t).count() for t in ("lineitem", "orders")) // 500)
+    few = {tuple(r) for r in tb.nation_trade(spark, SF).collect()}
+    assert len(plans) == 1 and want > 4 and plans[0].count(f", {want}), REPARTITION_BY_NUM") == 2
+    monkeypatch.setattr(tb, "ROWS", 10**9)
+    assert few == {tuple(r) for r in tb.nation_trade(spark, SF).collect()}
+
+
 def test_arcs_stay_dealt_and_alike_both_ways_when_nodes_merge(spark):
     rows, n = cliques(4, 4, 4)
     state, arcs = lo.start(graph(spark, rows), nodes(spark, n))
