@@ -130,8 +130,18 @@ def project(line: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def walk_order(words: np.ndarray) -> np.ndarray:
     """Pointers in the order of their words."""
-    w = words.astype(np.int64)
-    return np.lexsort(((w[2] << 32) | w[3], (w[0] << 32) | w[1]))
+    first, last = words[0].astype(np.int64), words[2].astype(np.int64)
+    for key, low in ((first, words[1]), (last, words[3])):
+        key <<= 32
+        key |= low
+    return np.lexsort((last, first))
+
+
+def is_hot(word: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which numbers are among the sorted ones of `hot`."""
+    if not len(hot):
+        return np.zeros(len(word), bool)
+    return hot[np.minimum(np.searchsorted(hot, word), len(hot) - 1)] == word
 
 
 def bucket_of(pointers: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
@@ -143,7 +153,7 @@ def bucket_of(pointers: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(32)
         name = np.where(goes, mixed, name)
-        goes = goes & np.isin(word, hot)
+        goes = goes & is_hot(word, hot)
     return (name % np.uint64(buckets)).astype(np.int64)
 
 
@@ -174,14 +184,14 @@ def grow(pointers: np.ndarray, n: np.ndarray, hot: np.ndarray, least: int = MIN)
     pointers; runs with less than `least` support aren't entered, but for prefixes of hot words, which other buckets may hold too."""
     order = walk_order(pointers)
     words, n = pointers[:, order], n[order]
-    shared = np.isin(words, hot)
+    del pointers, order
     live = np.ones(len(n), bool)
     change = np.append(True, words[0, 1:] != words[0, :-1]) if len(n) else np.zeros(0, bool)
     found, places = [], []
-    apart = shared[0]
+    apart = is_hot(words[0], hot)
     for depth in range(1, WORDS):  # all runs of one depth at once; a run's parts are inside it
         change = change | np.append(True, words[depth, 1:] != words[depth, :-1])[: len(change)]
-        apart = apart & shared[depth]
+        apart = apart & is_hot(words[depth], hot)
         live = live & (words[depth] > 0)
         head = np.flatnonzero(change)
         support = np.add.reduceat(n, head) if len(head) else np.zeros(0, np.int64)
@@ -198,12 +208,23 @@ def grow(pointers: np.ndarray, n: np.ndarray, hot: np.ndarray, least: int = MIN)
 PHRASES = "w1 bigint, w2 bigint, w3 bigint, w4 bigint, f bigint"
 
 
+def _laid(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(pointers, their numbers) of packed parts, each unpacked into its place; a part goes from the list when it is."""
+    width = 4 * (WORDS + 1)
+    size = [int.from_bytes(p[:8], "little") // width for p in parts]
+    pointers, n, end = np.empty((WORDS, sum(size)), np.int32), np.empty(sum(size), np.int64), sum(size)
+    while parts:
+        start = end - size.pop()
+        rows = unpacked(parts.pop(), WORDS + 1)
+        pointers[:, start:end], n[start:end], end = rows[:WORDS], rows[WORDS], start
+    return pointers, n
+
+
 def _grown(hot: np.ndarray, least: int):
     """A partition has its buckets one after another; each is grown when it is whole."""
 
     def out(parts):
-        rows = np.concatenate([unpacked(p, WORDS + 1) for p in parts], axis=1)
-        found = grow(rows[:WORDS], rows[WORDS].astype(np.int64), hot, least)
+        found = grow(*_laid(parts), hot, least)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(5)], names=["w1", "w2", "w3", "w4", "f"])
 
     def run(batches):
@@ -213,6 +234,7 @@ def _grown(hot: np.ndarray, least: int):
                 if b != bucket and held:
                     yield out(held)
                     held = []
+                    pa.default_memory_pool().release_unused()
                 bucket = b
                 held.append(raw.as_py())
         if held:
@@ -249,7 +271,7 @@ def mine(docs: DataFrame, least: int = MIN) -> tuple[DataFrame, DataFrame, DataF
         raise OverflowError("more frequent words than 32-bit ids")
     known = names.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("ids"))
     total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = np.array([r["id"] for r in words.filter(F.col("f") * HOT >= total).select("id").collect()], np.int64)  # HOT at most
+    hot = np.array([r["id"] for r in words.filter(F.col("f") * HOT >= total).select("id").orderBy("id").collect()], np.int64)  # HOT at most
     buckets = max(shuffle_partitions(spark), -(-total // BUCKET))
     pointers = chunks.select("chunk", "line").join(known, "chunk").select("line", "ids").mapInArrow(_pointers(hot, buckets), "bucket int, pointers binary")
     parts = max(shuffle_partitions(spark), -(-buckets // PARTITION))

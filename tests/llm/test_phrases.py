@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from partflow.llm import phrases as ph
@@ -92,3 +94,27 @@ def test_supports_and_words_are_not_broadcast(spark):
     found = ph.collocations(docs(spark, [(" ".join(f"w{(k * 7 + j) % 50}" for j in range(60)), "en") for k in range(100)]))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 3
     assert found.count() > 0
+
+
+def test_a_bucket_is_grown_in_little_memory():
+    """A bucket's pointers take 28 bytes each while it is grown, and what is made of them a few times as much at most."""
+    r = np.random.default_rng(1)
+    rows = np.minimum(r.zipf(1.3, (5, 200_000)), 100_000).astype(np.int32)
+    rows[4] = 1
+    parts = [packed(rows[:, at : at + 5000]) for at in range(0, 200_000, 5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["bucket", "pointers"])
+    hot = np.arange(1, 200, dtype=np.int64)
+    del rows, parts
+    tracemalloc.start()
+    try:
+        got = list(ph._grown(hot, 30)([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(got) == 1 and got[0].num_rows and peak < 80 * 200_000
+
+
+def test_hot_words_are_told_apart():
+    word = np.array([0, 1, 5, 7, 9, 2**31 - 1], np.int32)
+    assert ph.is_hot(word, np.array([1, 7, 8])).tolist() == [False, True, False, True, False, False]
+    assert not ph.is_hot(word, np.zeros(0, np.int64)).any()
