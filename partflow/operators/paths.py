@@ -176,14 +176,17 @@ def shortest_first(pairs: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k = 2").select("key.u", "key.v", "key.d")
 
 
-def walktrap(edges: DataFrame, nodes: DataFrame, steps: int = 4, rounds: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+def walktrap(edges: DataFrame, nodes: DataFrame, steps: int = 4, rounds: int | None = None, relative: bool = False) -> tuple[DataFrame, list[DataFrame]]:
     """((node, community), the membership after each round). Linked communities whose walks of a few steps are most alike, by Ward's distance,
     are joined: in a round all pairs that are each other's nearest, which is what joining one pair at a time comes to where distances to a
-    merged community don't fall below those of its parts. Walks are sparse rows (community, end, p / sqrt(degree of the end))."""
+    merged community don't fall below those of its parts. Walks are sparse rows (community, end, p / sqrt(degree of the end)). Distances are
+    compared to 9 digits and fall as weights rise; with `relative` degrees are shares of their mean, so that the weights' unit doesn't matter."""
     from partflow.operators.community import random_walk
 
     arcs = both_ways(edges.filter("src <> dst"))
     a = arcs.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("a"))
+    if relative:
+        a = a.crossJoin(F.broadcast(a.agg(F.avg("a").alias("mean")))).select("v", (F.col("a") / F.col("mean")).alias("a"))
     walk = cut(random_walk(edges.filter("src <> dst"), steps).join(a, "v").select(F.col("u").alias("c"), "v", (F.col("p") / F.sqrt("a")).alias("x")), "walk")
     links = cut(edges.filter("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct(), "links")
     membership = cut(nodes.select("node", F.col("node").alias("community")), "membership")

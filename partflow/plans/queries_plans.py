@@ -153,7 +153,7 @@ def _walktrap_merges(s: SparkSession, d: str) -> DataFrame:
 def _walktrap(s: SparkSession, d: str) -> DataFrame:
     """(node, community): of the rounds of walktrap the partition of highest modularity."""
     e = cut(strong_edges(s, d), "strong")
-    _, levels = pa.walktrap(e, tb.nation_nodes(s, d))
+    _, levels = pa.walktrap(e, tb.nation_nodes(s, d), relative=True)
     return max(levels, key=lambda x: me.modularity(e, x).first()[0])
 
 

@@ -235,6 +235,12 @@ def test_voronoi_and_walktrap_find_cliques(spark):
     assert any(sorted(sorted(k for k, c in x.items() if c == d) for d in set(x.values())) == want for x in map(labels_of, levels))
 
 
+def test_walktrap_does_not_depend_on_the_unit_of_weights(spark):
+    rows, n = cliques(4, 3)
+    found = [[labels_of(x) for x in pa.walktrap(graph(spark, [(u, v, w * unit) for u, v, w in rows]), nodes(spark, n), relative=True)[1]] for unit in (1, 2**40)]
+    assert found[0] == found[1] and len(found[0]) > 1
+
+
 # ------------------------------------------------------------------ ensembles
 
 
