@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from partflow.operators.components import connected_components
 
-from .common import flat, likely, mix, salted_lookup, ship, shuffle_partitions, slices, stored, table, words_of
+from .common import TEXTS, flat, forget, likely, mix, salted_lookup, ship, shuffle_partitions, slices, stored, table, words_of
 
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 LINES = 8  #: longs in the smallest sketch
@@ -137,6 +137,7 @@ def signatures(s: np.ndarray, rule: Rule) -> np.ndarray:
 
 def _nodes(rule: Rule):
     def run(batches):
+        forget()
         for batch in batches:
             for b in slices(batch, 1, 1_000_000):
                 size, one, two, lines = [], [], [], []
@@ -154,6 +155,7 @@ def _named(rule: Rule):
     """Texts with what names their sets."""
 
     def run(batches):
+        forget()
         for batch in batches:
             for b in slices(batch, 1, 1_000_000):
                 sets = list(shingle_sets(*flat(b.column(1)), rule.n))
@@ -165,6 +167,7 @@ def _named(rule: Rule):
 
 def _signed(rule: Rule):
     def run(batches):
+        forget()
         seen: set = set()
         for batch in batches:
             for b in slices(batch, 1, 500_000):
@@ -188,6 +191,7 @@ def _signed(rule: Rule):
 
 def _sets(rule: Rule):
     def run(batches):
+        forget()
         for batch in batches:
             for b in slices(batch, 1, 1_000_000):
                 sets = [s.view(np.int64) for s in shingle_sets(*flat(b.column(1)), rule.n)]
@@ -375,7 +379,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -
     wanted = stored(wanted, "wanted")
     # few documents are wanted: the others' texts stay where they are read
     sets = likely(docs, wanted, "doc_id").mapInArrow(_sets(rule), "doc_id bigint, s array<bigint>").filter("size(s) > 0")
-    sets = stored(sets.hint("merge").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
+    sets = stored(sets.hint("merge").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets", TEXTS)
     # a node with many partners is dealt over copies of its set
     hub = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("copies"))
     hubs = hub.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("su")), "u").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
@@ -403,7 +407,7 @@ def _several(docs: DataFrame, live: DataFrame, rule: Rule) -> tuple[DataFrame, D
     kinds = kinds.select("doc_id", "n_shingles", "one", "two", (F.lit(most + 1) + F.col("_i") * (tasks + 1) + F.col("_p")).alias("node"))
     own = docs.join(shared, "doc_id", "left_semi")
     own = own.mapInArrow(_named(rule), "doc_id bigint, text string, n_shingles bigint, one bigint, two bigint").join(kinds, ["doc_id", "n_shingles", "one", "two"])
-    own = stored(own.select(F.col("node").alias("doc_id"), "text"), "own")
+    own = stored(own.select(F.col("node").alias("doc_id"), "text"), "own", TEXTS)
     return kinds, docs.join(shared, "doc_id", "left_anti").unionByName(own)
 
 
@@ -432,7 +436,7 @@ def jaccard_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = stored(docs.mapInArrow(_nodes(rule), "doc_id bigint, n_shingles bigint, one bigint, two bigint, sketch array<bigint>"), "nodes")
+    known = stored(docs.mapInArrow(_nodes(rule), "doc_id bigint, n_shingles bigint, one bigint, two bigint, sketch array<bigint>"), "nodes", TEXTS)
     live = known.filter("doc_id is not null and n_shingles > 0")
     several = _several(docs, live, rule)
     joined = None
@@ -450,7 +454,7 @@ def jaccard_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     signed = docs.mapInArrow(_signed(rule), "sig bigint, node bigint")
     group = Window.partitionBy("sig")
     met = signed.withColumn("least", F.min("node").over(group)).withColumn("most", F.max("node").over(group)).filter("least <> most").select("sig", "node", "least")
-    met = stored(met, "met")
+    met = stored(met, "met", TEXTS)
     stars = met.filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
     same = equal.filter("u <> v")
     links = stored((same.unionByName(joined) if joined is not None else same).unionByName(_verified(stars, docs, nodes, rule)), "links")

@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices, table
+from .common import kept, ship, slices, table
 from .token_files import tokenizer_path
 
 LONG = 96  #: symbols from which a word is swept by rank
@@ -317,7 +317,7 @@ def _room(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
 
 
-_LOADED: dict[str, WordBpe] = {}
+_LOADED: dict[str, WordBpe] = kept()
 
 
 def word_bpe(path: str) -> WordBpe:

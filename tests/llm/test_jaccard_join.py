@@ -170,3 +170,26 @@ def test_what_was_shuffled_for_a_stored_table_goes(spark):
     before = files()
     out = stored(spark.range(100_000).repartition(7, "id"), "cleared")
     assert not files() - before and out.count() == 100_000
+
+
+def test_workers_forget_the_vocabularies_of_other_operators():
+    import pyarrow as pa
+
+    from partflow.llm import subwords as s
+    from partflow.llm.token_files import tokenizer_path
+
+    rule = j.Rule()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b c d"])], names=["doc_id", "text"])
+    for work in (j._nodes, j._named, j._signed, j._sets):
+        s.subwords(tokenizer_path())
+        assert s._LOADED
+        assert sum(b.num_rows for b in work(rule)([batch])) and not s._LOADED, work
+
+
+def test_settings_come_back(spark):
+    from partflow.llm import common as c
+
+    before = spark.conf.get(c.BATCH)
+    with c.settings(spark, {c.BATCH: "7"}):
+        assert spark.conf.get(c.BATCH) == "7"
+    assert spark.conf.get(c.BATCH) == before
