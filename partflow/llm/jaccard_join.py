@@ -19,7 +19,8 @@ links, each after the classes met by the one before have become one; groups whos
 copies costs as many tests as it has classes, and no link is lost.
 
 At most two tiles of TILE members are held at once: members of a larger group are cut into tiles, and each pair of tiles is compared as a
-group of its own, in whichever task.
+group of its own, in whichever task. Its pairs are looked at in runs, and sketches of bounded size together, so that a task's memory grows neither
+with the pairs of a group nor with what long sets' sketches take.
 
 Defined cases: null text is empty; a document without words has no shingle and links with nothing; with fewer words than a shingle
 takes, the whole sequence is the one shingle; rows with equal doc_id count as one document: their sets are nodes of their own and their
@@ -45,6 +46,7 @@ LINES = 8  #: longs in the smallest sketch
 MOST_LINES = 1024
 TILE = 8192
 ROUNDS = 3
+SKETCHES = 2000  #: rows with sketches that go to a Python worker at once
 
 
 class Rule:
@@ -235,6 +237,7 @@ def _fold(col: pa.Array, rows: np.ndarray, size: np.ndarray, lines: int) -> np.n
 
 
 AT_ONCE = 500_000  #: pairs compared together
+WIDE = 1 << 20  #: longs of sketches compared together
 FEW = 48  #: members of a group that is compared together with others
 
 
@@ -283,11 +286,28 @@ def _compare(rule: Rule, forest: int | None = None):
             """Those that larger sketches let through as well."""
             width, keep = np.minimum(lines[i], lines[j]), np.ones(len(i), bool)
             for w in np.unique(width[width > LINES]).tolist():
-                at = np.flatnonzero(width == w)
-                bits = np.bitwise_count((_fold(b.column(6), i[at], lines, w) ^ _fold(b.column(6), j[at], lines, w)).view(np.uint64)).sum(axis=1)
-                keep[at] = bits <= most[at]
+                wide, step = np.flatnonzero(width == w), max(1, WIDE // w)
+                for at in (wide[k : k + step] for k in range(0, len(wide), step)):
+                    bits = np.bitwise_count((_fold(b.column(6), i[at], lines, w) ^ _fold(b.column(6), j[at], lines, w)).view(np.uint64)).sum(axis=1)
+                    keep[at] = bits <= most[at]
             return i[keep], j[keep]
 
+        def large(g):
+            """What the sketches let through of a large group, at most about AT_ONCE pairs looked at together."""
+            ahead, at, n = [], [], 0
+            for i in range(begin[g], begin[g] + members[g]):
+                j = slice(i + 1, int(end[i]))
+                stays, most = close(i, j, side, comp, size, two[g])
+                hit = np.flatnonzero(stays & (np.bitwise_count(small[j] ^ small[i]).sum(axis=1) <= most))
+                if len(hit):
+                    ahead.append(np.full(len(hit), i))
+                    at.append(hit + i + 1)
+                    n += len(hit)
+                if n and (n >= AT_ONCE or i == begin[g] + members[g] - 1):
+                    x, y = np.concatenate(ahead), np.concatenate(at)
+                    ahead, at, n = [], [], 0
+                    yield settled(x, y, (rule.den - rule.num) * (size[x] + size[y]) // (rule.den + rule.num))
+
         few = np.flatnonzero((members <= FEW)[group])
         partners = end[few] - few - 1
         upto = np.concatenate([[0], np.cumsum(partners)])
@@ -302,23 +322,18 @@ def _compare(rule: Rule, forest: int | None = None):
             yield *settled(i[stays], j[stays], most[stays]), False
             start = stop
         for g in np.flatnonzero(members > FEW).tolist():
-            ahead, at = [], []
-            for i in range(begin[g], begin[g] + members[g]):
-                j = slice(i + 1, int(end[i]))
-                stays, most = close(i, j, side, comp, size, two[g])
-                hit = np.flatnonzero(stays & (np.bitwise_count(small[j] ^ small[i]).sum(axis=1) <= most))
-                if len(hit):
-                    ahead.append(np.full(len(hit), i))
-                    at.append(hit + i + 1)
-            if at:
-                i, j = np.concatenate(ahead), np.concatenate(at)
-                i, j = settled(i, j, (rule.den - rule.num) * (size[i] + size[j]) // (rule.den + rule.num))
-                if forest is None or 2 * len(i) <= members[g]:
+            if forest is None:
+                for i, j in large(g):
                     yield i, j, False
-                    continue
-                chance = mix(mix(i.astype(np.uint64) + np.uint64(forest)) ^ j.astype(np.uint64))
-                tree = _forest(comp[i], comp[j], np.argsort(chance))
-                yield i[tree], j[tree], len(tree) < len(i)
+                continue
+            i, j, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+            for x, y in large(g):
+                i, j, total = np.concatenate([i, x]), np.concatenate([j, y]), total + len(x)
+                if 2 * total > members[g]:  # the forest of first edges of all pairs so far, whatever runs they came in
+                    chance = mix(mix(i.astype(np.uint64) + np.uint64(forest)) ^ j.astype(np.uint64))
+                    tree = _forest(comp[i], comp[j], np.argsort(chance))
+                    i, j = i[tree], j[tree]
+            yield i, j, len(i) < total
 
     def run(batches):
         found, n = [], 0
@@ -374,7 +389,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -
     for side in ("u", "v"):
         pairs = pairs.join(light.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("sketch").alias(f"k{side}")), side)
     pairs = pairs.filter(F.least("nu", "nv") * rule.den >= F.greatest("nu", "nv") * rule.num).select("u", "v", "nu", "nv", "ku", "kv")
-    pairs = stored(pairs.mapInArrow(_let_through(rule), "u bigint, v bigint, nu bigint, nv bigint"), "pairs")
+    pairs = stored(pairs.mapInArrow(_let_through(rule), "u bigint, v bigint, nu bigint, nv bigint"), "pairs", SKETCHES)
     wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
     wanted = stored(wanted, "wanted")
     # few documents are wanted: the others' texts stay where they are read
@@ -462,7 +477,7 @@ def jaccard_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     groups, tested, k = None, stars, 0
     while groups is None or not groups.isEmpty():
         tiled = _open_groups(met, comp, nodes, groups)
-        pairs = stored(tiled.mapInArrow(_compare(rule, k), PAIRS), "compared")
+        pairs = stored(tiled.mapInArrow(_compare(rule, k), PAIRS), "compared", SKETCHES)
         more = pairs.filter("u is not null").select("u", "v").distinct().join(tested, ["u", "v"], "left_anti")
         late = stored(_verified(more, docs, nodes, rule), "late")
         met_more = not late.isEmpty()

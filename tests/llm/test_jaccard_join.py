@@ -193,3 +193,40 @@ def test_settings_come_back(spark):
     with c.settings(spark, {c.BATCH: "7"}):
         assert spark.conf.get(c.BATCH) == "7"
     assert spark.conf.get(c.BATCH) == before
+
+
+def _group(n, size, seed=0):
+    """One signature's members, every third a near copy of the one before, all of different classes."""
+    r = np.random.default_rng(seed)
+    sets = [r.integers(0, 2**63, size).astype(np.uint64) for _ in range(n)]
+    for k in range(1, n, 3):
+        sets[k] = np.concatenate([sets[k - 1][: size * 95 // 100], sets[k][: size // 50]])
+    sets = sorted((np.unique(s) for s in sets), key=len)
+    cols = [np.zeros(n, np.int64)] * 3 + [np.arange(n)] * 2 + [np.array([len(s) for s in sets])]
+    return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([j.sketch(s) for s in sets], pa.list_(pa.int64()))], names=["sig", "pair", "side", "node", "component", "n_shingles", "sketch"])
+
+
+def test_the_pairs_of_a_large_group_of_long_sets_are_not_held_at_once():
+    """Their smallest sketches let all 79,800 pairs through: 170 MB where the larger ones of all are compared together."""
+    import tracemalloc
+
+    group = _group(400, 3000)
+    for forest in (0, None):
+        tracemalloc.start()
+        n = sum(b.num_rows for b in j._compare(j.Rule(5, 80, 100, 2, 1), forest)(iter([group])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n >= 133 and peak < 80e6
+
+
+def test_a_forest_of_runs_is_the_forest_of_all_pairs(monkeypatch):
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**63, 300).astype(np.uint64)
+    sets = sorted((np.unique(np.concatenate([base, r.integers(0, 2**63, int(r.integers(0, 40))).astype(np.uint64)])) for _ in range(90)), key=len)
+    cols = [np.zeros(90, np.int64)] * 3 + [np.arange(90), np.arange(90) % 70, np.array([len(s) for s in sets])]
+    group = pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([j.sketch(s) for s in sets], pa.list_(pa.int64()))], names=["sig", "pair", "side", "node", "component", "n_shingles", "sketch"])
+    rule, got = j.Rule(5, 80, 100, 2, 1), []
+    for most in (500_000, 100):
+        monkeypatch.setattr(j, "AT_ONCE", most)
+        got.append([{(x["u"], x["v"], x["sig"]) for b in j._compare(rule, forest)(iter([group])) for x in b.to_pylist()} for forest in (0, None)])
+    assert got[0] == got[1] and len(got[0][0]) == 70 and len(got[0][1]) > 1000  # 69 edges and the group's name
