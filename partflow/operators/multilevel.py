@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partflow.functions.storage import cut, release
+from partflow.functions.storage import cut, release, sent
 
 from .louvain import EPS, apart, between, gains, start
 
@@ -27,8 +27,9 @@ COARSEST = 20
 
 def matching(state: DataFrame, arcs: DataFrame, most: int, seed: int) -> DataFrame:
     """(u, v), u < v: edges that are the heaviest at both ends among those whose ends hold at most `most` nodes together."""
-    size = state.select("node", "size")
-    e = arcs.join(size.select(F.col("node").alias("src"), F.col("size").alias("x")), "src").join(size.select(F.col("node").alias("dst"), F.col("size").alias("y")), "dst")
+    size, nodes = state.select("node", "size"), state.count()
+    x, y = (sent(size.select(F.col("node").alias(end), F.col("size").alias(name)), nodes) for end, name in (("src", "x"), ("dst", "y")))
+    e = arcs.join(x, "src").join(y, "dst")
     u, v = F.least("src", "dst"), F.greatest("src", "dst")
     key = F.struct(F.round("e", 12).alias("e"), F.xxhash64(u, v, F.lit(seed)).alias("p"), u.alias("src"), v.alias("dst"))
     best = e.filter((F.col("x") + F.col("y") <= most) & (F.col("e") > 0)).groupBy("src").agg(F.max(key).alias("key"))
@@ -101,7 +102,9 @@ def settle(state: DataFrame, arcs: DataFrame, parts: DataFrame, low: int, high:
     slots = given.select("community", F.explode(F.sequence("start", F.col("end") - 1)).alias("slot"))
     to = taken.select(F.col("community").alias("to"), F.explode(F.sequence("start", F.col("end") - 1)).alias("slot"))
     slots = slots.join(to, "slot").withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy("slot"))).select("community", "to", "r")
-    own = arcs.join(state.select(F.col("node").alias("src"), F.col("community").alias("x")), "src").join(state.select(F.col("node").alias("dst"), F.col("community").alias("y")), "dst").filter("x = y").groupBy(F.col("src").alias("node")).agg(F.round(F.sum("e"), 12).alias("own"))
+    nodes = state.count()
+    x, y = (sent(state.select(F.col("node").alias(end), F.col("community").alias(name)), nodes) for end, name in (("src", "x"), ("dst", "y")))
+    own = arcs.join(x, "src").join(y, "dst").filter("x = y").groupBy(F.col("src").alias("node")).agg(F.round(F.sum("e"), 12).alias("own"))
     givers = state.join(given.select("community").distinct(), "community").join(own, "node", "left")
     ranked = givers.withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy(F.coalesce("own", F.lit(0.0)), "node")))
     return _moved(state, ranked.join(slots, ["community", "r"]).select("node", "to"))

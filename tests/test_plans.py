@@ -408,3 +408,24 @@ def test_incidences_of_a_large_plan_are_not_broadcast(spark):
     plan = graph._jdf.queryExecution()
     assert "Broadcast" not in plan.executedPlan().toString()
     assert len(plan.optimizedPlan().toString()) < 20_000
+
+
+def test_arcs_stay_where_they_lie_whatever_the_broadcast_limit(spark, monkeypatch):
+    """A table of nodes beyond Spark's limit still goes to the arcs, up to SENT rows."""
+    from partflow.functions import storage
+
+    e = spark.range(400).selectExpr("id % 40 AS src", "(id * 7 + id % 40 + 1) % 40 AS dst", "1.0 + id % 3 AS w").filter("src < dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        state, arcs = lo.start(e, spark.range(40).withColumnRenamed("id", "node"))
+        got = []
+        for most in (storage.SENT, 39):
+            monkeypatch.setattr(storage, "SENT", most)
+            moves, pairs = lo.proposals(state, arcs), ml.matching(state, arcs, 10, 0)
+            joins = [x._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") for x in (moves, pairs)]
+            got.append((sorted(moves.collect()), sorted(pairs.collect())))
+            assert joins == ([1, 0] if most > 39 else [4, 2])  # the one: sums of communities to the state, which are both small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got[0] == got[1] and len(got[0][0]) > 5 and got[0][1]
